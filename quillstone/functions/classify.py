@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import BLANK_TYPE, DOC_TYPES, NO_TYPE_ICON, SATURATING_HITS, UNMATCHED_TYPE
+from .text import is_blank, let
 
 
 def keyword_array(keywords: list[str]) -> Column:
@@ -22,7 +23,7 @@ def score(n_hits: Column) -> Column:
     return F.round(F.least(n_hits / F.lit(float(SATURATING_HITS)) * 100, F.lit(100.0)), 1)
 
 
-def ranked_scores(low: Column) -> Column:
+def _ranked(low: Column) -> Column:
     """``array<struct<score, rank, type, icon>>`` of the types that scored.
 
     ``rank`` falls along the dimension, so the greatest element is the best
@@ -38,14 +39,25 @@ def ranked_scores(low: Column) -> Column:
     return F.filter(F.array(*entries), lambda e: e["score"] > 0)
 
 
-def pick(ranked: Column, blank: Column) -> Column:
-    """``struct<type, icon, confidence, scores>`` from the ranked scores."""
+def _pick(ranked: Column) -> Column:
     best = F.array_max(ranked)
-    scores = F.map_from_entries(F.transform(ranked, lambda e: F.struct(e["type"], e["score"])))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
     return F.struct(
-        F.when(blank, BLANK_TYPE).otherwise(F.coalesce(best["type"], F.lit(UNMATCHED_TYPE))).alias("type"),
+        F.coalesce(best["type"], F.lit(UNMATCHED_TYPE)).alias("type"),
         F.coalesce(best["icon"], F.lit(NO_TYPE_ICON)).alias("icon"),
         F.coalesce(best["score"], F.lit(0.0)).alias("confidence"),
-        F.coalesce(scores, none).alias("scores"),
+        F.map_from_entries(F.transform(ranked, lambda e: F.struct(e["type"], e["score"]))).alias("scores"),
+    )
+
+
+def classification(text: Column) -> Column:
+    """``struct<type, icon, confidence, scores>`` of a text.
+
+    The text is lower-cased once, outside the keyword tests.
+    """
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    blank = F.struct(
+        F.lit(BLANK_TYPE).alias("type"), F.lit(NO_TYPE_ICON).alias("icon"),
+        F.lit(0.0).alias("confidence"), none.alias("scores"),
     )
+    scored = let(let(F.lower(text), _ranked), _pick)
+    return F.when(is_blank(text), blank).otherwise(scored)

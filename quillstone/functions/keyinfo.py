@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as p
-from .text import digits_of, squeeze, strip
+from .text import digits_of, let, non_empty, squeeze, strip
 
 LIST_CAP = 5
 AADHAAR_CAP = 2
@@ -34,7 +34,7 @@ def _capped(values: Column, cap: int | None) -> Column:
     values = F.array_distinct(values)
     if cap is not None:
         values = F.slice(values, 1, cap)
-    return F.when(F.size(values) > 0, values)
+    return let(values, lambda v: F.when(F.size(v) > 0, v))
 
 
 def _has_digit(text: Column) -> Column:
@@ -87,22 +87,19 @@ def extract_urls(text: Column, cap: int = URL_CAP, low: Column | None = None) ->
 def form_dob(text: Column, dates: Column, low: Column | None = None) -> Column:
     """Labelled date of birth, else year of birth, else the first date, else empty."""
     low = _low(text, low)
-    labelled = strip(_first(text, p.DOB_LABELLED))
-    year = _first(text, p.BIRTH_YEAR)
+    labelled = non_empty(strip(_first(text, p.DOB_LABELLED)))
+    year = non_empty(_first(text, p.BIRTH_YEAR))
     first_date = F.coalesce(F.get(dates, F.lit(0)), F.lit(""))
     has_label = _has_digit(text) & (
         low.contains("dob") | low.contains("rth") | low.contains("yob"))
-    return F.when(has_label, F.coalesce(
-        F.nullif(labelled, F.lit("")), F.nullif(year, F.lit("")), first_date,
-    )).otherwise(first_date)
+    return F.coalesce(F.when(has_label, F.coalesce(labelled, year)), first_date)
 
 
 def labelled_name(text: Column, low: Column | None = None) -> Column:
     """The name after a label, else the one after the issuing authority, else empty."""
     low = _low(text, low)
     after_issuer = F.when(low.contains("government"), strip(_first(text, p.NAME_AFTER_ISSUER)))
-    return F.coalesce(
-        F.nullif(strip(_first(text, p.NAME_LABELLED)), F.lit("")), after_issuer, F.lit(""))
+    return F.coalesce(non_empty(strip(_first(text, p.NAME_LABELLED))), after_issuer, F.lit(""))
 
 
 def name_above(lines: Column, dob: Column) -> Column:
@@ -127,19 +124,27 @@ def form_gender(text: Column, low: Column | None = None) -> Column:
     """Labelled value, else the first bare Male or Female, capitalised, else empty."""
     low = _low(text, low)
     has_label = low.contains("gender") | low.contains("sex") | low.contains("ſex")
-    labelled = F.when(has_label, F.nullif(_first(text, p.GENDER_LABELLED), F.lit("")))
+    labelled = F.when(has_label, non_empty(_first(text, p.GENDER_LABELLED)))
     bare = F.when(low.contains("male"), _first(text, p.GENDER_BARE))
     return F.initcap(F.coalesce(labelled, bare, F.lit("")))
 
 
 def form_address(text: Column) -> Column:
     """From an address label to the first postal code, else the run before one."""
-    labelled = _first(text, p.ADDRESS_LABELLED)
-    lead = F.right(F.regexp_extract(text, p.PIN_WITH_LEAD.java, 1), F.lit(p.LEAD_MAX))
-    code = F.regexp_extract(text, p.PIN_WITH_LEAD.java, 2)
-    unlabelled = F.when(code != "", F.concat(F.regexp_extract(lead, p.LEAD_RUN.java, 0), code))
-    found = F.coalesce(F.nullif(labelled, F.lit("")), unlabelled, F.lit(""))
-    return F.when(text.rlike(p.PIN.java), squeeze(found)).otherwise("")
+    found = F.coalesce(
+        non_empty(_first(text, p.ADDRESS_LABELLED)), let(_first(text, p.PIN_WITH_LEAD), _lead_and_pin))
+    return F.coalesce(F.when(text.rlike(p.PIN.java), squeeze(found)), F.lit(""))
+
+
+def _lead_and_pin(upto: Column) -> Column:
+    """A postal code at the end of ``upto`` with the allowed characters before it."""
+    code = F.regexp_extract(F.right(upto, F.lit(p.PIN_MAX)), p.PIN_AT_END.java, 0)
+
+    def with_lead(c: Column) -> Column:
+        lead = F.right(F.left(upto, F.length(upto) - F.length(c)), F.lit(p.LEAD_MAX))
+        return F.concat(F.regexp_extract(lead, p.LEAD_RUN.java, 0), c)
+
+    return F.when(upto != "", let(code, with_lead))
 
 
 def labelled_mobile(text: Column, low: Column | None = None) -> Column:

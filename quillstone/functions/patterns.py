@@ -107,7 +107,9 @@ MOBILE_LABELLED = Pattern(r"(?:Mobile|Mob|Ph|Phone)\s*[:\-]?\s*(\+?[\d\s\-]{8,15
 # first postal code with 20 allowed characters in front of it, preceded by as
 # many allowed characters as there are, at most 150.
 PIN = Pattern(r"\b\d{3}\s?\d{3}\b")
-PIN_WITH_LEAD = Pattern(r"^([\s\S]*?)(?=\d)(?<=[A-Za-z0-9\s,.\-/]{20})(\b\d{3}\s?\d{3}\b)")
+PIN_AT_END = Pattern(r"\d{3}\s?\d{3}\z")
+PIN_MAX = 7
+PIN_WITH_LEAD = Pattern(r"\A[\s\S]*?(?=\d)(?<=[A-Za-z0-9\s,.\-/]{20})\b\d{3}\s?\d{3}\b")
 LEAD_RUN = Pattern(r"[A-Za-z0-9\s,.\-/]*\z")
 LEAD_MAX = 150
 

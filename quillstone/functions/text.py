@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,21 @@ WHITESPACE = "".join(
 NON_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A Column used twice is an expression evaluated twice unless the planner can
+    share it, which it cannot do inside conditional branches or lambdas; a
+    lambda variable is bound to a computed value.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def non_empty(c: Column) -> Column:
+    """The text, or NULL where it is empty; computed once."""
+    return let(c, lambda v: F.when(v != "", v))
+
+
 def strip(c: Column) -> Column:
     """Text without whitespace at either end (``trim`` alone removes only spaces)."""
     return F.btrim(c, F.lit(WHITESPACE))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import BLANK_TYPE, DOC_TYPES, NO_TYPE_ICON, UNMATCHED_TYPE, doc_types
-from ..functions.classify import pick, ranked_scores, score
-from ..functions.text import is_blank
+from ..functions.classify import classification, score
+from ..functions.text import is_blank, let
 
 
 def keyword_hits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -20,9 +20,8 @@ def keyword_hits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.struct(F.lit(name).alias("type"), F.lit(k).alias("keyword"))
         for name, _, keywords in DOC_TYPES for k in keywords
     ])
-    low = docs.select(key, F.lower(text).alias("_low"))
-    found = F.explode(F.filter(pairs, lambda e: F.contains(F.col("_low"), e["keyword"])))
-    return low.select(key, found.alias("_hit")).select(key, "_hit.type", "_hit.keyword")
+    found = let(F.lower(text), lambda low: F.filter(pairs, lambda e: F.contains(low, e["keyword"])))
+    return docs.select(key, F.explode(found).alias("_hit")).select(key, "_hit.type", "_hit.keyword")
 
 
 def type_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,8 +32,7 @@ def type_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def classify(docs: DataFrame, text: str = "text", out: str = "classification") -> DataFrame:
     """Add ``struct<type, icon, confidence, scores>``; one projection, no shuffle."""
-    staged = docs.withColumn("_ranked", ranked_scores(F.lower(text)))
-    return staged.withColumn(out, pick(F.col("_ranked"), is_blank(F.col(text)))).drop("_ranked")
+    return docs.withColumn(out, classification(F.col(text)))
 
 
 def classify_relational(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

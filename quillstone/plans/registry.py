@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..operators import (
     classification, extraction, history, intake, language, lookup, repair, rollup, translation,
 )
-from ..session import work_dir
+from ..session import fills_cluster, work_dir
 from ..sources import readers, sinks
 from ..streaming import enrich as streaming
 from . import views as v
@@ -436,6 +436,8 @@ def translation_requests(spark, sf_dir):
 def stream_enrich(spark, sf_dir):
     out, checkpoint = work_dir(spark, "stream-out"), work_dir(spark, "stream-checkpoint")
     arriving = streaming.read_stream(spark, sf_dir, readers.TEXT_DOCUMENT, "documents.parquet")
+    if not fills_cluster(v.table(spark, sf_dir, "documents")):
+        arriving = arriving.repartition(spark.sparkContext.defaultParallelism, "doc_id")
     streaming.stream_enrich(arriving, out, checkpoint).awaitTermination()
     lists = [F.array_join(f"key_info.{f}", "|").alias(f) for f in extraction.LIST_FIELDS]
     return spark.read.parquet(out).select(

@@ -37,19 +37,22 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def fills_cluster(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate gives every core a full input split."""
+    spark = df.sparkSession
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return size >= spark.sparkContext.defaultParallelism * split
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table that is too small to occupy the cluster from its scan alone.
 
     A small file with one row group is read by one task however many cores are
-    idle. Such a table (under one full input split per core, by the optimizer's
-    size estimate) is hash-partitioned on ``keys``; the shuffle is then at most
-    one split per core. A larger table already scans in parallel and passes
-    through untouched.
+    idle. Such a table is hash-partitioned on ``keys``; the shuffle is then at
+    most one input split per core. A larger table already scans in parallel and
+    passes through untouched.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if size >= cores * split:
+    if fills_cluster(df):
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
