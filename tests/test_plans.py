@@ -1,0 +1,62 @@
+"""The physical plans the operators are meant to have."""
+
+from quillstone.operators import classification, extraction, history, language, lookup, rollup
+from quillstone.plans import registry, views
+from quillstone.sources import readers
+
+
+def raw_docs(spark, sf_dir):
+    return readers.documents(spark, f"{sf_dir}/documents.parquet")
+
+
+def test_row_operators_do_not_shuffle(spark, sf_dir, plan):
+    docs = raw_docs(spark, sf_dir)
+    for df in (classification.classify(docs), extraction.extract_key_info(docs),
+               classification.keyword_hits(docs)):
+        text = plan(df.select("doc_id", df.columns[-1]))
+        assert "Exchange" not in text and "Python" not in text
+        assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
+
+
+def test_text_is_lower_cased_outside_the_keyword_tests(spark, sf_dir, plan):
+    text = plan(classification.keyword_hits(raw_docs(spark, sf_dir)))
+    assert "Contains(lower(" not in text and "lower(text" in text
+
+
+def test_history_never_reads_texts_and_pushes_the_user_down(spark, sf_dir, plan):
+    log = views.upload_log(spark, sf_dir)
+    text = plan(history.history_top(log, 8))
+    assert "TakeOrderedAndProject" in text and "EqualTo(user_id,8)" in text
+    assert "WindowGroupLimit" in plan(history.history_top_all(log))
+
+
+def test_aggregates_combine_before_their_shuffle(spark, sf_dir, plan):
+    for df in (rollup.page_confidence(views.words(spark, sf_dir)),
+               rollup.document_language(views.doc_pages(spark, sf_dir)),
+               language.language_profiles(views.documents(spark, sf_dir))):
+        text = plan(df)
+        assert "partial_" in text
+
+
+def test_no_broadcast_is_forced_on_growing_tables(spark, sf_dir, plan):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins = (
+            lookup.documents_with_owner(views.order_documents(spark, sf_dir), views.users(spark, sf_dir)),
+            lookup.register_users(views.user_requests(spark, sf_dir), views.users(spark, sf_dir)),
+            lookup.find_documents(views.requests(spark, sf_dir), views.stored_forms(spark, sf_dir)),
+            rollup.document_parts(views.doc_pages(spark, sf_dir)),
+        )
+        for df in joins:
+            assert "Broadcast" not in plan(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_cartesian_or_nested_loop_joins(spark, sf_dir, plan):
+    for name, query in registry.QUERIES.items():
+        if name in ("scan_text_files", "export_txt", "export_json", "append_documents", "stream_enrich"):
+            continue
+        text = plan(query(spark, sf_dir))
+        assert "CartesianProduct" not in text and "NestedLoop" not in text, name
+        assert "Python" not in text, name
