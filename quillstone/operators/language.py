@@ -15,6 +15,8 @@ from ..functions.text import is_blank
 
 GRAM = 3
 PROFILE_SIZE = 2000
+MAX_LANGUAGES = 250
+MAX_BROADCAST_GRAMS = 1_000_000
 SCALE = 1_000_000
 UNKNOWN = "unknown"
 
@@ -44,17 +46,27 @@ def language_profiles(
 def gram_weights(profiles: DataFrame) -> tuple[list[str], DataFrame]:
     """The languages, and ``gram, w0, w1, ...`` with one integer log-probability each.
 
-    Reads one row per language to the driver (their totals). Pass a stored
+    The weights are marked for broadcast only up to MAX_BROADCAST_GRAMS counted
+    n-grams; a larger model joins by shuffle.
+
+    Reads one row per language to the driver (their totals), refusing more than
+    MAX_LANGUAGES: a label column with more is not a language. Pass a stored
     profile table, not a training plan, which would run again here.
     """
-    totals = profiles.groupBy("lang").agg(F.sum("cnt").alias("total")).orderBy("lang").collect()
+    by_lang = profiles.groupBy("lang").agg(F.sum("cnt").alias("total"))
+    totals = by_lang.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} distinct languages in the profiles")
     vocabulary = profiles.agg(F.count_distinct("gram")).first()[0]
     sums = []
     for i, row in enumerate(totals):
         cnt = F.coalesce(F.sum(F.when(F.col("lang") == row["lang"], F.col("cnt"))), F.lit(0))
         smoothed = (cnt + 1) / F.lit(float(row["total"] + vocabulary))
         sums.append(F.round(F.log(smoothed) * SCALE).cast("bigint").alias(f"w{i}"))
-    return [row["lang"] for row in totals], profiles.groupBy("gram").agg(*sums)
+    weights = profiles.groupBy("gram").agg(*sums)
+    if vocabulary <= MAX_BROADCAST_GRAMS:
+        weights = F.broadcast(weights)
+    return [row["lang"] for row in totals], weights
 
 
 def detect_language(
@@ -63,15 +75,15 @@ def detect_language(
     """``key, detected_language`` for every document.
 
     Blank texts and texts without any known n-gram are ``unknown``; equal
-    scores go to the first language by name. The weights are broadcast: they
-    are bounded by profile size times languages, not by the documents. N-grams
-    are summed inside the task that reads the document, so the shuffle carries
-    one row per document.
+    scores go to the first language by name. The model's size depends on its
+    definition and not on the documents, so it is normally broadcast; n-grams
+    are then summed inside the task that reads the document, and the shuffle
+    carries one row per document.
     """
     langs, weights = gram_weights(profiles)
     visible = F.when(~is_blank(F.col(text)), grams(F.col(text), n))
     exploded = docs.select(key, F.explode_outer(visible).alias("gram"))
-    scored = exploded.join(F.broadcast(weights), "gram", "left").groupBy(key).agg(
+    scored = exploded.join(weights, "gram", "left").groupBy(key).agg(
         *[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(langs))])
     ranked = F.array(*[
         F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("r"), F.lit(lang).alias("lang"))

@@ -32,4 +32,4 @@ def route_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def rejoin_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rebuild each document's text from its lines in order."""
-    return ordered_concat(lines, key, "line_no", "line", "\n", "text")
+    return ordered_concat(lines, key, "line_no", ["line"], "\n").withColumnRenamed("line", "text")

@@ -9,6 +9,7 @@ from ..functions.text import NON_BLANK, WHITESPACE, round_half_even, strip
 
 PAGE_SEPARATOR = "\n\n"
 BLOCK = 256
+UNKNOWN = "unknown"
 # Page confidences summed exactly, so the mean does not depend on row order.
 EXACT = "decimal(28,10)"
 
@@ -30,34 +31,47 @@ def snapshot_confidence(words: DataFrame) -> DataFrame:
 
 
 def ordered_concat(
-    df: DataFrame, key: str, ordinal: str, value: str, sep: str, out: str,
-    block: int | None = BLOCK,
+    df: DataFrame, key: str, ordinal: str, values: list[str], sep: str, block: int | None = BLOCK,
 ) -> DataFrame:
-    """Concatenate the values of each key in order.
+    """Concatenate the values of each key in order, each value column by itself.
 
     Two levels: blocks of neighbouring rows are sorted and joined first, spread
     over the cluster by key and block, so one key with very many rows is not
     sorted in one task; the second level joins few, already ordered blocks.
     ``block=None`` does it in one level where every key is known to be short.
-    The result is one string per key and must fit one value; for keys beyond
-    that keep the parts of :func:`document_parts`.
+    Ordinals are unique within a key. The result is one string per key and must
+    fit one value; for keys beyond that keep the parts of :func:`document_parts`.
     """
     if block is None:
-        return df.groupBy(key).agg(_joined(ordinal, value, sep).alias(out))
+        return _concat_level(df, [key], ordinal, values, sep)
     blocks = df.withColumn("_block", F.floor(F.col(ordinal) / block))
-    first = blocks.groupBy(key, "_block").agg(_joined(ordinal, value, sep).alias("_text"))
-    return first.groupBy(key).agg(_joined("_block", "_text", sep).alias(out))
+    first = _concat_level(blocks, [key, "_block"], ordinal, values, sep)
+    return _concat_level(first, [key], "_block", values, sep)
 
 
-def _joined(ordinal: str, value: str, sep: str) -> Column:
-    rows = F.array_sort(F.collect_list(F.struct(F.col(ordinal), F.col(value))))
-    return F.array_join(F.transform(rows, lambda r: r[value]), sep)
+def _concat_level(
+    df: DataFrame, keys: list[str], ordinal: str, values: list[str], sep: str,
+) -> DataFrame:
+    def joined(value: str) -> Column:
+        texts = F.transform("_rows", lambda r: r[value])
+        return F.array_join(texts, sep, "").alias(value)
+
+    rows = F.array_sort(F.collect_list(F.struct(ordinal, *values)))
+    grouped = df.groupBy(*keys).agg(rows.alias("_rows"))
+    return grouped.select(*keys, *[joined(v) for v in values])
 
 
-def document_text(pages: DataFrame, text: str = "text", block: int | None = BLOCK) -> DataFrame:
-    """One text per document: pages in order, a blank line between, ends stripped."""
-    whole = ordered_concat(pages, "doc_id", "page", text, PAGE_SEPARATOR, text, block)
-    return whole.withColumn(text, strip(F.col(text)))
+def document_text(
+    pages: DataFrame, texts: list[str] | None = None, block: int | None = BLOCK,
+) -> DataFrame:
+    """One row per document: pages in order, a blank line between, ends stripped.
+
+    ``texts`` names the text columns (``text`` by default); raw and corrected
+    texts are joined in the same pass.
+    """
+    texts = texts or ["text"]
+    whole = ordered_concat(pages, "doc_id", "page", texts, PAGE_SEPARATOR, block)
+    return whole.withColumns({t: strip(F.col(t)) for t in texts})
 
 
 def document_parts(pages: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -69,53 +83,55 @@ def document_parts(pages: DataFrame, text: str = "text", block: int = BLOCK) ->
     blank parts are dropped by comparing each part with the document's first
     and last non-blank part, found by a small aggregate.
     """
-    parts = pages.withColumn("part", F.floor(F.col("page") / block))
-    parts = parts.groupBy("doc_id", "part").agg(_joined("page", text, PAGE_SEPARATOR).alias(text))
-    marked = pages.select(
-        "doc_id", F.floor(F.col("page") / block).alias("part"),
-        F.coalesce(F.col(text).rlike(NON_BLANK), F.lit(False)).alias("_seen"))
-    seen = F.when(F.col("_seen"), F.col("part"))
-    ends = marked.groupBy("doc_id").agg(F.min(seen).alias("_first"), F.max(seen).alias("_last"))
+    numbered = pages.withColumn("part", F.floor(F.col("page") / block))
+    parts = _concat_level(numbered, ["doc_id", "part"], "page", [text], PAGE_SEPARATOR)
+    visible = F.when(F.col(text).rlike(NON_BLANK), F.col("part"))
+    ends = numbered.groupBy("doc_id").agg(
+        F.min(visible).alias("_first"), F.max(visible).alias("_last"))
     inside = parts.join(ends, "doc_id").filter(F.col("part").between(F.col("_first"), F.col("_last")))
-    spaces = F.lit(WHITESPACE)
-    lead = F.when(F.col("part") == F.col("_first"), F.ltrim(F.col(text), spaces)).otherwise(F.col(text))
-    tail = F.when(F.col("part") == F.col("_last"), F.rtrim(F.col("_lead"), spaces)).otherwise(F.col("_lead"))
-    return inside.withColumn("_lead", lead).select("doc_id", "part", tail.alias(text))
+    spaces, body = F.lit(WHITESPACE), F.col(text)
+    begun = F.when(F.col("part") == F.col("_first"), F.ltrim(body, spaces)).otherwise(body)
+    ended = F.when(F.col("part") == F.col("_last"), F.rtrim(F.col("_begun"), spaces))
+    return inside.withColumn("_begun", begun).select(
+        "doc_id", "part", ended.otherwise(F.col("_begun")).alias(text))
 
 
 def document_confidence(pages: DataFrame) -> DataFrame:
     """Unweighted mean of page confidences per document, not rounded."""
-    return pages.groupBy("doc_id").agg(_mean_confidence().alias("confidence"))
-
-
-def _mean_confidence() -> Column:
-    total = F.sum(F.col("confidence").cast(EXACT)).cast("double")
-    return F.coalesce(total / F.nullif(F.count("confidence"), F.lit(0)), F.lit(0.0))
+    return _page_statistics(pages, F.lit(None).cast("string")).select("doc_id", "confidence")
 
 
 def document_language(pages: DataFrame) -> DataFrame:
     """Most frequent known page language; ties go to the one seen first.
 
-    Two aggregates, both combined before their shuffles. ``mode`` would break
-    ties differently.
+    ``mode`` would break ties differently.
     """
-    lang = F.col("detected_language")
-    known = F.when(lang != "unknown", lang)
-    counted = pages.groupBy("doc_id", known.alias("lang")).agg(
-        F.count("*").alias("n"), F.min("page").alias("seen"))
+    plain = pages.select("doc_id", "page", "detected_language", F.lit(0.0).alias("confidence"))
+    return _page_statistics(plain, F.col("detected_language")).select("doc_id", "language")
+
+
+def _page_statistics(pages: DataFrame, language: Column) -> DataFrame:
+    """``doc_id, confidence, language`` by two aggregates, each combined before its shuffle."""
+    counted = pages.groupBy("doc_id", F.nullif(language, F.lit(UNKNOWN)).alias("lang")).agg(
+        F.count("*").alias("n"), F.min("page").alias("seen"),
+        F.sum(F.col("confidence").cast(EXACT)).alias("total"), F.count("confidence").alias("known"))
     rank = F.when(F.col("lang").isNotNull(), F.struct("n", -F.col("seen"), "lang"))
-    best = counted.groupBy("doc_id").agg(F.max(rank).alias("b"))
-    return best.select("doc_id", F.coalesce("b.lang", F.lit("unknown")).alias("language"))
+    merged = counted.groupBy("doc_id").agg(
+        F.max(rank).alias("best"), F.sum("total").cast("double").alias("total"), F.sum("known").alias("known"))
+    mean = F.col("total") / F.nullif(F.col("known"), F.lit(0))
+    return merged.select(
+        "doc_id", F.coalesce(mean, F.lit(0.0)).alias("confidence"),
+        F.coalesce("best.lang", F.lit(UNKNOWN)).alias("language"))
 
 
 def multi_page_document(pages: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """Text, confidence and language per document.
+    """Raw and corrected text, confidence and language per document.
 
     With ``docs`` (a ``doc_id`` table), documents that have no page come out
     with ``error`` set.
     """
-    merged = document_text(pages).join(document_confidence(pages), "doc_id").join(
-        document_language(pages), "doc_id")
+    merged = document_text(pages, ["raw_text", "corrected_text"]).join(
+        _page_statistics(pages, F.col("detected_language")), "doc_id")
     if docs is None:
         return merged.withColumn("error", F.lit(None).cast("string"))
     joined = docs.select("doc_id").join(merged, "doc_id", "left")

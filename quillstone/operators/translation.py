@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import languages
-from ..functions.text import is_blank
+from ..functions.text import effective_text, is_blank
+from .lookup import find_documents
 
 CHUNK_LIMIT = 4500
 
@@ -30,3 +31,17 @@ def translation_requests(
         "truncated": ~blank & (F.length(t) > limit),
         "supported": F.col("target_name").isNotNull(),
     })
+
+
+def translate_requested(requests: DataFrame, docs: DataFrame) -> DataFrame:
+    """Prepare ``doc_id, user_id, target`` requests: look up, choose the text, cut the chunk.
+
+    ``status`` is 404 for a missing document and 500 where there is no text.
+    """
+    found = find_documents(requests, docs).withColumn(
+        "text", effective_text(F.col("corrected_text"), F.col("raw_text")))
+    hit = F.col("status") == 200
+    status = F.when(hit & F.col("error").isNotNull(), 500).otherwise(F.col("status"))
+    return translation_requests(found).select(
+        "doc_id", "user_id", "target", status.alias("status"), F.when(hit, F.col("error")).alias("error"),
+        "supported", "truncated", "chunk")

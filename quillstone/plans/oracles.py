@@ -114,6 +114,9 @@ FROM orders)"""
 REQUESTS = """requests AS (
 SELECT o_orderkey AS doc_id, o_custkey + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS user_id FROM orders)"""
 
+STORED = """stored AS (
+SELECT doc_id, user_id, filename, text AS raw_text, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE text END AS corrected_text FROM forms)"""
+
 EFFECTIVE = "coalesce(nullif(corrected_text, ''), nullif(raw_text, ''), '')"
 
 
@@ -352,8 +355,7 @@ FROM (SELECT doc_id, lower(text) AS l FROM documents) JOIN keywords ON contains(
     ]
     sql["key_info_long"] = KI_CORPUS + " " + " UNION ALL ".join(tidy)
     fields = ", ".join(f"k.{f}" for f in FORM_FIELDS.split(", "))
-    sql["analyze"] = f"""WITH {FORMS}, {REQUESTS}, stored AS (
-SELECT doc_id, user_id, filename, text AS raw_text, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN '' ELSE text END AS corrected_text FROM forms),
+    sql["analyze"] = f"""WITH {FORMS}, {REQUESTS}, {STORED},
 chosen AS (SELECT doc_id, user_id, filename, {EFFECTIVE} AS text FROM stored),
 {_classified('chosen', 'doc_id')}, {_key_info('chosen', 'doc_id')}
 SELECT r.doc_id, r.user_id, CASE WHEN c.doc_id IS NULL THEN 404 ELSE 200 END AS status, c.filename, t.type, t.confidence, {LIST_TEXT}, {fields}
@@ -376,8 +378,9 @@ doc_lang AS (SELECT d.doc_id, coalesce(c.lang, 'unknown') AS language FROM (SELE
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, seen) AS rn FROM counted) WHERE rn = 1) c USING (doc_id))"""
     sql["document_language"] = f"WITH {DOC_PAGES}, {doc_lang} SELECT * FROM doc_lang"
     sql["multi_page_document"] = f"""WITH {DOC_PAGES}, {doc_lang}, merged AS (
-SELECT doc_id, {_strip("string_agg(text, chr(10) || chr(10) ORDER BY page)")} AS text, {mean} AS confidence FROM doc_pages GROUP BY doc_id)
-SELECT o.o_orderkey AS doc_id, m.text, m.confidence, l.language, CASE WHEN m.doc_id IS NULL THEN 'PDF contains no pages' END AS error
+SELECT doc_id, {_strip("string_agg(text, chr(10) || chr(10) ORDER BY page)")} AS raw_text,
+ {_strip(f"string_agg({fixed.format(_repair('text'))}, chr(10) || chr(10) ORDER BY page)")} AS corrected_text, {mean} AS confidence FROM doc_pages GROUP BY doc_id)
+SELECT o.o_orderkey AS doc_id, m.raw_text, m.corrected_text, m.confidence, l.language, CASE WHEN m.doc_id IS NULL THEN 'PDF contains no pages' END AS error
 FROM orders o LEFT JOIN merged m ON m.doc_id = o.o_orderkey LEFT JOIN doc_lang l ON l.doc_id = o.o_orderkey"""
     sql["first_page"] = f"WITH {DOC_PAGES} SELECT doc_id, page, text, confidence, detected_language FROM doc_pages WHERE page = 0 OR (doc_id, page) IN (SELECT doc_id, min(page) FROM doc_pages GROUP BY doc_id HAVING min(page) > 0)"
     sql["best_candidate"] = f"""SELECT doc_id, CASE WHEN length(a) >= length(b) THEN 0 ELSE 1 END AS pref, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS text
@@ -413,6 +416,19 @@ SELECT src, doc_id, target, l.name AS target_name, l.name IS NOT NULL AS support
  CASE WHEN NOT blank THEN md5(left(text, 4500)) END AS chunk_md5
 FROM (SELECT *, ['hi', 'zh-CN', 'xx'][doc_id % 3 + 1] AS target, {_blank('text')} AS blank FROM corpus) LEFT JOIN languages l ON l.code = target"""
 
+    sql["translate_document"] = f"""WITH {FORMS}, {REQUESTS}, {STORED}, found AS (
+SELECT r.doc_id, r.user_id, CASE WHEN r.doc_id % 2 = 0 THEN 'ta' ELSE 'xx' END AS target, s.doc_id IS NOT NULL AS hit, {EFFECTIVE} AS text
+FROM requests r LEFT JOIN stored s ON s.doc_id = r.doc_id AND s.user_id = r.user_id)
+SELECT doc_id, user_id, target, CASE WHEN NOT hit THEN 404 WHEN {_blank('text')} THEN 500 ELSE 200 END AS status,
+ CASE WHEN hit AND {_blank('text')} THEN 'No text to translate' END AS error, target = 'ta' AS supported,
+ length(text) > 4500 AS truncated, CASE WHEN NOT {_blank('text')} THEN left(text, 4500) END AS chunk FROM found"""
+    sql["export_document"] = f"""WITH {FORMS}, {REQUESTS}, {STORED}, found AS (
+SELECT r.doc_id, r.user_id, ['txt', 'json', 'odt'][r.doc_id % 3 + 1] AS fmt, s.doc_id IS NOT NULL AS hit, filename, {EFFECTIVE} AS text
+FROM requests r LEFT JOIN stored s ON s.doc_id = r.doc_id AND s.user_id = r.user_id)
+SELECT doc_id, user_id, fmt, CASE WHEN NOT hit THEN 404 WHEN fmt = 'odt' THEN 400 ELSE 200 END AS status,
+ CASE WHEN hit AND fmt <> 'odt' THEN 'scan.' || doc_id || '.' || fmt END AS export_name,
+ CASE WHEN hit AND fmt <> 'odt' THEN text END AS text FROM found"""
+
     repaired = fixed.format(_repair("text"))
     sql["stream_enrich"] = f"""WITH repaired AS (SELECT doc_id, {repaired} AS text FROM documents),
 {_classified('repaired', 'doc_id')}, {_key_info('repaired', 'doc_id')}

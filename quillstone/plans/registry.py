@@ -91,6 +91,14 @@ def export_name(spark, sf_dir):
     return sinks.export_name(v.export_names(spark, sf_dir), F.col("fmt"))
 
 
+@query
+def export_document(spark, sf_dir):
+    formats = F.array(*map(F.lit, ("txt", "json", "odt")))
+    asked = v.requests(spark, sf_dir).withColumn(
+        "fmt", F.element_at(formats, (F.col("doc_id") % 3 + 1).cast("int")))
+    return sinks.export_requested(asked, v.stored_forms(spark, sf_dir))
+
+
 @query
 def export_latin1_text(spark, sf_dir):
     docs = v.documents(spark, sf_dir)
@@ -342,7 +350,8 @@ def document_language(spark, sf_dir):
 
 @query
 def multi_page_document(spark, sf_dir):
-    pages = v.doc_pages(spark, sf_dir)
+    pages = v.doc_pages(spark, sf_dir).withColumnRenamed("text", "raw_text")
+    pages = repair.correct_text(pages, "raw_text")
     docs = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
     return rollup.multi_page_document(pages, docs)
 
@@ -429,6 +438,13 @@ def translation_requests(spark, sf_dir):
         F.length("chunk").alias("chunk_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
+@query
+def translate_document(spark, sf_dir):
+    asked = v.requests(spark, sf_dir).withColumn(
+        "target", F.when(F.col("doc_id") % 2 == 0, "ta").otherwise("xx"))
+    return translation.translate_requested(asked, v.stored_forms(spark, sf_dir))
+
+
 # Streaming
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import effective_text, export_base_name
+from ..operators.lookup import find_documents
 from .readers import STORED_DOCUMENT
 
 EXPORT_FORMATS = ("txt", "json", "docx", "pdf")
@@ -43,6 +44,19 @@ def export_name(df: DataFrame, fmt: str | Column, filename: str = "filename") ->
     })
 
 
+def export_requested(requests: DataFrame, docs: DataFrame) -> DataFrame:
+    """Answer ``doc_id, user_id, fmt`` export requests with ``status, export_name, text``.
+
+    404 when the owner has no such document, else 400 for an unknown format.
+    """
+    named = export_name(find_documents(requests, docs), F.col("fmt"))
+    status = F.when(F.col("status") == 404, 404).when(F.col("error").isNotNull(), 400).otherwise(200)
+    served = F.col("status") == 200
+    return named.withColumn("status", status).select(
+        "doc_id", "user_id", "fmt", "status", F.when(served, F.col("export_name")).alias("export_name"),
+        F.when(served, export_text()).alias("text"))
+
+
 def append_documents(df: DataFrame, path: str) -> None:
     """Append processed rows to the stored table with defaults and new ids.
 

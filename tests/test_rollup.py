@@ -69,11 +69,12 @@ def test_parts_join_to_the_whole_text(spark, block):
 
 
 def test_multi_page_document_without_pages_is_an_error(spark):
-    df = pages(spark, [(1, 1, "a", 50.0, "en")])
+    df = pages(spark, [(1, 1, "a", 50.0, "en"), (1, 2, " ", 25.5, "unknown")]).selectExpr(
+        "doc_id", "page", "text AS raw_text", "upper(text) AS corrected_text", "confidence", "detected_language")
     docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
-    got = {r.doc_id: (r.text, r.confidence, r.language, r.error)
+    got = {r.doc_id: (r.raw_text, r.corrected_text, r.confidence, r.language, r.error)
            for r in rollup.multi_page_document(df, docs).collect()}
-    assert got == {1: ("a", 50.0, "en", None), 2: (None, None, None, "PDF contains no pages")}
+    assert got == {1: ("a", "A", 37.75, "en", None), 2: (None, None, None, None, "PDF contains no pages")}
 
 
 def test_first_page_and_best_candidate(spark):
