@@ -78,12 +78,13 @@ def _entry(kind: str, ordinal: Column, value: Column) -> Column:
 def analyze(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """Look up requested documents by id and owner, then classify and extract.
 
-    Requests that find nothing keep status 404 and a NULL analysis.
+    Requests that find nothing keep status 404 and a NULL analysis. The text is
+    chosen before the lookup, so the join moves one text per document.
     """
-    found = find_documents(requests, docs)
-    chosen = found.withColumn(
-        "_text", effective_text(F.col("corrected_text"), F.col("raw_text")))
-    analysed = extract_key_info(classify(chosen, "_text"), "_text")
+    chosen = effective_text(F.col("corrected_text"), F.col("raw_text"))
+    found = find_documents(
+        requests, docs.select("doc_id", "user_id", "filename", chosen.alias("_text")))
+    analysed = extract_key_info(classify(found, "_text"), "_text")
     hit = F.col("status") == 200
     return analysed.select(
         "doc_id", "user_id", "status", "filename",

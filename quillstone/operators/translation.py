@@ -12,36 +12,48 @@ from .lookup import find_documents
 CHUNK_LIMIT = 4500
 
 
-def translation_requests(
-    docs: DataFrame, target: str = "target", text: str = "text", limit: int = CHUNK_LIMIT,
-) -> DataFrame:
-    """Add ``chunk, truncated, error, target_name, supported`` for a target-code column.
+def translation_chunks(docs: DataFrame, text: str = "text", limit: int = CHUNK_LIMIT) -> DataFrame:
+    """Add ``chunk, truncated, error``.
 
     The service accepts ``limit`` code points per call; ``truncated`` says that
-    the text was longer. Blank texts carry an error and no chunk. The language
-    dimension (eighteen fixed rows) is broadcast.
+    the text was longer. Blank texts carry an error and no chunk.
     """
-    known = F.broadcast(languages(docs.sparkSession).select(
-        F.col("code").alias(target), F.col("name").alias("target_name")))
     t, blank = F.col(text), is_blank(F.col(text))
-    joined = docs.join(known, target, "left")
-    return joined.withColumns({
+    return docs.withColumns({
         "error": F.when(blank, "No text to translate"),
         "chunk": F.when(~blank, F.substring(t, 1, limit)),
         "truncated": ~blank & (F.length(t) > limit),
-        "supported": F.col("target_name").isNotNull(),
     })
 
 
+def with_target_names(df: DataFrame, target: str = "target") -> DataFrame:
+    """Add ``target_name, supported`` for a target-code column.
+
+    The language dimension (eighteen fixed rows) is broadcast.
+    """
+    known = languages(df.sparkSession).select(
+        F.col("code").alias(target), F.col("name").alias("target_name"))
+    named = df.join(F.broadcast(known), target, "left")
+    return named.withColumn("supported", F.col("target_name").isNotNull())
+
+
+def translation_requests(
+    docs: DataFrame, target: str = "target", text: str = "text", limit: int = CHUNK_LIMIT,
+) -> DataFrame:
+    """Chunks and target names for documents that carry their target code."""
+    return with_target_names(translation_chunks(docs, text, limit), target)
+
+
 def translate_requested(requests: DataFrame, docs: DataFrame) -> DataFrame:
-    """Prepare ``doc_id, user_id, target`` requests: look up, choose the text, cut the chunk.
+    """Prepare ``doc_id, user_id, target`` requests for stored documents.
 
     ``status`` is 404 for a missing document and 500 where there is no text.
+    Texts are cut before the lookup, so the join moves chunks, not documents.
     """
-    found = find_documents(requests, docs).withColumn(
-        "text", effective_text(F.col("corrected_text"), F.col("raw_text")))
-    hit = F.col("status") == 200
-    status = F.when(hit & F.col("error").isNotNull(), 500).otherwise(F.col("status"))
-    return translation_requests(found).select(
-        "doc_id", "user_id", "target", status.alias("status"), F.when(hit, F.col("error")).alias("error"),
-        "supported", "truncated", "chunk")
+    chosen = effective_text(F.col("corrected_text"), F.col("raw_text"))
+    cut = translation_chunks(docs.select("doc_id", "user_id", chosen.alias("text"))).drop("text")
+    found = with_target_names(find_documents(requests, cut))
+    status = F.when(F.col("error").isNotNull(), 500).otherwise(F.col("status"))
+    return found.select(
+        "doc_id", "user_id", "target", status.alias("status"), "error", "supported",
+        F.coalesce("truncated", F.lit(False)).alias("truncated"), "chunk")

@@ -49,12 +49,13 @@ def export_requested(requests: DataFrame, docs: DataFrame) -> DataFrame:
 
     404 when the owner has no such document, else 400 for an unknown format.
     """
-    named = export_name(find_documents(requests, docs), F.col("fmt"))
+    chosen = docs.select("doc_id", "user_id", "filename", export_text().alias("text"))
+    named = export_name(find_documents(requests, chosen), F.col("fmt"))
     status = F.when(F.col("status") == 404, 404).when(F.col("error").isNotNull(), 400).otherwise(200)
     served = F.col("status") == 200
     return named.withColumn("status", status).select(
         "doc_id", "user_id", "fmt", "status", F.when(served, F.col("export_name")).alias("export_name"),
-        F.when(served, export_text()).alias("text"))
+        F.when(served, F.col("text")).alias("text"))
 
 
 def append_documents(df: DataFrame, path: str) -> None:
