@@ -46,7 +46,8 @@ def exact_groups(
 
     Each round counts (group, digit) before the shuffle and joins the counts
     back; a group with a third of all rows is one row on the counted side, so
-    adaptive execution splits the join. Only rows of groups that are still open
+    adaptive execution splits the join; it is a merge join at every size, since
+    the counts grow with the input. Only rows of groups that are still open
     carry their remaining bytes on, through the shared folder.
     """
     plain = normalised(F.col(text))
@@ -64,7 +65,7 @@ def exact_groups(
             .filter("group_size > 1")
             .select("_gid", "digit", "ended", "group_size", F.col("best.i").alias("keep_id"),
                     (F.monotonically_increasing_id() + 1).alias("_next")), "radix-groups")
-        met = cut.join(groups, ["_gid", "digit", "ended"], "left")
+        met = cut.join(groups.hint("merge"), ["_gid", "digit", "ended"], "left")
         done.append(met.filter(F.col("_next").isNull() | F.col("ended")).select(
             F.col("_id").alias(key),
             F.when(F.col("_next").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -72,7 +73,7 @@ def exact_groups(
         if groups.filter("not ended").isEmpty():
             break
         rows = stored(
-            cut.filter("not ended").join(groups.filter("not ended"), ["_gid", "digit"])
+            cut.filter("not ended").join(groups.filter("not ended").hint("merge"), ["_gid", "digit"])
             .select("_id", "_chars", "text_sha256", F.col("_next").alias("_gid"), "rest"), "radix-rows")
         width *= growth
     out = done[0]
