@@ -5,13 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, sharding, url_filter
-from .common import table
+from . import chat, exact_dedup, language_id, packing, pieces, quality, sharding, url_filter
+from .common import table, utf8
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = pieces.decode_pieces(pieces.encode_pieces(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(utf8(listed), 256).alias("ids_sha256"), F.sha2(utf8(F.col("decoded")), 256).alias("decoded_sha256"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify_language(docs, language_id.fit_language_model(docs))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -34,7 +56,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting)}
+    op2_quality_rules, op3_packing, op4_sentencepiece, op5_language_id, op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting)}
 
 _URL = r"'(?s)\A.*?://([^/?#]*)([^?#]*)'"
 _KEY = rf"""CASE WHEN contains({{u}}, '://') THEN
