@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, packing, pieces, quality, sharding, url_filter
+from . import chat, exact_dedup, jaccard, language_id, packing, pieces, quality, sharding, url_filter
 from .common import table, utf8
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_language(docs, language_id.fit_language_model(docs))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -56,7 +60,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_quality_rules, op3_packing, op4_sentencepiece, op5_language_id, op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting)}
+    op2_quality_rules, op3_packing, op4_sentencepiece, op5_language_id, op6_jaccard_join,
+    op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting)}
 
 _URL = r"'(?s)\A.*?://([^/?#]*)([^?#]*)'"
 _KEY = rf"""CASE WHEN contains({{u}}, '://') THEN
