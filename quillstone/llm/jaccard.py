@@ -7,13 +7,14 @@ in which group. A document can only link into a group whose token union holds
 enough of its set, so groups are opened for it only then:
 
 1. Tokens are ordered, rare ones first, by a count sketch of fixed size. Sets
-   that link share a token among the first ``n - ceil(0.85 n) + 1`` of each, so
-   the matrix keeps those tokens only.
+   that link share at least m tokens among the first ``n - ceil(0.85 n) + m`` of
+   each (m grows with the set), so the matrix keeps those tokens only, and a set
+   that shares fewer links with nothing.
 2. Every such token votes for its least class; a class joins the group of the
    leader most of its tokens name. Large groups are split.
 3. The members of a (split) group are compared by multiplying their
    document-by-token matrix with its transpose, block by block of tokens.
-4. A document visits the other groups that share a token, unless all it could
+4. A document visits the other groups that share m tokens, unless all it could
    find there is already in its component. A group is opened for a visitor only
    if the visitor's overlap with the token union reaches the bound.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty
@@ -78,6 +79,17 @@ def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     return (PERCENT * n + 99) // 100
 
 
+def in_common(n: int) -> int:
+    """How many of its rarest tokens a set of ``n`` shares with a set of its size that it links to."""
+    return min(2 + n // 20, least_overlap(n))
+
+
+def fewest_in_common(n: Column) -> Column:
+    """The same for the smallest set it can link to."""
+    smaller = F.floor((PERCENT * n + 99) / 100)
+    return F.least(2 + F.floor(smaller / 20), F.floor((PERCENT * smaller + 99) / 100))
+
+
 def count_sketch(docs: DataFrame, text: str) -> np.ndarray:
     """How many (document, token) pairs hash into each of a fixed number of buckets.
 
@@ -132,7 +144,7 @@ def token_prefixes(docs: DataFrame, key: str, text: str, levels: np.ndarray) ->
                 sigs.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 order = (levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(57)) | (
                     s >> np.uint64(7))
-                keep = len(s) - least_overlap(len(s)) + 1 if len(s) else 0
+                keep = len(s) - least_overlap(len(s)) + in_common(len(s))
                 prefixes.append(s[np.argsort(order, kind="stable")[:keep]].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
@@ -244,6 +256,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     postings = classes.select("cls", "n", F.explode("prefix").alias("token"))
     lead = postings.groupBy("token").agg(F.count("*").alias("k"), F.min("cls").alias("lead")).filter("k > 1")
     shared = stored(postings.join(lead.hint("merge"), "token").select("token", "cls", "n", "lead"), "shared")
+    able = shared.groupBy("cls", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= fewest_in_common(F.col("n")))
+    shared = stored(shared.join(able.select("cls"), "cls", "left_semi"), "shared")
 
     votes = shared.groupBy("cls", "n", "lead").agg(F.count("*").alias("v"))
     homes = votes.groupBy("cls", "n").agg(
@@ -274,7 +288,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     matrix = shared.join(homes.select("cls", "g"), "cls").select("token", "g").distinct()
     queries = shared.select("token", "cls").join(homes.select("cls", F.col("g").alias("home"), "n", "comp"), "cls")
     visits = (
-        queries.join(matrix, "token").filter("g < home").select("cls", "n", "comp", "g").distinct().join(spans, "g")
+        queries.join(matrix, "token").filter("g < home").groupBy("cls", "n", "comp", "g").agg(F.count("*").alias("k"))
+        .filter(F.col("k") >= fewest_in_common(F.col("n"))).join(spans, "g")
         .filter((F.col("c0") != F.col("c1")) | (F.col("c0") != F.col("comp")))
         .filter((100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n")))
         .select("g", "cls", F.lit(-1).alias("own"), "subs"))
