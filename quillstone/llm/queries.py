@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, jaccard, language_id, packing, pieces, quality, sharding, url_filter
+from . import (
+    chat, exact_dedup, jaccard, language_id, packing, pieces, quality, sharding, suffix_dedup, url_filter,
+)
 from .common import table, utf8
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("_key", "kept_text")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -60,8 +66,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_quality_rules, op3_packing, op4_sentencepiece, op5_language_id, op6_jaccard_join,
-    op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting)}
+    op1_suffix_dedup, op2_quality_rules, op3_packing, op4_sentencepiece, op5_language_id,
+    op6_jaccard_join, op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting)}
 
 _URL = r"'(?s)\A.*?://([^/?#]*)([^?#]*)'"
 _KEY = rf"""CASE WHEN contains({{u}}, '://') THEN
