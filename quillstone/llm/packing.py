@@ -259,7 +259,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("_k"), text_or_empty(text).alias("_text"))
     again = (
-        texts.join(cut, F.col("_k").eqNullSafe(F.col("_id"))).drop("_k").mapInArrow(
+        texts.join(cut.hint("merge"), F.col("_k").eqNullSafe(F.col("_id"))).drop("_k").mapInArrow(
             recount, f"_row long, _id {kind}, n long, start long, length long, crc long, seq long, off long")
         .dropDuplicates(["_row", "start"])
         .select(*piece(F.col("start"), F.col("length"), F.col("crc"), F.col("seq"), F.col("off"))))
