@@ -154,7 +154,9 @@ def decode_pieces(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         for b in batches:
-            texts = [sp.decode(v.as_py() or []) for v in b.column(1)]
+            lists = b.column(1)
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            texts = [sp.decode(flat[i:j].tolist()) for i, j in zip(np.append(0, ends), ends)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
                                              ["_id", "_ids", "decoded"])
 
