@@ -85,4 +85,4 @@ def exact_groups(
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with their own columns; rows with an equal key all stay."""
     kept = exact_groups(docs, key, text).filter("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept.hint("merge"), docs[key].eqNullSafe(F.col("_kept")), "left_semi")

@@ -320,4 +320,4 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """The documents whose key is that of their component, with their own columns; rows without a key stay."""
     kept = jaccard_components(docs, key, text).filter(F.col(key) == F.col("component_id")).select(
         F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key] == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col(key).isNull()))
+    return docs.join(kept.hint("merge"), docs[key] == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col(key).isNull()))

@@ -187,10 +187,8 @@ def _scores(texts: list[str], model: Model) -> np.ndarray:
     return total / np.maximum(seen, 1)[:, None] + model.bias
 
 
-def identify_language(
-    docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """``key, held_out, lang_pred, score, rejected``: one row per input row.
+def with_language(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row`` (the input row), ``held_out, lang_pred, score, rejected``: one row per input row.
 
     A text that is NULL or has no letter is ``und`` with score 0 and rejected;
     so is every text when nothing was learned. Equal scores go to the first
@@ -216,14 +214,27 @@ def identify_language(
                     for (j, _), lang, s in zip(waiting, found, best):
                         langs[j], scores[j] = lang, s
                     waiting, chars = [], 0
-            rejected = (np.array(langs) == UNDETERMINED) | (scores < model.reject_below)
+            rejected = (np.array(langs, object) == UNDETERMINED) | (scores < model.reject_below)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)],
-                ["_id", "held_out", "lang_pred", "score", "rejected"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(
-        F.col(key).alias("_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("_text"),
-    ).mapInArrow(
-        run, f"_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean",
-    ).withColumnRenamed("_id", key)
+                ["row", "held_out", "lang_pred", "score", "rejected"])
+
+    rows = docs.select(F.struct("*").alias("row"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("_text"))
+    return rows.mapInArrow(
+        run, f"row {rows.schema['row'].dataType.simpleString()}, held_out boolean, lang_pred string, "
+        "score double, rejected boolean")
+
+
+def identify_language(
+    docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """``key, held_out, lang_pred, score, rejected`` of :func:`with_language`."""
+    picked = docs.select(F.col(key).alias(key), F.col(text).alias(text))
+    return with_language(picked, model, key, text).select(
+        F.col("row")[key].alias(key), "held_out", "lang_pred", "score", "rejected")
+
+
+def keep_known_languages(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that are not rejected, with their own columns."""
+    return with_language(docs, model, key, text).filter("not rejected").select(
+        *[F.col("row")[c].alias(c) for c in docs.columns])

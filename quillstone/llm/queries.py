@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import (
     chat, exact_dedup, jaccard, language_id, packing, pieces, quality, sharding, suffix_dedup, url_filter,
 )
-from .common import table, utf8
+from .common import ship_package, table, utf8
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("_key", "kept_text")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +69,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def _shipped(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (
     op1_suffix_dedup, op2_quality_rules, op3_packing, op4_sentencepiece, op5_language_id,
-    op6_jaccard_join, op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting)}
+    op6_jaccard_join, op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting, pipeline)}
 
 _URL = r"'(?s)\A.*?://([^/?#]*)([^?#]*)'"
 _KEY = rf"""CASE WHEN contains({{u}}, '://') THEN

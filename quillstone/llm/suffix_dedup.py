@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import stored
 from .rolling import mix, prefix_hashes, span_hashes
 
 WINDOW = 200
@@ -395,100 +395,94 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
 
 
 def _met_again(df: DataFrame, on: str) -> DataFrame:
-    return df.groupBy(on).agg(F.sum("copies").alias("n")).filter("n > 1").select(on)
+    return df.groupBy(on).agg(F.count("*").alias("n")).filter("n > 1").select(on)
 
 
-def _predecessors(df: DataFrame, extra: list) -> DataFrame:
+def _predecessors(df: DataFrame, *extra: Column) -> DataFrame:
     """Contents met twice or more, and whether they follow different contents."""
     return df.groupBy("content").agg(
-        F.sum("copies").alias("n"), F.min("before").alias("b0"), F.max("before").alias("b1"), *extra,
-    ).filter("n > 1").withColumn("cut", (F.col("b0") != F.col("b1")) | (F.col("b0") == 0)).drop("b0", "b1")
+        F.count("*").alias("n"), F.min("before").alias("b0"), F.max("before").alias("b1"), *extra,
+    ).filter("n > 1").withColumn("cut", (F.col("b0") != F.col("b1")) | (F.col("b0") == 0)).drop("b0", "b1", "n")
 
 
 def _per_text(units: DataFrame, *columns: str) -> DataFrame:
-    """``_key, units``: the units of each text, at most as many as it has bytes."""
-    return units.groupBy("_key").agg(F.collect_list(F.struct(*columns)).alias("units"))
+    """``_key, units``: the distinct units of each text, at most as many as it has bytes."""
+    return units.groupBy("_key").agg(F.collect_set(F.struct(*columns)).alias("units"))
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """``texts`` (``_id, _key, text``) that may repeat, and ``_key, begin, reach`` of repeated stretches."""
-    spark = docs.sparkSession
+def repeated_spans(docs: DataFrame, key: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (``_key, row, text``), all input rows, and ``_key, begin, reach`` of repeated stretches.
+
+    Rows with an equal id and text share a key; they are counted apart, and
+    repeat each other.
+    """
     plain = docs.select(
-        F.col(key).alias("_id"), text_or_empty(text).alias("text"),
-        F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_key"))
-    copies = plain.groupBy("_key").agg(F.count("*").alias("copies")).filter("copies > 1")
-
-    anchors = _each_text(plain.select("text", "_key"), "anchor long, _key long, lo int", _anchor_rows(window))
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    left = anchors.join(twice.hint("merge"), "anchor").groupBy("_key").agg(F.collect_set("lo").alias("lo"))
-    texts = _bucketed(
-        plain.join(left.join(copies, "_key", "left").withColumnRenamed("_key", "_k").hint("merge"),
-                   F.col("_key") == F.col("_k"))
-        .select("_key", "_id", "text", "lo", F.coalesce("copies", F.lit(1)).alias("copies"))
-        .dropDuplicates(["_key"]), "_key")
-    weights = texts.filter("copies > 1").select("_key", "copies")
-
-    def weighed(df: DataFrame) -> DataFrame:
-        return df.join(weights, "_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-
-    found = weighed(_each_text(
-        texts.select("text", "_key", "lo"),
-        "content long, before long, anchor long, _key long, lo int, hi int, x int", _block_rows(window)))
-    found = stored(found.withColumn("tag", F.xxhash64("_key", "lo")), "blocks")
-    known = _predecessors(found, [F.min("tag").alias("first_tag")])
+        F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_key"), F.struct("*").alias("row"))
+    body = F.coalesce(F.col(f"row.{text}"), F.lit("")).alias("text")
+    anchors = _each_text(plain.select(body, "_key"), "anchor long, _key long, lo int", _anchor_rows(window))
+    left = anchors.join(_met_again(anchors, "anchor").hint("merge"), "anchor").groupBy("_key").agg(
+        F.collect_set("lo").alias("lo"))
+    rows = _bucketed(plain.join(left.hint("merge"), "_key", "left"), "_key").select("_key", "row", body, "lo")
+    texts = rows.filter("lo is not null").select("text", "_key", "lo")
+
+    def with_units(units: DataFrame, *columns: str) -> DataFrame:
+        return texts.join(_per_text(units, *columns), "_key").select("text", "_key", "units")
+
+    found = stored(_each_text(
+        texts, "content long, before long, anchor long, _key long, lo int, hi int, x int", _block_rows(window),
+    ).withColumn("tag", F.xxhash64("_key", "lo")), "blocks")
+    known = _predecessors(found, F.min("tag").alias("first_tag"))
     judged = stored(found.join(known.hint("merge"), "content", "left").select(
         "_key", "lo", "hi", "x", "anchor", "cut", (F.col("tag") == F.col("first_tag")).alias("first")), "judged")
     whole = judged.filter("cut is not null").select("_key", "lo", "hi", "cut", F.lit(False).alias("single"))
 
     # Blocks that do not repeat as a whole, and one of each content that does and shares their anchor.
     in_part = judged.filter("cut is null")
-    open_anchors = in_part.select("anchor").distinct()
-    probes = in_part.unionByName(
-        judged.filter("first").join(open_anchors, "anchor", "left_semi").select(in_part.columns))
-    nodes = stored(weighed(_each_text(
-        texts.select("text", "_key").join(_per_text(probes, "lo", "hi", "x"), "_key").select("text", "_key", "units"),
-        "core long, _key long, lo int, hi int, first boolean", _node_rows(window))), "nodes")
+    probes = in_part.unionByName(judged.filter("first").join(
+        in_part.select("anchor").distinct(), "anchor", "left_semi").select(in_part.columns))
+    nodes = stored(_each_text(
+        with_units(probes, "lo", "hi", "x"), "core long, _key long, lo int, hi int, first boolean",
+        _node_rows(window)), "nodes")
     nodes = nodes.join(_met_again(nodes, "core").hint("merge"), "core")
-    windows = stored(weighed(_each_text(
-        texts.select("text", "_key").join(_per_text(nodes, "lo", "hi", "first"), "_key").select("text", "_key", "units"),
-        "content long, before long, _key long, lo int", _window_rows(window))), "windows")
-    single = windows.join(_predecessors(windows, []).hint("merge"), "content").select(
+    windows = stored(_each_text(
+        with_units(nodes, "lo", "hi", "first"), "content long, before long, _key long, lo int",
+        _window_rows(window)), "windows")
+    single = windows.join(_predecessors(windows).hint("merge"), "content").select(
         "_key", "lo", F.col("lo").alias("hi"), "cut", F.lit(True).alias("single"))
 
     units = stored(_per_text(whole.unionByName(single), "lo", "hi", "cut", "single"), "units")
-    splitters = _splitters(spark, texts, units)
+    splitters = _splitters(texts, units)
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, list[tuple[int, int]]] = {}
         size = 0
         for b in batches:
-            for t, k, c, us in zip(*(col.to_pylist() for col in b.columns)):
+            for t, k, us in zip(*(col.to_pylist() for col in b.columns)):
                 data = t.encode("utf-8", "surrogatepass")
                 for alone in (False, True):
                     for lo, hi in segments([u for u in us if u["single"] is alone]):
                         where = table.setdefault(data[lo:hi + window], [])
                         size += (0 if where else hi - lo + window) + 16
-                        where.extend([(k, lo)] * min(c, 2))
+                        where.append((k, lo))
                 if size > RUN_BYTES:
                     yield from _coded_rows(table, splitters)
                     table, size = {}, 0
         yield from _coded_rows(table, splitters)
 
-    coded = texts.select("text", "_key", "copies").join(units, "_key").select(
-        "text", "_key", "copies", "units").mapInArrow(
+    runs = texts.join(units, "_key").select("text", "_key", "units").mapInArrow(
         sort_runs, "range int, run string, seq int, shared binary, rest_len binary, rest binary, "
         "times binary, where binary")
-    spans = coded.repartition("range").sortWithinPartitions("range", "run", "seq").mapInArrow(
+    spans = runs.repartition("range").sortWithinPartitions("range", "run", "seq").mapInArrow(
         _merge_ranges(window), "_key long, begin long, reach long")
-    return texts, stored(spans, "repeats")
+    return rows, stored(spans, "repeats")
 
 
-def _splitters(spark, texts: DataFrame, units: DataFrame) -> list[bytes]:
+def _splitters(texts: DataFrame, units: DataFrame) -> list[bytes]:
     """First bytes that part the segments into ranges of about equal size, from a bounded sample of texts."""
     total = units.agg(
         F.count("*").alias("texts"),
         F.sum(F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + u["hi"] - u["lo"] + 1)).alias("starts")).first()
-    ranges = int((total["starts"] or 0) // RANGE_BYTES) + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int((total["starts"] or 0) // RANGE_BYTES) + int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = max(1, (total["texts"] or 0) // SAMPLE_TEXTS)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,54 +501,45 @@ def _splitters(spark, texts: DataFrame, units: DataFrame) -> list[bytes]:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``key, _key, n_bytes, n_removed, n_spans, kept_sha256, kept_text``: one row per input row.
+    """``row`` (the input row), ``n_bytes, n_removed, n_spans, kept_sha256, kept_text``: one row per input row.
 
     ``kept_text`` is what is left, NULL where nothing was removed; where a cut
     splits a character, its remaining bytes are dropped from ``kept_text`` only.
     NULL counts as empty; texts shorter than a window are never cut. Matches
     count inside one text, overlapping ones too, and never cross texts. Rows
-    that repeat a key and text repeat each other. Other columns are ignored.
+    that repeat an id and text repeat each other. Other columns travel along in
+    ``row``; an empty table gives an empty result.
     """
-    texts, spans = repeated_spans(docs, key, text, window)
+    rows, spans = repeated_spans(docs, key, text, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, k, us in zip(*(col.to_pylist() for col in b.columns)):
-                data = t.encode("utf-8", "surrogatepass")
-                kept, at, removed, runs, end = [], 0, 0, 0, -1
-                for begin, reach in sorted((u["begin"], u["reach"]) for u in us):
-                    if begin > end:
+            for t, us in zip(b.column(1), b.column(2)):
+                data = t.as_py().encode("utf-8", "surrogatepass")
+                kept, at, runs = [], 0, 0
+                for begin, reach in sorted((u["begin"], u["reach"]) for u in us.as_py() or ()):
+                    if begin > at or not runs:
                         runs += 1
                         kept.append(data[at:begin])
-                    at = end = max(end, begin + reach)
-                kept.append(data[at:])
-                rest = b"".join(kept)
-                removed = len(data) - len(rest)
-                out.append({"_key": k, "n_removed": removed, "n_spans": runs,
-                            "kept_sha256": hashlib.sha256(rest).hexdigest(),
-                            "kept_text": rest.decode("utf-8", "ignore")})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([
-                ("_key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                ("kept_sha256", pa.string()), ("kept_text", pa.string())]))
-
-    changed = texts.select("text", "_key").join(_per_text(spans, "begin", "reach"), "_key").select(
-        "text", "_key", "units").mapInArrow(
-        cut, "_key long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    whole = text_or_empty(text)
-    rows = docs.select(
-        F.col(key).alias("_id"), F.octet_length(whole).cast("long").alias("n_bytes"),
-        F.sha2(F.encode(whole, "UTF-8"), 256).alias("_sha"),
-        F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_key"))
-    return rows.join(changed.hint("merge"), "_key", "left").select(
-        F.col("_id").alias(key), "_key", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "_sha").alias("kept_sha256"), "kept_text")
+                    at = max(at, begin + reach)
+                rest = b"".join([*kept, data[at:]])
+                out.append((len(data), len(data) - len(rest), runs, hashlib.sha256(rest).hexdigest(),
+                            rest.decode("utf-8", "ignore") if runs else None))
+            made = zip(*out) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, k) for c, k in zip(made, kinds))], ["row", *names])
+
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    kinds = [pa.int64()] * 3 + [pa.string()] * 2
+    joined = rows.join(_per_text(spans, "begin", "reach"), "_key", "left").select("row", "text", "units")
+    return joined.mapInArrow(
+        cut, f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, "
+        "kept_sha256 string, kept_text string")
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents with repeated passages removed from their text; NULL texts stay NULL."""
-    out = remove_repeats(docs, key, text, window).filter("n_removed > 0").select("_key", "kept_text").distinct()
-    keyed = docs.withColumn("_repeat_key", F.xxhash64(F.col(key).cast("string"), F.col(text)))
-    return keyed.join(out.hint("merge"), F.col("_repeat_key") == F.col("_key"), "left").withColumn(
-        text, F.coalesce("kept_text", text)).select(*docs.columns)
+    """The documents with repeated passages removed from their text; what is emptied stays as an empty text."""
+    out = remove_repeats(docs, key, text, window)
+    return out.select(*[
+        F.coalesce("kept_text", f"row.{c}").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
