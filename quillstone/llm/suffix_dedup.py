@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import work_dir
 from .common import stored
 from .rolling import mix, prefix_hashes, span_hashes
 
@@ -386,11 +387,11 @@ def _merge_ranges(window: int):
 
 
 def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Write to a table bucketed by ``key``, so that later joins on it move the other side only."""
+    """Write a table bucketed by ``key`` to the shared folder: later joins on it move the other side only."""
     spark = df.sparkSession
     name = f"suffix_dedup_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    df.write.option("compression", "zstd").option("path", work_dir(spark, "rows")).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     return spark.table(name)
 
 
