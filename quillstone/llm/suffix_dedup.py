@@ -9,9 +9,10 @@ neighbours in sorted order:
    have equal anchors, so a block whose anchor string is met once is dropped, and
    with it nearly all text that does not repeat (the duplicate detection that
    precedes string sorting in Bingmann, Sanders and Schimek, 2020).
-2. What is left is cut into segments: runs of blocks, and of single windows where
-   a block repeats in part. A segment begins wherever occurrences of the same
-   content have different predecessors, so equal content is cut alike.
+2. What is left is cut into segments: runs of blocks; where a block repeats in
+   part, runs of nodes, its groups of 16 windows; where a node does, runs of single
+   windows. A segment begins wherever occurrences of the same content have
+   different predecessors, so equal content is cut alike.
 3. The suffixes at segment starts are sorted in each task, and the sorted runs are
    front-coded and exchanged by key range: a string is sent as the length it
    shares with the one before it and the bytes that differ.
@@ -31,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from .common import stored
+from .common import shuffles_released, stored
 from .rolling import mix, prefix_hashes, span_hashes
 
 WINDOW = 200
@@ -152,34 +153,35 @@ def _block_rows(window: int):
 
 
 def _node_rows(window: int):
-    """Groups of up to 16 windows of a block, with what all of them have in common."""
+    """Groups of up to 16 windows of a block: their content, and the bytes that all of them have in common."""
     def make(text: str, key: int, parts: list[dict]):
         p = prefix_hashes(_bytes_of(text))
         lo, hi, x = (np.array([q[c] for q in parts], np.int64) for c in ("lo", "hi", "x"))
-        first, last = (x - hi) // NODE, (x - lo) // NODE
-        times = last - first + 1
+        nearest, farthest = (x - hi) // NODE, (x - lo) // NODE
+        times = farthest - nearest + 1
         of = np.repeat(np.arange(len(parts)), times)
-        j = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        j = farthest[of] - np.arange(len(of)) + np.repeat(np.cumsum(times) - times, times)
         core = x[of] - NODE * j
-        h = span_hashes(p, core, core + window - NODE + 1)
         begin, end = np.maximum(lo[of], core - NODE + 1), np.minimum(hi[of], core)
-        return {"core": mix(h + j.astype(np.uint64)), "_key": np.full(len(of), key), "lo": begin, "hi": end,
-                "first": (begin == lo[of])}
+        content = mix(span_hashes(p, begin, end + window) + (x[of] - begin).astype(np.uint64))
+        before = np.where(begin == lo[of], np.uint64(0), np.append(np.uint64(0), content[:-1]))
+        shared = mix(span_hashes(p, core, core + window - NODE + 1) + j.astype(np.uint64))
+        return {"content": content, "before": before, "core": shared, "_key": np.full(len(of), key),
+                "lo": begin, "hi": end}
     return make
 
 
 def _window_rows(window: int):
-    """Hash of every window that is left, and of the window before it in its block (else 0)."""
+    """Hash of every window of a node, and of the window before it in the node (else 0)."""
     def make(text: str, key: int, nodes: list[dict]):
         p = prefix_hashes(_bytes_of(text))
         lo, hi = (np.array([q[c] for q in nodes], np.int64) for c in ("lo", "hi"))
         times = hi - lo + 1
         of = np.repeat(np.arange(len(nodes)), times)
         s = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
-        first = np.array([q["first"] for q in nodes], bool)[of] & (s == lo[of])
-        back = np.maximum(s - 1, 0)
-        before = np.where(first, np.uint64(0), span_hashes(p, back, back + window))
-        return {"content": span_hashes(p, s, s + window), "before": before, "_key": np.full(len(s), key), "lo": s}
+        content = span_hashes(p, s, s + window)
+        before = np.where(s == lo[of], np.uint64(0), np.append(np.uint64(0), content[:-1]))
+        return {"content": content, "before": before, "_key": np.full(len(s), key), "lo": s}
     return make
 
 
@@ -187,7 +189,7 @@ def _window_rows(window: int):
 
 
 def segments(units: list[dict]) -> list[tuple[int, int]]:
-    """First and last window start of each segment, from blocks or windows ``lo, hi, cut``."""
+    """First and last window start of each segment, from units ``lo, hi, cut`` of one kind."""
     out: list[list[int]] = []
     for u in sorted(units, key=lambda u: u["lo"]):
         if out and not u["cut"] and u["lo"] == out[-1][1] + 1:
@@ -391,7 +393,9 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"suffix_dedup_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", work_dir(spark, "rows")).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    with shuffles_released(spark):
+        df.write.option("compression", "zstd").option("path", work_dir(spark, "rows")).bucketBy(
+            buckets, key).sortBy(key).saveAsTable(name)
     return spark.table(name)
 
 
@@ -399,13 +403,27 @@ def _met_again(df: DataFrame, on: str) -> DataFrame:
     return df.groupBy(on).agg(F.count("*").alias("n")).filter("n > 1").select(on)
 
 
-def _predecessors(df: DataFrame, *extra: Column) -> DataFrame:
-    """Contents met twice or more, and whether they follow different contents."""
+def _predecessors(df: DataFrame) -> DataFrame:
+    """Contents met twice or more, the least text with each, and whether they follow different contents."""
     return df.groupBy("content").agg(
-        F.count("*").alias("n"), F.min("before").alias("b0"), F.max("before").alias("b1"), *extra,
+        F.count("*").alias("n"), F.min("before").alias("b0"), F.max("before").alias("b1"),
+        F.min("_key").alias("first_key"),
     ).filter("n > 1").withColumn("cut", (F.col("b0") != F.col("b1")) | (F.col("b0") == 0)).drop("b0", "b1", "n")
 
 
+def _judged(units: DataFrame, *columns: str) -> DataFrame:
+    """Units with ``cut``, NULL where their content is met once, and whether they stand for it."""
+    return units.join(_predecessors(units).hint("merge"), "content", "left").select(
+        "_key", *columns, "cut", (F.col("_key") == F.col("first_key")).alias("first"))
+
+
+def _opened(judged: DataFrame, by: str) -> DataFrame:
+    """Units that do not repeat as a whole, and one text's for each content that does and shares ``by`` with such."""
+    in_part = judged.filter("cut is null")
+    return in_part.unionByName(judged.filter("first").join(in_part.select(by).distinct(), by, "left_semi")
+                               .select(in_part.columns))
+
+
 def _per_text(units: DataFrame, *columns: str) -> DataFrame:
     """``_key, units``: the distinct units of each text, at most as many as it has bytes."""
     return units.groupBy("_key").agg(F.collect_set(F.struct(*columns)).alias("units"))
@@ -420,7 +438,8 @@ def repeated_spans(docs: DataFrame, key: str, text: str, window: int) -> tuple[D
     plain = docs.select(
         F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_key"), F.struct("*").alias("row"))
     body = F.coalesce(F.col(f"row.{text}"), F.lit("")).alias("text")
-    anchors = _each_text(plain.select(body, "_key"), "anchor long, _key long, lo int", _anchor_rows(window))
+    anchors = stored(_each_text(
+        plain.select(body, "_key"), "anchor long, _key long, lo int", _anchor_rows(window)), "anchors")
     left = anchors.join(_met_again(anchors, "anchor").hint("merge"), "anchor").groupBy("_key").agg(
         F.collect_set("lo").alias("lo"))
     rows = _bucketed(plain.join(left.hint("merge"), "_key", "left"), "_key").select("_key", "row", body, "lo")
@@ -429,29 +448,23 @@ def repeated_spans(docs: DataFrame, key: str, text: str, window: int) -> tuple[D
     def with_units(units: DataFrame, *columns: str) -> DataFrame:
         return texts.join(_per_text(units, *columns), "_key").select("text", "_key", "units")
 
-    found = stored(_each_text(
-        texts, "content long, before long, anchor long, _key long, lo int, hi int, x int", _block_rows(window),
-    ).withColumn("tag", F.xxhash64("_key", "lo")), "blocks")
-    known = _predecessors(found, F.min("tag").alias("first_tag"))
-    judged = stored(found.join(known.hint("merge"), "content", "left").select(
-        "_key", "lo", "hi", "x", "anchor", "cut", (F.col("tag") == F.col("first_tag")).alias("first")), "judged")
-    whole = judged.filter("cut is not null").select("_key", "lo", "hi", "cut", F.lit(False).alias("single"))
-
-    # Blocks that do not repeat as a whole, and one of each content that does and shares their anchor.
-    in_part = judged.filter("cut is null")
-    probes = in_part.unionByName(judged.filter("first").join(
-        in_part.select("anchor").distinct(), "anchor", "left_semi").select(in_part.columns))
+    blocks_left = stored(_each_text(
+        texts, "content long, before long, anchor long, _key long, lo int, hi int, x int", _block_rows(window)), "blocks")
+    blocks_left = stored(_judged(blocks_left, "lo", "hi", "x", "anchor"), "judged-blocks")
     nodes = stored(_each_text(
-        with_units(probes, "lo", "hi", "x"), "core long, _key long, lo int, hi int, first boolean",
-        _node_rows(window)), "nodes")
-    nodes = nodes.join(_met_again(nodes, "core").hint("merge"), "core")
+        with_units(_opened(blocks_left, "anchor"), "lo", "hi", "x"),
+        "content long, before long, core long, _key long, lo int, hi int", _node_rows(window)), "nodes")
+    nodes = stored(_judged(nodes.join(_met_again(nodes, "core").hint("merge"), "core"), "lo", "hi", "core"), "judged-nodes")
     windows = stored(_each_text(
-        with_units(nodes, "lo", "hi", "first"), "content long, before long, _key long, lo int",
-        _window_rows(window)), "windows")
-    single = windows.join(_predecessors(windows).hint("merge"), "content").select(
-        "_key", "lo", F.col("lo").alias("hi"), "cut", F.lit(True).alias("single"))
-
-    units = stored(_per_text(whole.unionByName(single), "lo", "hi", "cut", "single"), "units")
+        with_units(_opened(nodes, "core"), "lo", "hi"), "content long, before long, _key long, lo int",
+        _window_rows(window)), "windows").withColumn("hi", F.col("lo"))
+    windows = _judged(windows, "lo", "hi")
+
+    units = None
+    for level, judged in enumerate((blocks_left, nodes, windows)):
+        repeated = judged.filter("cut is not null").select("_key", "lo", "hi", "cut", F.lit(level).alias("level"))
+        units = repeated if units is None else units.unionByName(repeated)
+    units = stored(_per_text(units, "lo", "hi", "cut", "level"), "units")
     splitters = _splitters(texts, units)
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,8 +473,8 @@ def repeated_spans(docs: DataFrame, key: str, text: str, window: int) -> tuple[D
         for b in batches:
             for t, k, us in zip(*(col.to_pylist() for col in b.columns)):
                 data = t.encode("utf-8", "surrogatepass")
-                for alone in (False, True):
-                    for lo, hi in segments([u for u in us if u["single"] is alone]):
+                for level in range(3):
+                    for lo, hi in segments([u for u in us if u["level"] == level]):
                         where = table.setdefault(data[lo:hi + window], [])
                         size += (0 if where else hi - lo + window) + 16
                         where.append((k, lo))
