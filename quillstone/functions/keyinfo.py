@@ -53,7 +53,7 @@ def extract_dates(text: Column, cap: int = LIST_CAP) -> Column:
 
 
 def extract_emails(text: Column, cap: int = LIST_CAP) -> Column:
-    return F.when(text.contains("@"), _capped(_find_all(text, p.EMAIL), cap))
+    return F.when(text.contains("@"), _capped(_find_all(text, p.EMAIL_FAST), cap))
 
 
 def extract_phones(text: Column, cap: int = LIST_CAP) -> Column:
@@ -87,8 +87,8 @@ def extract_urls(text: Column, cap: int = URL_CAP, low: Column | None = None) ->
 def form_dob(text: Column, dates: Column, low: Column | None = None) -> Column:
     """Labelled date of birth, else year of birth, else the first date, else empty."""
     low = _low(text, low)
-    labelled = non_empty(strip(_first(text, p.DOB_LABELLED)))
-    year = non_empty(_first(text, p.BIRTH_YEAR))
+    labelled = non_empty(strip(_first(text, p.DOB_LABELLED_FAST)))
+    year = non_empty(_first(text, p.BIRTH_YEAR_FAST))
     first_date = F.coalesce(F.get(dates, F.lit(0)), F.lit(""))
     has_label = _has_digit(text) & (
         low.contains("dob") | low.contains("rth") | low.contains("yob"))
@@ -99,7 +99,7 @@ def labelled_name(text: Column, low: Column | None = None) -> Column:
     """The name after a label, else the one after the issuing authority, else empty."""
     low = _low(text, low)
     after_issuer = F.when(low.contains("government"), strip(_first(text, p.NAME_AFTER_ISSUER)))
-    return F.coalesce(non_empty(strip(_first(text, p.NAME_LABELLED))), after_issuer, F.lit(""))
+    return F.coalesce(non_empty(strip(_first(text, p.NAME_LABELLED_FAST))), after_issuer, F.lit(""))
 
 
 def name_above(lines: Column, dob: Column) -> Column:
@@ -124,7 +124,7 @@ def form_gender(text: Column, low: Column | None = None) -> Column:
     """Labelled value, else the first bare Male or Female, capitalised, else empty."""
     low = _low(text, low)
     has_label = low.contains("gender") | low.contains("sex") | low.contains("ſex")
-    labelled = F.when(has_label, non_empty(_first(text, p.GENDER_LABELLED)))
+    labelled = F.when(has_label, non_empty(_first(text, p.GENDER_LABELLED_FAST)))
     bare = F.when(low.contains("male"), _first(text, p.GENDER_BARE))
     return F.initcap(F.coalesce(labelled, bare, F.lit("")))
 

@@ -63,7 +63,7 @@ def effective_text(corrected: Column, raw: Column) -> Column:
 def fix_ocr_artifacts(c: Column) -> Column:
     """Mechanical recognition errors: pound sign, ordinal degree sign, bars inside words."""
     c = F.translate(c, "£", "₹")
-    c = F.regexp_replace(c, r"(?U)(\d+)°", "$1th")
+    c = F.regexp_replace(c, r"(?U)(?<=\d)°", "th")
     c = F.regexp_replace(c, r"(?<=[a-z])[|!](?=[a-z])", "l")
     return F.regexp_replace(c, r"(?<=[A-Z])[|!](?=[A-Z])", "I")
 

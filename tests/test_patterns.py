@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import keyinfo as k
 from quillstone.functions import patterns as p
+from quillstone.functions import text as tx
 from quillstone.plans import views
 
 PORTABLE = [
     n for n in dir(p)
-    if isinstance(getattr(p, n), p.Pattern) and r"\z" not in getattr(p, n).text and n != "PIN_WITH_LEAD"
+    if isinstance(getattr(p, n), p.Pattern) and r"\z" not in getattr(p, n).text
+    and n not in ("PIN_WITH_LEAD", "AMOUNT_FAST", "EMAIL_FAST")
 ]
 TRICKY = [
     "é12/1/20 12/1/20é ²12/1/20", "12/12/2020\x1c13-1-99", "١٢/١/٢٠٢٠", "3 March 21",
@@ -78,3 +81,42 @@ def test_guards_change_nothing(extract, name, texts):
     for text, found in zip(values, texts(extract, values)):
         expected = list(dict.fromkeys(reference(getattr(p, name), text)))[:cap]
         assert found == (expected or None), text
+
+
+FAST = ["AMOUNT", "EMAIL", "NAME_LABELLED", "DOB_LABELLED", "BIRTH_YEAR", "GENDER_LABELLED"]
+
+
+@pytest.mark.parametrize("name", FAST)
+def test_fast_forms_equal_re(name, corpus, texts):
+    pieces = ["1", ",", "12,3", ".", ".5", "1.25", " ", "\n", "Rs", "rs.", "INR", "₹", "$", "a", "b.c", "@", "x@y.co", "-", "%",
+              "_", "é", "²", "..", "Name", "to ", ":", "  \n", "dob", "sex", "F", "Male", "YOB", "1990", "3/4/90", "Asha Rao\n"]
+    values = random_texts(pieces, 4000, 5) + corpus
+    pattern, fast = getattr(p, name), getattr(p, f"{name}_FAST")
+    got = texts(lambda T: F.regexp_extract_all(T, F.lit(fast.java), fast.group), values)
+    for text, found in zip(values, got):
+        assert found == reference(pattern, text), text
+
+
+def test_degree_sign(texts):
+    values = random_texts(["1", "٣", "°", " ", "x", "°°"], 2000, 3) + ["12°° 7° x°", "3°4°"]
+    for text, found in zip(values, texts(tx.fix_ocr_artifacts, values)):
+        assert found == re.sub(r"(\d+)°", r"\1th", text), text
+
+
+RUNS = {
+    "digits": "7" * 200_000, "list": "1," * 100_000, "dots": "x@ " + "a." * 100_000, "degrees": "5" * 100_000 + "°" * 100_000,
+    "label": "Name" + " " * 200_000 + "!", "dob": "dob" + "\n" * 200_000 + "x 1", "mobile": "ph" + " -" * 100_000,
+    "names": "x@" + "a" * 200_000, "at": "@a.b" * 50_000, "spaced": "1 " * 100_000, "address": "add" + " " * 200_000 + " 123456",
+    "months": "1 jan" + "jan" * 60_000, "percent": "1." * 100_000 + "%",
+}
+
+
+@pytest.mark.parametrize("name", sorted(RUNS))
+def test_long_runs_take_linear_time(name, spark):
+    """Each of these took minutes or never ended when a pattern tried a run from each of its characters."""
+    from quillstone.operators.extraction import extract_key_info
+
+    start = time.perf_counter()
+    df = spark.createDataFrame([(1, RUNS[name])], "doc_id int, text string")
+    extract_key_info(df.withColumn("text", tx.corrected_text(F.col("text")))).collect()
+    assert time.perf_counter() - start < 20
