@@ -45,7 +45,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = work_dir(df.sparkSession, label)
     with shuffles_released(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

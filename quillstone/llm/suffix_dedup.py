@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_dir
@@ -109,6 +109,27 @@ def _flat(rows: list[dict], names: list[str], kinds: list[pa.DataType]) -> pa.Re
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
+def _values(column: pa.Array) -> Iterator:
+    """The values of a column one by one; lists as numpy arrays, NULL lists as empty ones."""
+    if not pa.types.is_list(column.type):
+        return (v.as_py() for v in column)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return (flat[i:j] for i, j in zip(np.append(0, ends), ends))
+
+
+def _packed(*fields: tuple[str | Column, int]) -> Column:
+    """Whole numbers in one: each but the first shifted in with its number of bits."""
+    out = None
+    for field, bits in fields:
+        value = (F.col(field) if isinstance(field, str) else field).cast("long")
+        out = value if out is None else F.shiftleft(out, bits).bitwiseOR(value)
+    return out
+
+
+_UNIT_BITS = 8  # of a length or an anchor's distance inside a block
+
+
 def _each_text(df: DataFrame, schema: str, make) -> DataFrame:
     """``make(text, *others)`` gives arrays for one row; flush about every 200,000 results."""
     names, types = zip(*(c.split() for c in schema.split(", ")))
@@ -117,8 +138,8 @@ def _each_text(df: DataFrame, schema: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for b in batches:
-            for i in range(b.num_rows):
-                made = make(*(c[i].as_py() for c in b.columns))
+            for values in zip(*map(_values, b.columns)):
+                made = make(*values)
                 if made is not None:
                     out.append(made)
                     size += len(made[names[0]])
@@ -142,21 +163,23 @@ def _anchor_rows(window: int):
 
 def _block_rows(window: int):
     """Content hash of every block that is left, and that of the block before it."""
-    def make(text: str, key: int, left: list[int]):
+    def make(text: str, key: int, left: np.ndarray):
         p, lo, hi, x = blocks(_bytes_of(text), window)
         content = mix(span_hashes(p, lo, hi + window) + (x - lo).astype(np.uint64))
         before = np.append(np.uint64(0), content[:-1])
         at = np.flatnonzero(np.isin(lo, left))
         return {"content": content[at], "before": before[at], "anchor": span_hashes(p, x, x + ANCHOR)[at],
-                "_key": np.full(len(at), key), "lo": lo[at], "hi": hi[at], "x": x[at]}
+                "_key": np.full(len(at), key),
+                "unit": (lo << 2 * _UNIT_BITS | (hi - lo) << _UNIT_BITS | x - lo)[at]}
     return make
 
 
 def _node_rows(window: int):
     """Groups of up to 16 windows of a block: their content, and the bytes that all of them have in common."""
-    def make(text: str, key: int, parts: list[dict]):
+    def make(text: str, key: int, parts: np.ndarray):
         p = prefix_hashes(_bytes_of(text))
-        lo, hi, x = (np.array([q[c] for q in parts], np.int64) for c in ("lo", "hi", "x"))
+        lo, size, x = parts >> 2 * _UNIT_BITS, parts >> _UNIT_BITS & 255, parts & 255
+        hi, x = lo + size, lo + x
         nearest, farthest = (x - hi) // NODE, (x - lo) // NODE
         times = farthest - nearest + 1
         of = np.repeat(np.arange(len(parts)), times)
@@ -167,36 +190,41 @@ def _node_rows(window: int):
         before = np.where(begin == lo[of], np.uint64(0), np.append(np.uint64(0), content[:-1]))
         shared = mix(span_hashes(p, core, core + window - NODE + 1) + j.astype(np.uint64))
         return {"content": content, "before": before, "core": shared, "_key": np.full(len(of), key),
-                "lo": begin, "hi": end}
+                "unit": begin << 2 * _UNIT_BITS | (end - begin) << _UNIT_BITS}
     return make
 
 
 def _window_rows(window: int):
     """Hash of every window of a node, and of the window before it in the node (else 0)."""
-    def make(text: str, key: int, nodes: list[dict]):
+    def make(text: str, key: int, nodes: np.ndarray):
         p = prefix_hashes(_bytes_of(text))
-        lo, hi = (np.array([q[c] for q in nodes], np.int64) for c in ("lo", "hi"))
-        times = hi - lo + 1
+        lo, times = nodes >> 2 * _UNIT_BITS, (nodes >> _UNIT_BITS & 255) + 1
         of = np.repeat(np.arange(len(nodes)), times)
         s = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
         content = span_hashes(p, s, s + window)
         before = np.where(s == lo[of], np.uint64(0), np.append(np.uint64(0), content[:-1]))
-        return {"content": content, "before": before, "_key": np.full(len(s), key), "lo": s}
+        return {"content": content, "before": before, "_key": np.full(len(s), key), "unit": s << 2 * _UNIT_BITS}
     return make
 
 
 # Sorted runs and their merge
 
 
-def segments(units: list[dict]) -> list[tuple[int, int]]:
-    """First and last window start of each segment, from units ``lo, hi, cut`` of one kind."""
-    out: list[list[int]] = []
-    for u in sorted(units, key=lambda u: u["lo"]):
-        if out and not u["cut"] and u["lo"] == out[-1][1] + 1:
-            out[-1][1] = u["hi"]
-        else:
-            out.append([u["lo"], u["hi"]])
-    return [(a, b) for a, b in out]
+def segments(units: np.ndarray) -> list[tuple[int, int]]:
+    """First and last window start of each segment.
+
+    A unit is its first start, its length less one, its kind and whether a
+    segment must begin there, packed. Units of one kind that follow on each
+    other make a segment.
+    """
+    units = np.sort(units)
+    kind = units >> 1 & 3
+    units = units[np.argsort(kind, kind="stable")]
+    lo, size, kind, cut = units >> 11, units >> 3 & 255, units >> 1 & 3, units & 1
+    hi = lo + size
+    begins = np.append(True, (cut[1:] == 1) | (lo[1:] != hi[:-1] + 1) | (kind[1:] != kind[:-1]))
+    ends = np.append(begins[1:], True)
+    return list(zip(lo[begins].tolist(), hi[ends].tolist()))
 
 
 def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -424,9 +452,9 @@ def _opened(judged: DataFrame, by: str) -> DataFrame:
                                .select(in_part.columns))
 
 
-def _per_text(units: DataFrame, *columns: str) -> DataFrame:
+def _per_text(units: DataFrame, unit: str | Column = "unit") -> DataFrame:
     """``_key, units``: the distinct units of each text, at most as many as it has bytes."""
-    return units.groupBy("_key").agg(F.collect_set(F.struct(*columns)).alias("units"))
+    return units.groupBy("_key").agg(F.collect_set(unit).alias("units"))
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
@@ -445,39 +473,40 @@ def repeated_spans(docs: DataFrame, key: str, text: str, window: int) -> tuple[D
     rows = _bucketed(plain.join(left.hint("merge"), "_key", "left"), "_key").select("_key", "row", body, "lo")
     texts = rows.filter("lo is not null").select("text", "_key", "lo")
 
-    def with_units(units: DataFrame, *columns: str) -> DataFrame:
-        return texts.join(_per_text(units, *columns), "_key").select("text", "_key", "units")
+    def with_units(units: DataFrame) -> DataFrame:
+        return texts.join(_per_text(units), "_key").select("text", "_key", "units")
 
     blocks_left = stored(_each_text(
-        texts, "content long, before long, anchor long, _key long, lo int, hi int, x int", _block_rows(window)), "blocks")
-    blocks_left = stored(_judged(blocks_left, "lo", "hi", "x", "anchor"), "judged-blocks")
+        texts, "content long, before long, anchor long, _key long, unit long", _block_rows(window)), "blocks")
+    blocks_left = stored(_judged(blocks_left, "unit", "anchor"), "judged-blocks")
     nodes = stored(_each_text(
-        with_units(_opened(blocks_left, "anchor"), "lo", "hi", "x"),
-        "content long, before long, core long, _key long, lo int, hi int", _node_rows(window)), "nodes")
-    nodes = stored(_judged(nodes.join(_met_again(nodes, "core").hint("merge"), "core"), "lo", "hi", "core"), "judged-nodes")
-    windows = stored(_each_text(
-        with_units(_opened(nodes, "core"), "lo", "hi"), "content long, before long, _key long, lo int",
-        _window_rows(window)), "windows").withColumn("hi", F.col("lo"))
-    windows = _judged(windows, "lo", "hi")
+        with_units(_opened(blocks_left, "anchor")), "content long, before long, core long, _key long, unit long",
+        _node_rows(window)), "nodes")
+    nodes = stored(_judged(nodes.join(_met_again(nodes, "core").hint("merge"), "core"), "unit", "core"), "judged-nodes")
+    windows = _judged(stored(_each_text(
+        with_units(_opened(nodes, "core")), "content long, before long, _key long, unit long", _window_rows(window),
+    ), "windows"), "unit")
 
     units = None
-    for level, judged in enumerate((blocks_left, nodes, windows)):
-        repeated = judged.filter("cut is not null").select("_key", "lo", "hi", "cut", F.lit(level).alias("level"))
+    for kind, judged in enumerate((blocks_left, nodes, windows)):
+        first = F.shiftright("unit", 2 * _UNIT_BITS)
+        size = F.shiftright("unit", _UNIT_BITS).bitwiseAND(F.lit(255))
+        repeated = judged.filter("cut is not null").select(
+            "_key", _packed((first, 0), (size, 8), (F.lit(kind), 2), ("cut", 1)).alias("unit"))
         units = repeated if units is None else units.unionByName(repeated)
-    units = stored(_per_text(units, "lo", "hi", "cut", "level"), "units")
+    units = stored(_per_text(units), "units")
     splitters = _splitters(texts, units)
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, list[tuple[int, int]]] = {}
         size = 0
         for b in batches:
-            for t, k, us in zip(*(col.to_pylist() for col in b.columns)):
+            for t, k, us in zip(*map(_values, b.columns)):
                 data = t.encode("utf-8", "surrogatepass")
-                for level in range(3):
-                    for lo, hi in segments([u for u in us if u["level"] == level]):
-                        where = table.setdefault(data[lo:hi + window], [])
-                        size += (0 if where else hi - lo + window) + 16
-                        where.append((k, lo))
+                for lo, hi in segments(us):
+                    where = table.setdefault(data[lo:hi + window], [])
+                    size += (0 if where else hi - lo + window) + 16
+                    where.append((k, lo))
                 if size > RUN_BYTES:
                     yield from _coded_rows(table, splitters)
                     table, size = {}, 0
@@ -495,16 +524,17 @@ def _splitters(texts: DataFrame, units: DataFrame) -> list[bytes]:
     """First bytes that part the segments into ranges of about equal size, from a bounded sample of texts."""
     total = units.agg(
         F.count("*").alias("texts"),
-        F.sum(F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + u["hi"] - u["lo"] + 1)).alias("starts")).first()
+        F.sum(F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + F.shiftright(u, 3).bitwiseAND(F.lit(255)) + 1))
+        .alias("starts")).first()
     ranges = int((total["starts"] or 0) // RANGE_BYTES) + int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = max(1, (total["texts"] or 0) // SAMPLE_TEXTS)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, us in zip(*(col.to_pylist() for col in b.columns)):
+            for t, us in zip(*map(_values, b.columns)):
                 data = t.encode("utf-8", "surrogatepass")
-                out += [data[u["lo"]:u["lo"] + HEAD] for u in us if u["cut"]][:10_000]
+                out += [data[lo:lo + HEAD] for lo, _ in segments(us)][:10_000]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["head"])
 
     chosen = units.filter(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0)
@@ -529,10 +559,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, us in zip(b.column(1), b.column(2)):
-                data = t.as_py().encode("utf-8", "surrogatepass")
+            for t, us in zip(_values(b.column(1)), _values(b.column(2))):
+                data = t.encode("utf-8", "surrogatepass")
                 kept, at, runs = [], 0, 0
-                for begin, reach in sorted((u["begin"], u["reach"]) for u in us.as_py() or ()):
+                us = np.sort(us)
+                for begin, reach in zip((us >> 31).tolist(), (us & (1 << 31) - 1).tolist()):
                     if begin > at or not runs:
                         runs += 1
                         kept.append(data[at:begin])
@@ -546,7 +577,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     kinds = [pa.int64()] * 3 + [pa.string()] * 2
-    joined = rows.join(_per_text(spans, "begin", "reach"), "_key", "left").select("row", "text", "units")
+    stretches = _per_text(spans, _packed(("begin", 0), ("reach", 31)))
+    joined = rows.join(stretches, "_key", "left").select("row", "text", "units")
     return joined.mapInArrow(
         cut, f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, "
         "kept_sha256 string, kept_text string")
