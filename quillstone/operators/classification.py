@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import BLANK_TYPE, DOC_TYPES, NO_TYPE_ICON, UNMATCHED_TYPE, doc_types
+from ..dims import BLANK_TYPE, DOC_TYPES, NO_TYPE_ICON, UNMATCHED_TYPE
 from ..functions.classify import classification, score
 from ..functions.text import is_blank, let
 
@@ -24,10 +24,27 @@ def keyword_hits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, F.explode(found).alias("_hit")).select(key, "_hit.type", "_hit.keyword")
 
 
+def _found_types(text: str) -> Column:
+    """``array<struct<type, ord, icon, matched>>`` of the types with a keyword in the text."""
+    def matched(low: Column) -> Column:
+        return F.array(*[
+            F.struct(
+                F.lit(name).alias("type"), F.lit(i).alias("ord"), F.lit(icon).alias("icon"),
+                F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, k)))
+                .cast("bigint").alias("matched"))
+            for i, (name, icon, keywords) in enumerate(DOC_TYPES)
+        ])
+
+    return F.filter(let(F.lower(text), matched), lambda e: e["matched"] > 0)
+
+
 def type_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Matched keywords and confidence per document and type, matches only."""
-    counted = keyword_hits(docs, key, text).groupBy(key, "type").agg(F.count("*").alias("matched"))
-    return counted.withColumn("confidence", score(F.col("matched")))
+    """Matched keywords and confidence per document and type, matches only.
+
+    All hits of a document are in its own row, so nothing is shuffled.
+    """
+    found = docs.select(key, F.explode(_found_types(text)).alias("_t"))
+    return found.select(key, "_t.type", "_t.matched", score(F.col("_t.matched")).alias("confidence"))
 
 
 def classify(docs: DataFrame, text: str = "text", out: str = "classification") -> DataFrame:
@@ -36,17 +53,16 @@ def classify(docs: DataFrame, text: str = "text", out: str = "classification") -
 
 
 def classify_relational(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same answer by grouping: hits, scores, best type, then unmatched documents.
+    """The same answer by grouping the scores of each document, unmatched documents included.
 
-    The best type is a ``max_by`` aggregate, combined before its shuffle, in
-    place of a window over each document.
+    One scan and one shuffle of a row per document and type; the best type is
+    a ``max`` of a struct, combined before the shuffle.
     """
-    spark = docs.sparkSession
-    ranked = type_scores(docs, key, text).join(F.broadcast(doc_types(spark)), "type")
-    best = ranked.groupBy(key).agg(
-        F.max(F.struct("confidence", (-F.col("ord")).alias("rank"), "type", "icon")).alias("b"))
-    joined = docs.select(key, is_blank(F.col(text)).alias("_blank")).join(best, key, "left")
-    return joined.select(
+    rows = docs.select(key, is_blank(F.col(text)).alias("_blank"), F.explode_outer(_found_types(text)).alias("_t"))
+    rank = F.when(F.col("_t").isNotNull(), F.struct(
+        score(F.col("_t.matched")).alias("confidence"), (-F.col("_t.ord")).alias("rank"), "_t.type", "_t.icon"))
+    best = rows.groupBy(key).agg(F.max("_blank").alias("_blank"), F.max(rank).alias("b"))
+    return best.select(
         key,
         F.when(F.col("_blank"), BLANK_TYPE)
         .otherwise(F.coalesce("b.type", F.lit(UNMATCHED_TYPE))).alias("type"),

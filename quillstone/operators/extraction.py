@@ -78,19 +78,17 @@ def _entry(kind: str, ordinal: Column, value: Column) -> Column:
 def analyze(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """Look up requested documents by id and owner, then classify and extract.
 
-    Requests that find nothing keep status 404 and a NULL analysis. The text is
-    chosen before the lookup, so the join moves one text per document.
+    Requests that find nothing keep status 404 and a NULL analysis. A document
+    is analysed once, however often it is requested.
     """
     chosen = effective_text(F.col("corrected_text"), F.col("raw_text"))
-    found = find_documents(
-        requests, docs.select("doc_id", "user_id", "filename", chosen.alias("_text")))
-    analysed = extract_key_info(classify(found, "_text"), "_text")
-    hit = F.col("status") == 200
-    return analysed.select(
-        "doc_id", "user_id", "status", "filename",
-        F.when(hit, F.col("classification")).alias("classification"),
-        F.when(hit, F.col("key_info")).alias("key_info"),
-    )
+
+    def analysed(found: DataFrame) -> DataFrame:
+        return extract_key_info(classify(found, "_text"), "_text").drop("_text")
+
+    texts = docs.select("doc_id", "user_id", "filename", chosen.alias("_text"))
+    return find_documents(requests, texts, analysed).select(
+        "doc_id", "user_id", "status", "filename", "classification", "key_info")
 
 
 def autofill_form(df: DataFrame, info: str = "key_info") -> DataFrame:
@@ -115,7 +113,3 @@ def autofill_json(df: DataFrame) -> DataFrame:
     order = ("name", "dob", "gender", "phone", "email", "address")
     body = F.struct(*[F.col(f"fill_{f}").alias(f) for f in order])
     return df.withColumn("form_json", F.to_json(body))
-
-
-def blank_documents(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("blank", is_blank(F.col(text)))

@@ -1,72 +1,70 @@
 """Language identification from character n-grams.
 
-Training counts n-grams per labelled language and keeps the most frequent ones
-(the ranked-profile model of Cavnar and Trenkle, 1994); detection scores whole
-texts by naive Bayes over those profiles. Scores are integers (micro-nats), so
+Training counts the n-grams of each labelled language; detection scores whole
+texts by naive Bayes over those counts. Scores are integers (micro-nats), so
 sums do not depend on row order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 
 GRAM = 3
-PROFILE_SIZE = 2000
-MAX_LANGUAGES = 250
-MAX_BROADCAST_GRAMS = 1_000_000
+SLICE = 1 << 16
 SCALE = 1_000_000
 UNKNOWN = "unknown"
 
 
+def slices(text: Column, n: int = GRAM, size: int = SLICE) -> Column:
+    """The text cut into pieces that overlap by ``n - 1`` characters: no n-gram is lost or doubled."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{size + n - 1}}})).{{1,{size}}}"), 1)
+
+
 def grams(text: Column, n: int = GRAM) -> Column:
-    """All overlapping character n-grams of the lower-cased text, in one linear pass."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?s)(?=(.{{{n}}}))."), 1)
+    """All overlapping character n-grams of a piece of text, in one linear pass."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))."), 1)
+
+
+def gram_rows(docs: DataFrame, n: int, text: str, *keys: Column, outer: bool = False) -> DataFrame:
+    """``keys, gram`` of every n-gram of the lower-cased visible texts; slice by slice, so memory is bounded."""
+    explode = F.explode_outer if outer else F.explode
+    visible = F.when(~is_blank(F.col(text)), F.lower(text))
+    names = [docs.select(k).columns[0] for k in keys]
+    pieces = docs.select(*keys, explode(slices(visible, n)).alias("_slice"))
+    return pieces.select(*names, explode(grams(F.col("_slice"), n)).alias("gram"))
 
 
 def language_profiles(
-    docs: DataFrame, n: int = GRAM, size: int = PROFILE_SIZE, text: str = "text", lang: str = "lang",
+    docs: DataFrame, n: int = GRAM, text: str = "text", lang: str = "lang",
 ) -> DataFrame:
-    """``lang, gram, cnt``: the ``size`` most frequent n-grams of each language.
+    """``lang, gram, cnt``: every n-gram of each language, blank texts and unlabelled rows left out.
 
-    Counting combines before its shuffle, and the rank limit is pushed below
-    the shuffle of the ranking. The profile size is the model's definition and
-    bounds the table at ``size`` rows per language.
+    Counting combines before its shuffle.
     """
-    counted = (
-        docs.select(F.col(lang).alias("lang"), F.explode(grams(F.col(text), n)).alias("gram"))
-        .groupBy("lang", "gram").agg(F.count("*").alias("cnt"))
-    )
-    best = Window.partitionBy("lang").orderBy(F.col("cnt").desc(), F.col("gram"))
-    return counted.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= size).drop("_r")
+    labelled = docs.filter(F.col(lang).isNotNull())
+    return gram_rows(labelled, n, text, F.col(lang).alias("lang")).groupBy("lang", "gram").agg(
+        F.count("*").alias("cnt"))
 
 
 def gram_weights(profiles: DataFrame) -> tuple[list[str], DataFrame]:
-    """The languages, and ``gram, w0, w1, ...`` with one integer log-probability each.
-
-    The weights are marked for broadcast only up to MAX_BROADCAST_GRAMS counted
-    n-grams; a larger model joins by shuffle.
+    """The languages, and ``gram, w``: an array of one integer log-probability per language.
 
-    Reads one row per language to the driver (their totals), refusing more than
-    MAX_LANGUAGES: a label column with more is not a language. Pass a stored
+    Reads one row per language to the driver (their totals). Pass a stored
     profile table, not a training plan, which would run again here.
     """
-    by_lang = profiles.groupBy("lang").agg(F.sum("cnt").alias("total"))
-    totals = by_lang.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} distinct languages in the profiles")
+    totals = profiles.groupBy("lang").agg(F.sum("cnt").alias("total")).orderBy("lang").collect()
     vocabulary = profiles.agg(F.count_distinct("gram")).first()[0]
-    sums = []
-    for i, row in enumerate(totals):
-        cnt = F.coalesce(F.sum(F.when(F.col("lang") == row["lang"], F.col("cnt"))), F.lit(0))
-        smoothed = (cnt + 1) / F.lit(float(row["total"] + vocabulary))
-        sums.append(F.round(F.log(smoothed) * SCALE).cast("bigint").alias(f"w{i}"))
-    weights = profiles.groupBy("gram").agg(*sums)
-    if vocabulary <= MAX_BROADCAST_GRAMS:
-        weights = F.broadcast(weights)
-    return [row["lang"] for row in totals], weights
+    counts = profiles.groupBy("gram").agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", "cnt"))).alias("counts"))
+    weights = [
+        F.round(F.log((F.coalesce(F.try_element_at("counts", F.lit(row["lang"])), F.lit(0)) + 1)
+                      / F.lit(float(row["total"] + vocabulary))) * SCALE).cast("bigint")
+        for row in totals]
+    return [row["lang"] for row in totals], counts.select(
+        "gram", F.array(*weights).cast("array<bigint>").alias("w"))
 
 
 def detect_language(
@@ -75,19 +73,16 @@ def detect_language(
     """``key, detected_language`` for every document.
 
     Blank texts and texts without any known n-gram are ``unknown``; equal
-    scores go to the first language by name. The model's size depends on its
-    definition and not on the documents, so it is normally broadcast; n-grams
-    are then summed inside the task that reads the document, and the shuffle
-    carries one row per document.
+    scores go to the first language by name. Whether the weights are broadcast
+    is left to the planner's size check; n-grams are summed inside the task
+    before the shuffle.
     """
     langs, weights = gram_weights(profiles)
-    visible = F.when(~is_blank(F.col(text)), grams(F.col(text), n))
-    exploded = docs.select(key, F.explode_outer(visible).alias("gram"))
-    scored = exploded.join(weights, "gram", "left").groupBy(key).agg(
-        *[F.sum(f"w{i}").alias(f"s{i}") for i in range(len(langs))])
+    scored = gram_rows(docs, n, text, F.col(key), outer=True).join(weights, "gram", "left").groupBy(key).agg(
+        F.count("w").alias("_known"), *[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(langs))])
     ranked = F.array(*[
         F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("r"), F.lit(lang).alias("lang"))
         for i, lang in enumerate(langs)
     ])
-    best = F.when(F.col("s0").isNotNull(), F.array_max(ranked)["lang"])
+    best = F.when(F.col("_known") > 0, F.array_max(ranked)["lang"]) if langs else F.lit(None).cast("string")
     return scored.select(key, F.coalesce(best, F.lit(UNKNOWN)).alias("detected_language"))

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import with_ids, work_dir
+
+
+STORED_USER = "id bigint, username string"
+KEYS = ["doc_id", "user_id"]
+
 
-def find_documents(requests: DataFrame, docs: DataFrame) -> DataFrame:
+def find_documents(
+    requests: DataFrame, docs: DataFrame, work: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Requested documents by id and owner with ``status`` 200 or 404.
 
-    Document ids are unique, so the join cannot multiply requests; a document
-    asked for very often skews only the request side, which adaptive skew-join
-    handling splits.
+    The documents are first cut down to those asked for, by a semi join with
+    the distinct keys of the requests: few requests are broadcast, and the
+    documents with their texts stay where they are. ``work`` is applied to what
+    is found, once per document however often it is requested.
     """
-    marked = docs.withColumn("_found", F.lit(True))
-    joined = requests.join(marked, ["doc_id", "user_id"], "left")
+    found = docs.join(requests.select(*KEYS).distinct(), KEYS, "left_semi")
+    if work:
+        found = work(found)
+    joined = requests.join(found.withColumn("_found", F.lit(True)), KEYS, "left")
     return joined.withColumn("status", F.when(F.col("_found"), 200).otherwise(404)).drop("_found")
 
 
@@ -52,3 +65,21 @@ def register_users(new: DataFrame, users: DataFrame) -> DataFrame:
         F.when(ok, "User created successfully")
         .otherwise("Username already registered").alias("message"),
     )
+
+
+def insert_users(new: DataFrame, path: str) -> DataFrame:
+    """Register a batch against the stored users table and append those accepted, with new ids.
+
+    Returns the verdict of :func:`register_users`, stored, since the table it
+    was made against changes. One writer at a time.
+    """
+    spark = new.sparkSession
+    users = spark.read.schema(STORED_USER).parquet(path)
+    verdict_path = work_dir(spark, "registration")
+    register_users(new, users).write.parquet(verdict_path)
+    verdict = spark.read.schema(f"username string, seq {new.schema['seq'].dataType.simpleString()}, "
+                                "status int, message string").parquet(verdict_path)
+    base = users.agg(F.max("id")).first()[0] or 0
+    accepted = verdict.filter("status = 200").select("username")
+    with_ids(accepted, base).select("id", "username").write.mode("append").parquet(path)
+    return verdict

@@ -35,18 +35,23 @@ def ordered_concat(
 ) -> DataFrame:
     """Concatenate the values of each key in order, each value column by itself.
 
-    Two levels: blocks of neighbouring rows are sorted and joined first, spread
-    over the cluster by key and block, so one key with very many rows is not
-    sorted in one task; the second level joins few, already ordered blocks.
-    ``block=None`` does it in one level where every key is known to be short.
-    Ordinals are unique within a key. The result is one string per key and must
-    fit one value; for keys beyond that keep the parts of :func:`document_parts`.
+    Keys within one block of ordinals are sorted and joined in one step, so
+    their texts move once. Keys with more rows go in two levels, blocks of
+    neighbouring rows first, spread over the cluster by key and block, so none
+    is sorted in one task. Which keys those are is a small aggregate without
+    the texts. ``block=None`` takes every key to be short. Ordinals are unique
+    within a key. The result is one string per key and must fit one value; for
+    keys beyond that keep the parts of :func:`document_parts`.
     """
     if block is None:
         return _concat_level(df, [key], ordinal, values, sep)
-    blocks = df.withColumn("_block", F.floor(F.col(ordinal) / block))
+    number = F.floor(F.col(ordinal) / block)
+    long = df.groupBy(key).agg(F.min(number).alias("_b0"), F.max(number).alias("_b1")).filter(
+        "_b0 < _b1").select(key)
+    short = _concat_level(df.join(long, key, "left_anti"), [key], ordinal, values, sep)
+    blocks = df.join(long, key, "left_semi").withColumn("_block", number)
     first = _concat_level(blocks, [key, "_block"], ordinal, values, sep)
-    return _concat_level(first, [key], "_block", values, sep)
+    return short.unionByName(_concat_level(first, [key], "_block", values, sep))
 
 
 def _concat_level(

@@ -26,6 +26,18 @@ def translation_chunks(docs: DataFrame, text: str = "text", limit: int = CHUNK_L
     })
 
 
+def translation_parts(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = CHUNK_LIMIT,
+) -> DataFrame:
+    """``key, chunk_no, chunk``: the whole text as chunks of at most ``limit`` code points, in order.
+
+    Joined in order they equal the text. Blank texts have none.
+    """
+    visible = F.when(~is_blank(F.col(text)), F.col(text))
+    parts = F.regexp_extract_all(visible, F.lit(rf"(?s).{{1,{limit}}}"), 0)
+    return docs.select(key, F.posexplode(parts).alias("chunk_no", "chunk"))
+
+
 def with_target_names(df: DataFrame, target: str = "target") -> DataFrame:
     """Add ``target_name, supported`` for a target-code column.
 
@@ -48,11 +60,15 @@ def translate_requested(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """Prepare ``doc_id, user_id, target`` requests for stored documents.
 
     ``status`` is 404 for a missing document and 500 where there is no text.
-    Texts are cut before the lookup, so the join moves chunks, not documents.
+    Only requested texts are cut.
     """
     chosen = effective_text(F.col("corrected_text"), F.col("raw_text"))
-    cut = translation_chunks(docs.select("doc_id", "user_id", chosen.alias("text"))).drop("text")
-    found = with_target_names(find_documents(requests, cut))
+
+    def cut(found: DataFrame) -> DataFrame:
+        return translation_chunks(found).drop("text")
+
+    texts = docs.select("doc_id", "user_id", chosen.alias("text"))
+    found = with_target_names(find_documents(requests, texts, cut))
     status = F.when(F.col("error").isNotNull(), 500).otherwise(F.col("status"))
     return found.select(
         "doc_id", "user_id", "target", status.alias("status"), "error", "supported",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from ..dims import (
     BLANK_TYPE, DOC_TYPES, LANGUAGES, NO_TYPE_ICON, OCR_LANGUAGE_SHORTHAND, UNMATCHED_TYPE,
 )
-from ..operators.language import PROFILE_SIZE, SCALE
+from ..operators.language import SCALE
 from .registry import SHOWN_USER
 
 SPACES = (r"\t\n\x0b\f\r \x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -253,9 +253,7 @@ GRAMS = """grams AS (
 SELECT doc_id, lang, unnest(list_transform(range(1, length(l) - 1), lambda i: substr(l, i, 3))) AS gram
 FROM (SELECT doc_id, lang, lower(text) AS l, text FROM documents) WHERE length(l) >= 3 AND """ + f"NOT {_blank('text')})"
 PROFILES = GRAMS + f""", profiles AS (
-SELECT lang, gram, cnt FROM (
- SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, gram) AS rn
- FROM (SELECT lang, gram, count(*) AS cnt FROM grams GROUP BY ALL)) WHERE rn <= {PROFILE_SIZE})"""
+SELECT lang, gram, count(*) AS cnt FROM grams WHERE lang IS NOT NULL GROUP BY ALL)"""
 
 CODES = ", ".join(f"({_q(n)}, {_q(c)})" for n, c in LANGUAGES)
 LANGUAGE_ROWS = f"languages(name, code) AS (VALUES {CODES})"
@@ -284,6 +282,7 @@ FROM (SELECT *, string_split(filename, '/')[-1] AS base FROM (SELECT page_id, CA
   ['txt', 'json', 'docx', 'pdf', 'odt'][page_id % 5 + 1] AS fmt FROM (SELECT *, string_split(url, '/')[-1] AS last FROM pages)))"""
     sql["export_latin1_text"] = r"SELECT doc_id, regexp_replace(replace(text, 'e', '€'), '[^\x{00}-\x{FF}]', '?', 'g') AS safe_text FROM documents"
     sql["append_documents"] = f"""WITH {DAMAGED} SELECT filename, 2 AS copies, 2 AS ids, 2 AS dated,
+ 2 * count(*) OVER () AS all_ids, 2 * count(*) OVER () AS last_id,
  md5(coalesce(raw_text, '')) AS raw_md5, md5(coalesce(corrected_text, '')) AS corrected_md5,
  coalesce(language, 'unknown') AS language, coalesce(confidence, 0.0) AS confidence, user_id FROM damaged"""
     sql["image_catalog"] = """SELECT file, height, width, width > 0 AS ok,
@@ -430,8 +429,32 @@ SELECT doc_id, user_id, fmt, CASE WHEN NOT hit THEN 404 WHEN fmt = 'odt' THEN 40
  CASE WHEN hit AND fmt <> 'odt' THEN text END AS text FROM found"""
 
     repaired = fixed.format(_repair("text"))
-    sql["stream_enrich"] = f"""WITH repaired AS (SELECT doc_id, {repaired} AS text FROM documents),
-{_classified('repaired', 'doc_id')}, {_key_info('repaired', 'doc_id')}
-SELECT r.doc_id, md5(r.text) AS corrected_md5, c.type, c.confidence, {LIST_TEXT}, {fields}
-FROM repaired r JOIN classified c USING (doc_id) JOIN ki k USING (doc_id)"""
+    def uploads(files: str, texts: str, error: str) -> str:
+        return f"""{texts}, {_classified('repaired', 'doc_id')}, {_key_info('repaired', 'doc_id')},
+e AS (SELECT r.doc_id, r.raw_text, r.text AS corrected_text, r.language, r.score, c.type, c.confidence, {LIST_TEXT}, {fields}
+FROM repaired r JOIN classified c USING (doc_id) JOIN ki k USING (doc_id))
+SELECT u.doc_id, user_id, filename, {error} AS reject_reason, md5(raw_text) AS raw_md5, md5(corrected_text) AS corrected_md5,
+ language, score, e.* EXCLUDE (doc_id, raw_text, corrected_text, language, score)
+FROM {files} u LEFT JOIN e ON e.doc_id = u.doc_id AND {refused} IS NULL"""
+
+    refused = "CASE WHEN filename = '' THEN 'No selected file' WHEN length > 10485760 THEN 'File too large (max 10MB)' END"
+    for name in ("stream_enrich", "enrich_uploads"):
+        sql[name] = uploads("""(SELECT doc_id, doc_id % 50 AS user_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'scan-' || doc_id || '.png' END AS filename,
+ n_chars * CASE WHEN doc_id % 7 = 0 THEN 10000 ELSE 1 END AS length FROM documents)""", f"""WITH repaired AS (
+SELECT doc_id, text AS raw_text, {repaired} AS text, CASE WHEN doc_id % 3 <> 0 THEN lang ELSE 'unknown' END AS language,
+ CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 101)::DOUBLE ELSE 0.0 END AS score FROM documents)""", refused)
+    paged = """(SELECT *, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'scan.' || doc_id || '.pdf' END AS filename, abs(doc_id) % 50 AS user_id,
+ abs(doc_id) * 7919 % 12000000 AS length FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations UNION ALL SELECT -1 - n_nationkey FROM nation))"""
+    for name, kept in (("process_uploads", "true"), ("process_id_uploads", "page = first")):
+        sql[name] = uploads(paged, f"""WITH {DOC_PAGES.replace('doc_pages AS', 'every_page AS', 1)}, doc_pages AS (
+SELECT * FROM (SELECT *, min(page) OVER (PARTITION BY doc_id) AS first FROM every_page) WHERE {kept}), {doc_lang},
+repaired AS (SELECT doc_id, {_strip("string_agg(text, chr(10) || chr(10) ORDER BY page)")} AS raw_text,
+ {_strip(f"string_agg({fixed.format(_repair('text'))}, chr(10) || chr(10) ORDER BY page)")} AS text,
+ any_value(language) AS language, {mean} AS score FROM doc_pages JOIN doc_lang USING (doc_id) GROUP BY doc_id)""",
+            f"coalesce({refused}, CASE WHEN e.doc_id IS NULL THEN 'PDF contains no pages' END)")
+    sql["insert_users"] = """WITH n AS (SELECT count(*) AS n FROM customer), t AS (
+SELECT c_name AS username, 1 AS copies FROM customer UNION ALL SELECT 'new_' || c_custkey, 1 FROM customer)
+SELECT username, copies, 2 * n AS all_ids, n AS first_accepted, 0 AS second_accepted FROM t, n"""
+    sql["translation_parts"] = f"""WITH {CORPUS} SELECT src, doc_id, CAST(i AS INT) AS chunk_no, md5(substr(text, i * 4500 + 1, 4500)) AS chunk_md5
+FROM (SELECT src, doc_id, text, unnest(range((length(text) + 4499) // 4500)) AS i FROM corpus WHERE NOT {_blank('text')})"""
     return sql

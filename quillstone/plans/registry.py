@@ -11,9 +11,9 @@ from ..dims import languages
 from ..functions import keyinfo as k
 from ..functions import text as tx
 from ..operators import (
-    classification, extraction, history, intake, language, lookup, repair, rollup, translation,
+    classification, extraction, history, intake, language, lookup, repair, rollup, translation, upload,
 )
-from ..session import fills_cluster, work_dir
+from ..session import spread, work_dir
 from ..sources import readers, sinks
 from ..streaming import enrich as streaming
 from . import views as v
@@ -75,8 +75,8 @@ def camera_payload_decode(spark, sf_dir):
 @query
 def export_txt(spark, sf_dir):
     path = work_dir(spark, "export-txt")
-    sinks.export_txt(v.damaged_documents(spark, sf_dir), path)
-    return sinks.read_exported_txt(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
+    sinks.export_txt_bulk(v.damaged_documents(spark, sf_dir), path)
+    return sinks.read_bulk_txt(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -113,7 +113,9 @@ def append_documents(spark, sf_dir):
     sinks.append_documents(rows, path)
     sinks.append_documents(rows, path)
     stored = readers.documents(spark, path, readers.STORED_DOCUMENT)
+    ids = stored.agg(F.count_distinct("id").alias("all_ids"), F.max("id").alias("last_id")).first()
     return stored.groupBy("filename").agg(
+        F.lit(ids["all_ids"]).alias("all_ids"), F.lit(ids["last_id"]).alias("last_id"),
         F.count("*").alias("copies"), F.count_distinct("id").alias("ids"),
         F.count("created_at").alias("dated"), F.md5(F.min("raw_text")).alias("raw_md5"),
         F.md5(F.min("corrected_text")).alias("corrected_md5"),
@@ -374,6 +376,20 @@ def register_users(spark, sf_dir):
     return lookup.register_users(v.user_requests(spark, sf_dir), v.users(spark, sf_dir))
 
 
+@query
+def insert_users(spark, sf_dir):
+    path = work_dir(spark, "users")
+    v.users(spark, sf_dir).select("id", "username").write.parquet(path)
+    asked = v.user_requests(spark, sf_dir)
+    first = lookup.insert_users(asked, path).filter("status = 200").count()
+    again = lookup.insert_users(asked, path).filter("status = 200").count()
+    stored = spark.read.schema(lookup.STORED_USER).parquet(path)
+    ids = stored.agg(F.count_distinct("id")).first()[0]
+    return stored.groupBy("username").agg(
+        F.count("*").alias("copies"), F.lit(ids).cast("bigint").alias("all_ids"),
+        F.lit(first).cast("bigint").alias("first_accepted"), F.lit(again).cast("bigint").alias("second_accepted"))
+
+
 @query
 def documents_with_owner(spark, sf_dir):
     return lookup.documents_with_owner(v.order_documents(spark, sf_dir), v.users(spark, sf_dir))
@@ -438,6 +454,12 @@ def translation_requests(spark, sf_dir):
         F.length("chunk").alias("chunk_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
+@query
+def translation_parts(spark, sf_dir):
+    parts = translation.translation_parts(v.corpus(spark, sf_dir).withColumn("_k", F.struct("src", "doc_id")), "_k")
+    return parts.select("_k.src", "_k.doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
+
+
 @query
 def translate_document(spark, sf_dir):
     asked = v.requests(spark, sf_dir).withColumn(
@@ -445,17 +467,37 @@ def translate_document(spark, sf_dir):
     return translation.translate_requested(asked, v.stored_forms(spark, sf_dir))
 
 
-# Streaming
+# Uploads, in batch and streaming
+
+
+def _upload_rows(rows: DataFrame) -> DataFrame:
+    lists = [F.array_join(f"key_info.{f}", "|").alias(f) for f in extraction.LIST_FIELDS]
+    return rows.select(
+        "doc_id", "user_id", "filename", "reject_reason", F.md5("raw_text").alias("raw_md5"),
+        F.md5("corrected_text").alias("corrected_md5"), "language", F.col("confidence").alias("score"),
+        "classification.type", "classification.confidence", *lists, "key_info.form_fill.*")
 
 
 @query
 def stream_enrich(spark, sf_dir):
     out, checkpoint = work_dir(spark, "stream-out"), work_dir(spark, "stream-checkpoint")
-    arriving = streaming.read_stream(spark, sf_dir, readers.TEXT_DOCUMENT, "documents.parquet")
-    if not fills_cluster(v.table(spark, sf_dir, "documents")):
-        arriving = arriving.repartition(spark.sparkContext.defaultParallelism, "doc_id")
-    streaming.stream_enrich(arriving, out, checkpoint).awaitTermination()
-    lists = [F.array_join(f"key_info.{f}", "|").alias(f) for f in extraction.LIST_FIELDS]
-    return spark.read.parquet(out).select(
-        "doc_id", F.md5("corrected_text").alias("corrected_md5"), "classification.type",
-        "classification.confidence", *lists, "key_info.form_fill.*")
+    arriving = spread(streaming.read_stream(spark, sf_dir, readers.TEXT_DOCUMENT, "documents.parquet"), "doc_id")
+    streaming.stream_enrich(v.text_uploads(arriving), out, checkpoint).awaitTermination()
+    return _upload_rows(spark.read.parquet(out))
+
+
+@query
+def enrich_uploads(spark, sf_dir):
+    return _upload_rows(upload.enrich_uploads(v.text_uploads(v.documents(spark, sf_dir))))
+
+
+@query
+def process_uploads(spark, sf_dir):
+    pages = v.doc_pages(spark, sf_dir).withColumnRenamed("text", "raw_text")
+    return _upload_rows(upload.process_uploads(v.paged_files(spark, sf_dir), pages))
+
+
+@query
+def process_id_uploads(spark, sf_dir):
+    pages = v.doc_pages(spark, sf_dir).withColumnRenamed("text", "raw_text")
+    return _upload_rows(upload.process_uploads(v.paged_files(spark, sf_dir), pages, first_only=True))

@@ -213,3 +213,25 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = F.when(key % 10 == 0, F.lit(None)).when(
         key % 10 == 1, -F.col("o_custkey") - 1).otherwise(F.col("o_custkey"))
     return table(spark, sf_dir, "orders").select(key.alias("doc_id"), owner.alias("user_id"))
+
+
+def text_uploads(docs: DataFrame) -> DataFrame:
+    """``documents`` as arriving uploads: some without a name, some too large, some without language or score."""
+    key = F.col("doc_id")
+    return docs.select(
+        "doc_id", (key % 50).alias("user_id"), "text",
+        F.when(key % 10 == 0, "").otherwise(F.concat(F.lit("scan-"), _key("doc_id"), F.lit(".png"))).alias("filename"),
+        F.when(key % 7 == 0, F.col("n_chars") * 10000).otherwise(F.col("n_chars")).alias("length"),
+        F.when(key % 3 != 0, F.col("lang")).alias("language"),
+        F.when(key % 4 != 0, (key % 101).cast("double")).alias("confidence"))
+
+
+def paged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per conversation and some without pages; some are rejected."""
+    key = F.col("doc_id")
+    ids = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    more = table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey").cast("bigint")).alias("doc_id"))
+    return ids.unionByName(more).select(
+        "doc_id", (F.abs(key) % 50).alias("user_id"),
+        F.when(key % 10 == 0, "").otherwise(F.concat(F.lit("scan."), _key("doc_id"), F.lit(".pdf"))).alias("filename"),
+        (F.abs(key) * 7919 % 12_000_000).alias("length"))

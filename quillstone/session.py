@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "quillstone", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,22 +38,29 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def fills_cluster(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate gives every core a full input split."""
-    spark = df.sparkSession
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return size >= spark.sparkContext.defaultParallelism * split
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a table on ``keys`` into as many partitions as the caller asks for.
+
+    For tables in too few files to occupy the cores, a plain setting of the
+    session, ``spark.quillstone.spread``; without it the table is left alone.
+    """
+    parts = int(df.sparkSession.conf.get("spark.quillstone.spread", "0"))
+    return df.repartition(parts, *keys) if parts else df
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a table that is too small to occupy the cluster from its scan alone.
+def with_ids(df: DataFrame, base: int, out: str = "id") -> DataFrame:
+    """Add dense ids ``base + 1, base + 2, ...`` without passing the rows through one task.
 
-    A small file with one row group is read by one task however many cores are
-    idle. Such a table is hash-partitioned on ``keys``; the shuffle is then at
-    most one input split per core. A larger table already scans in parallel and
-    passes through untouched.
+    The rows are written once with the task they came from and their place in
+    it; each task's offset is the sum of the counts before it, one row a task.
     """
-    if fills_cluster(df):
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    spark = df.sparkSession
+    path = work_dir(spark, "numbered")
+    place = F.monotonically_increasing_id()
+    df.withColumns({"_task": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_task").agg(F.count("*").alias("_n")).select(
+        "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return rows.join(F.broadcast(offsets), "_task").withColumn(
+        out, F.col("_offset") + F.col("_place") + F.lit(base + 1)).drop("_task", "_place", "_offset")

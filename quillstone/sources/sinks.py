@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import effective_text, export_base_name
 from ..operators.lookup import find_documents
+from ..session import with_ids
 from .readers import STORED_DOCUMENT
 
 EXPORT_FORMATS = ("txt", "json", "docx", "pdf")
@@ -18,7 +19,11 @@ def export_text() -> Column:
 
 
 def export_txt(docs: DataFrame, path: str) -> None:
-    """One text file per document in ``path/doc_id=<id>/``; the writer ends it with a newline."""
+    """One text file per document in ``path/doc_id=<id>/``; the writer ends it with a newline.
+
+    For documents somebody asked for: a folder each is too many for a whole
+    table, which :func:`export_txt_bulk` is for.
+    """
     docs.select("doc_id", export_text().alias("value")).write.partitionBy("doc_id").text(path)
 
 
@@ -28,6 +33,32 @@ def read_exported_txt(spark: SparkSession, path: str) -> DataFrame:
     return files.select("doc_id", F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
+def export_txt_bulk(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Texts of a whole table in ``path/bucket=<n>/``: a line per document, id, tab and escaped text.
+
+    Backslash, newline and carriage return are written ``\\\\``, ``\\n`` and ``\\r``.
+    The number of folders does not grow with the table.
+    """
+    text = F.replace(export_text(), F.lit("\\"), F.lit("\\\\"))
+    text = F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    docs.select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("\t"), text).alias("value"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"),
+    ).write.partitionBy("bucket").text(path)
+
+
+def read_bulk_txt(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, text`` of an :func:`export_txt_bulk` folder."""
+    lines = spark.read.schema("value string, bucket bigint").text(path)
+    body = F.regexp_replace("value", r"\A[^\t]*\t", "")
+    # An escaped backslash is set aside while the other escapes are undone.
+    parts = F.transform(F.split(body, r"\\\\", -1), lambda t: F.replace(
+        F.replace(t, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return lines.select(
+        F.substring_index("value", "\t", 1).cast("bigint").alias("doc_id"),
+        F.array_join(parts, "\\").alias("text"))
+
+
 def export_json(docs: DataFrame, path: str) -> None:
     """JSON lines ``{filename, text}``."""
     docs.select("filename", export_text().alias("text")).write.json(path)
@@ -61,18 +92,19 @@ def export_requested(requests: DataFrame, docs: DataFrame) -> DataFrame:
 def append_documents(df: DataFrame, path: str) -> None:
     """Append processed rows to the stored table with defaults and new ids.
 
-    Ids follow the largest stored one, unique but not dense: they come from
-    each task's own counter, since a dense numbering would send all rows
-    through one task. One writer at a time.
+    Ids follow the largest stored one without gaps. Rows are sorted by owner
+    within each file, so that a history reads few row groups. One writer at a
+    time.
     """
     spark = df.sparkSession
     try:
         stored = spark.read.schema(STORED_DOCUMENT).parquet(path).agg(F.max("id")).first()[0]
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         stored = None
-    base = 0 if stored is None else stored
-    df.select(
-        (F.monotonically_increasing_id() + F.lit(base + 1)).alias("id"),
+    with_ids(df, stored or 0).select(
+        "id",
         "filename",
         F.coalesce("raw_text", F.lit("")).alias("raw_text"),
         F.coalesce("corrected_text", F.lit("")).alias("corrected_text"),
@@ -80,4 +112,4 @@ def append_documents(df: DataFrame, path: str) -> None:
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.current_timestamp().alias("created_at"),
         "user_id",
-    ).write.mode("append").parquet(path)
+    ).sortWithinPartitions("user_id").write.mode("append").parquet(path)

@@ -7,15 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.classification import classify
-from ..operators.extraction import extract_key_info
-from ..operators.repair import correct_text
-
-
-def enrich(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Repair, classify and extract; the same stateless columns for batch and stream."""
-    repaired = correct_text(docs, text)
-    return extract_key_info(classify(repaired, "corrected_text"), "corrected_text")
+from ..operators.upload import enrich_uploads
 
 
 def read_stream(
@@ -31,13 +23,16 @@ def read_stream(
     return reader.parquet(path)
 
 
-def stream_enrich(stream: DataFrame, out: str, checkpoint: str, text: str = "text") -> StreamingQuery:
-    """Append enriched documents to Parquet, all available input, exactly once.
+def stream_enrich(uploads: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append a row per arriving upload to Parquet, all available input, exactly once.
+
+    The columns are those of :func:`enrich_uploads`: rejected uploads come with
+    their reason, missing values with their defaults.
 
     Source offsets and the sink's commit log are kept under ``checkpoint`` and
     ``out``; both must be on storage that outlives an executor.
     """
-    enriched = enrich(stream, text).withColumn("processed_at", F.current_timestamp())
+    enriched = enrich_uploads(uploads).withColumn("processed_at", F.current_timestamp())
     return (
         enriched.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint)

@@ -1,15 +1,46 @@
+from pyspark.sql import functions as F
+
 from quillstone.operators import language, translation
 from quillstone.plans import views
 
 
 def test_grams_overlap_and_count_code_points(texts):
-    assert texts(language.grams, ["aBcd", "ab", "a😀b\nc", ""]) == [["abc", "bcd"], [], ["a😀b", "😀b\n", "b\nc"], []]
+    assert texts(lambda c: language.grams(F.lower(c)), ["aBcd", "ab", "a😀b\nc", ""]) == [["abc", "bcd"], [], ["a😀b", "😀b\n", "b\nc"], []]
+
+
+def test_slices_lose_no_gram(texts):
+    value = "".join(chr(97 + i * i % 23) for i in range(997)) + "😀é"
+    for size in (1, 2, 7, 996, 999, 5000):
+        parts = texts(lambda c: language.slices(c, 3, size), [value])[0]
+        grams = [part[i:i + 3] for part in parts for i in range(len(part) - 2)]
+        assert sorted(grams) == sorted(value[i:i + 3] for i in range(len(value) - 2))
+
+
+def test_profiles_keep_every_gram_of_labelled_text(spark):
+    docs = spark.createDataFrame(
+        [("en", "aaaa"), ("en", "abcabc"), ("de", "abc"), (None, "xyz"), ("fr", " \n\t  "), ("fr", None)],
+        "lang string, text string")
+    got = {(r.lang, r.gram): r.cnt for r in language.language_profiles(docs).collect()}
+    assert got == {("en", "aaa"): 2, ("en", "abc"): 2, ("en", "bca"): 1, ("en", "cab"): 1, ("de", "abc"): 1}
+
+
+def model(spark, path, rows):
+    language.language_profiles(spark.createDataFrame(rows, "lang string, text string")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_three_hundred_labels(spark, tmp_path):
+    profiles = model(spark, str(tmp_path / "many"), [(f"l{i:03}", f"q{i:03}x" * 3) for i in range(300)])
+    docs = spark.createDataFrame([(i, f"q{i:03}x" * 3) for i in (8, 217, 299)], "doc_id int, text string")
+    got = dict(language.detect_language(docs, profiles).collect())
+    assert got == {8: "l008", 217: "l217", 299: "l299"}
 
 
-def test_profiles_keep_the_most_frequent(spark):
-    docs = spark.createDataFrame([("en", "aaaa"), ("en", "abcabc"), ("de", "abc")], "lang string, text string")
-    got = {(r.lang, r.gram): r.cnt for r in language.language_profiles(docs, size=2).collect()}
-    assert got == {("en", "aaa"): 2, ("en", "abc"): 2, ("de", "abc"): 1}
+def test_a_text_of_twenty_megabytes(spark, tmp_path):
+    profiles = model(spark, str(tmp_path / "two"), [("x", "abcabd"), ("y", "mnomnp")])
+    docs = spark.createDataFrame([(1, "abc"), (2, "mno ")], "doc_id int, text string").withColumn(
+        "text", F.repeat("text", 5_000_000))
+    assert dict(language.detect_language(docs, profiles).collect()) == {1: "x", 2: "y"}
 
 
 def test_detection(spark, sf_dir, tmp_path):

@@ -6,6 +6,8 @@ import zlib
 from pyspark.sql import functions as F
 
 from quillstone.operators import intake
+from quillstone.operators.upload import enrich_uploads
+from quillstone.plans import views
 from quillstone.session import spread, work_dir
 from quillstone.sources import readers, sinks
 from quillstone.streaming import enrich as streaming
@@ -116,20 +118,24 @@ def test_stream_equals_batch_across_restarts(spark, sf_dir):
     halves = docs.randomSplit([0.5, 0.5], seed=1)
     for half in halves:
         half.repartition(3).write.mode("append").parquet(source)
-        arriving = streaming.read_stream(spark, source, readers.TEXT_DOCUMENT, max_files=2)
+        arriving = views.text_uploads(streaming.read_stream(spark, source, readers.TEXT_DOCUMENT, max_files=2))
         streaming.stream_enrich(arriving, out, checkpoint).awaitTermination()
-    columns = ["doc_id", "corrected_text", "classification.type", "classification.confidence", "key_info"]
+    columns = ["doc_id", "reject_reason", "corrected_text", "language", "classification.type", "key_info"]
     got = spark.read.parquet(out).select(*columns)
-    want = streaming.enrich(docs).select(*columns)
+    want = enrich_uploads(views.text_uploads(docs)).select(*columns)
+    assert got.filter("reject_reason is not null").count() > 0
     assert got.count() == docs.count()
     assert got.exceptAll(want).isEmpty()
 
 
-def test_spread_only_touches_small_tables(spark, plan):
-    small = spark.range(10)
-    assert "Exchange" in plan(spread(small, "id"))
-    large = spark.range(10**9)
-    assert "Exchange" not in plan(spread(large, "id"))
+def test_spread_is_the_callers_choice(spark, plan):
+    table = spark.range(10)
+    assert "Exchange" not in plan(spread(table, "id"))
+    spark.conf.set("spark.quillstone.spread", "3")
+    try:
+        assert spread(table, "id").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset("spark.quillstone.spread")
 
 
 def test_work_dir_is_the_shared_folder(spark):
