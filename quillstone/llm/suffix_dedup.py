@@ -44,7 +44,7 @@ ANCHOR = 32
 GRAM = 16
 NODE = 16
 HEAD = 32
-RUN_BYTES = 32 << 20
+RUN_BYTES = 16 << 20
 RANGE_BYTES = 4 << 20
 ROW_BYTES = 1 << 20
 SAMPLE_TEXTS = 1000
