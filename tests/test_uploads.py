@@ -1,0 +1,126 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillstone.operators import extraction, lookup, rollup, translation, upload
+from quillstone.sources import readers, sinks
+
+
+def stored_docs(spark, tmp_path, n=3000):
+    path = str(tmp_path / "docs")
+    spark.range(n).select(
+        F.col("id").alias("doc_id"), (F.col("id") % 7).alias("user_id"), F.concat(F.lit("f"), F.col("id")).alias("filename"),
+        F.repeat(F.concat(F.lit("GST invoice total "), F.col("id"), F.lit(" ")), 50).alias("raw_text"),
+        F.lit(None).cast("string").alias("corrected_text")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("answer", [
+    lookup.find_documents, extraction.analyze, translation.translate_requested, sinks.export_requested])
+def test_few_requests_leave_the_documents_in_place(spark, tmp_path, plan, answer):
+    docs = stored_docs(spark, tmp_path)
+    if answer is lookup.find_documents:
+        docs = docs.select("doc_id", "user_id", "raw_text")
+    rows = [(5, 5, "ta", "txt"), (5, 5, "ta", "txt"), (6, 1, "ta", "txt")]
+    asked_path = str(tmp_path / "asked")
+    spark.createDataFrame(rows, "doc_id long, user_id long, target string, fmt string").write.parquet(asked_path)
+    asked = spark.read.parquet(asked_path)
+    lines = plan(answer(asked, docs)).split("\n")
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "raw_text" in line)
+    depth = re.match(r"[^\w*]*", lines[scan]).end()
+    above = []
+    for line in reversed(lines[:scan]):
+        d = re.match(r"[^\w*]*", line).end()
+        if d < depth:
+            above.append(line)
+            depth = d
+            if "LeftSemi" in line:
+                break
+    assert any("BroadcastHashJoin" in line and "LeftSemi" in line for line in above)
+    assert not any("Exchange" in line for line in above)
+    got = answer(asked, docs).collect()
+    assert sorted((r.doc_id, r.status) for r in got) == [(5, 200), (5, 200), (6, 404)]
+
+
+def test_a_repeated_request_is_analysed_once(spark, tmp_path):
+    docs = stored_docs(spark, tmp_path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(found):
+        return found.withColumn("n", F.udf(lambda t: seen.add(1) or len(t), "int")("raw_text"))
+
+    asked = spark.createDataFrame([(5, 5)] * 40, "doc_id long, user_id long")
+    assert lookup.find_documents(asked, docs, work).select("n").collect()[0].n > 0
+    assert seen.value == 1
+
+
+def test_short_documents_move_their_texts_once(spark, tmp_path, plan):
+    pages = spark.range(400).select(
+        (F.col("id") % 40).alias("doc_id"), F.floor(F.col("id") / 40).alias("page"), F.repeat(F.lit("x"), 900).alias("text"))
+    text = plan(rollup.document_text(pages))
+    carrying = [line for line in text.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(carrying) <= 8  # keys of long documents, short ones once, long ones twice
+    got = rollup.document_text(pages)
+    assert got.count() == 40 and got.filter(F.length("text") != 900 * 10 + 18).isEmpty()
+    assert got.exceptAll(rollup.document_text(pages, block=3)).isEmpty()
+
+
+def test_registration_is_stored(spark, tmp_path):
+    path = str(tmp_path / "users")
+    spark.createDataFrame([(3, "ann"), (9, "bob")], "id long, username string").write.parquet(path)
+    batch = spark.createDataFrame([("bob", 1), ("cid", 2), ("cid", 3), ("dee", 4)], "username string, seq int")
+    verdict = {(r.username, r.seq): r.status for r in lookup.insert_users(batch, path).collect()}
+    assert verdict == {("bob", 1): 400, ("cid", 2): 200, ("cid", 3): 400, ("dee", 4): 200}
+    assert {r.status for r in lookup.insert_users(batch, path).collect()} == {400}
+    users = spark.read.parquet(path).collect()
+    assert {r.username for r in users} == {"ann", "bob", "cid", "dee"}
+    assert {r.id for r in users if r.username in ("cid", "dee")} == {10, 11}
+
+
+def test_bulk_text_round_trip(spark, tmp_path):
+    odd = ["a\nb", "tab\tin", "back\\slash", "\\n not a newline", "\\\\", "\r\n", "", "é😀", "\\\n\\r"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(odd)],
+                                 "doc_id long, raw_text string, corrected_text string")
+    path = str(tmp_path / "bulk")
+    sinks.export_txt_bulk(docs, path, buckets=3)
+    assert dict(sinks.read_bulk_txt(spark, path).collect()) == dict(enumerate(odd))
+
+
+def test_append_reports_other_errors(spark, tmp_path):
+    path = tmp_path / "broken"
+    path.mkdir()
+    (path / "x.parquet").write_text("no parquet")
+    row = spark.createDataFrame([("f", "r", "c", "en", 1.0, 1)], "filename string, raw_text string, "
+                                "corrected_text string, language string, confidence double, user_id long")
+    with pytest.raises(Exception):
+        sinks.append_documents(row, str(path))
+    fresh = str(tmp_path / "fresh")
+    for _ in range(2):
+        sinks.append_documents(row.union(row).repartition(2), fresh)
+    assert sorted(r.id for r in readers.documents(spark, fresh, readers.STORED_DOCUMENT).collect()) == [1, 2, 3, 4]
+
+
+def test_translation_parts_cover_the_text(spark):
+    long = "é" * 4501 + "\n" + "x" * 5000
+    docs = spark.createDataFrame([(1, long), (2, " "), (3, None), (4, "ab")], "doc_id long, text string")
+    parts = translation.translation_parts(docs).orderBy("doc_id", "chunk_no").collect()
+    assert "".join(r.chunk for r in parts if r.doc_id == 1) == long
+    assert {r.doc_id for r in parts} == {1, 4} and max(len(r.chunk) for r in parts) == 4500
+
+
+def test_uploads(spark):
+    files = spark.createDataFrame(
+        [(1, 7, "a.pdf", 10), (2, 7, "", 10), (3, 7, "c.pdf", 20_000_000), (4, 7, "d.pdf", 10)],
+        "doc_id long, user_id long, filename string, length long")
+    pages = spark.createDataFrame(
+        [(1, 1, "GST total: Rs. 5\n", 80.0, "en"), (1, 0, "Invoice", 60.0, "unknown"), (2, 0, "never", 1.0, "en"),
+         (3, 0, "never", 1.0, "en")], "doc_id long, page long, raw_text string, confidence double, detected_language string")
+    got = {r.doc_id: r for r in upload.process_uploads(files, pages).collect()}
+    assert got[1].raw_text == "Invoice\n\nGST total: Rs. 5" and got[1].language == "en" and got[1].confidence == 70.0
+    assert got[1].classification.type == "Invoice" and got[1].key_info.amounts == ["Rs. 5"]
+    assert {i: r.reject_reason for i, r in got.items()} == {
+        1: None, 2: "No selected file", 3: "File too large (max 10MB)", 4: "PDF contains no pages"}
+    assert got[2].raw_text is None and got[2].classification is None
+    first = {r.doc_id: r for r in upload.process_uploads(files, pages, first_only=True).collect()}
+    assert first[1].raw_text == "Invoice" and first[1].language == "unknown"
