@@ -288,8 +288,8 @@ FROM (SELECT *, string_split(filename, '/')[-1] AS base FROM (SELECT page_id, CA
     sql["image_catalog"] = """SELECT file, height, width, width > 0 AS ok,
  CASE WHEN width > 2000 THEN CAST(trunc(width * (2000.0::DOUBLE / width)) AS INT) WHEN width > 0 THEN width END AS target_w,
  CASE WHEN width > 2000 THEN CAST(trunc(height * (2000.0::DOUBLE / width)) AS INT) WHEN width > 0 THEN height END AS target_h
-FROM (SELECT 'img-' || page_id || '.png' AS file, CASE WHEN page_id % 11 = 0 THEN -1 ELSE CAST(length(url) * 37 + 1 AS INT) END AS height,
- CASE WHEN page_id % 11 = 0 THEN -1 ELSE CAST(length(html) + page_id % 50 AS INT) END AS width FROM pages)"""
+FROM (SELECT 'img-' || page_id AS file, CASE WHEN page_id % 11 = 0 THEN -1 ELSE CAST(length(url) * 37 + 1 AS INT) END AS height,
+ CASE WHEN page_id % 11 = 0 THEN -1 ELSE CAST(length(html) % 60000 + page_id % 50 + 1 AS INT) END AS width FROM pages)"""
 
     sql["effective_text"] = f"WITH {DAMAGED} SELECT doc_id, {EFFECTIVE} AS text FROM damaged"
     sql["is_blank"] = f"WITH {CORPUS} SELECT src, doc_id, {_blank('text')} AS blank FROM corpus"

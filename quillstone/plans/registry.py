@@ -125,7 +125,7 @@ def append_documents(spark, sf_dir):
 
 @query
 def image_catalog(spark, sf_dir):
-    return intake.plan_images(v.images(spark, sf_dir))
+    return intake.plan_images(readers.sized_images(v.images(spark, sf_dir)))
 
 
 # Projections, filters, predicates

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.images import image_size
 from ..operators.intake import plan_images
 
 UPLOAD_GLOB = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[pP][dD][fF]}"
@@ -49,8 +50,23 @@ def text_docs(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def image_catalog(spark: SparkSession, path: str, max_width: int = 2000) -> DataFrame:
-    """``file, height, width, ok, target_w, target_h``; undecodable images have ``ok`` false."""
+def sized_images(files: DataFrame) -> DataFrame:
+    """``file, height, width`` of a ``path, content`` table by the files' headers, -1 where there is none."""
+    sizes = files.select(F.col("path").alias("file"), image_size(F.col("content")).alias("_size"))
+    return sizes.select(
+        "file", *[F.coalesce(f"_size.{side}", F.lit(-1)).cast("int").alias(side) for side in ("height", "width")])
+
+
+def image_catalog(spark: SparkSession, path: str, max_width: int = 2000, decode: bool = False) -> DataFrame:
+    """``file, height, width, ok, target_w, target_h``; ``ok`` is false where no size can be told.
+
+    Sizes come from the headers of PNG and JPEG files. A file whose header is
+    sound and whose pixels are not still counts as ``ok``; ``decode`` reads
+    every pixel to find those, and needs memory for the largest image.
+    """
+    if not decode:
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+        return plan_images(sized_images(files), max_width)
     images = spark.read.format("image").option("dropInvalid", False).load(path)
     sizes = images.select(
         F.col("image.origin").alias("file"), F.col("image.height").alias("height"),

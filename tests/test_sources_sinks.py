@@ -3,6 +3,7 @@ import json
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import intake
@@ -21,17 +22,33 @@ def png(width, height):
             + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
 
 
-def test_image_catalog(spark, tmp_path):
+@pytest.mark.parametrize("decode", [False, True])
+def test_image_catalog(spark, tmp_path, decode):
     for name, data in {"a.png": png(3000, 1001), "b.png": png(40, 20), "c.png": b"no image"}.items():
         (tmp_path / name).write_bytes(data)
     got = {r.file.rsplit("/", 1)[-1]: (r.width, r.height, r.ok, r.target_w, r.target_h)
-           for r in readers.image_catalog(spark, str(tmp_path)).collect()}
+           for r in readers.image_catalog(spark, str(tmp_path), decode=decode).collect()}
     scale = 2000 / 3000
     assert got == {
         "a.png": (3000, 1001, True, int(3000 * scale), int(1001 * scale)),
         "b.png": (40, 20, True, 40, 20), "c.png": (-1, -1, False, None, None)}
 
 
+def test_header_sizes(spark):
+    def segment(code, body):
+        return b"\xff" + bytes([code]) + struct.pack(">H", len(body) + 2) + body
+
+    frame = b"\x08" + struct.pack(">HH", 77, 5000) + b"\x03"
+    cases = {
+        "baseline": b"\xff\xd8" + segment(0xE0, b"JFIF") + segment(0xC0, frame),
+        "progressive": b"\xff\xd8" + segment(0xE2, b"x" * 60_000) * 40 + segment(0xC4, b"\xff\xc0") + segment(0xC2, frame),
+        "no frame": b"\xff\xd8" + segment(0xE0, b"JFIF"), "cut": b"\xff\xd8\xff", "cut png": png(5, 5)[:18],
+        "empty": b"", "none": None}
+    files = spark.createDataFrame(list(cases.items()), "path string, content binary")
+    got = {r.file: (r.height, r.width) for r in readers.sized_images(files).collect()}
+    assert got == {k: (77, 5000) if k in ("baseline", "progressive") else (-1, -1) for k in cases}
+
+
 def test_upload_folder(spark, tmp_path):
     for name in ("a.PDF", "b.jpeg", "c.txt", "d.Png"):
         (tmp_path / name).write_bytes(b"12345")
