@@ -16,7 +16,10 @@ from ..session import work_dir
 # ASCII white space: the separators of words here, and what bytes.split() splits at.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LEAN = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,17 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @contextmanager
-def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Writes in this block drop their shuffle files as soon as they end; their results need none."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def written_lean(spark: SparkSession) -> Iterator[None]:
+    """For writes in this block: small Arrow batches of texts, and no shuffle files left once one has ended."""
+    before = {name: spark.conf.get(name, None) for name in _LEAN}
+    for name, value in _LEAN.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -44,7 +49,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     lost executors, since the files are not theirs.
     """
     path = work_dir(df.sparkSession, label)
-    with shuffles_released(df.sparkSession):
+    with written_lean(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from .common import shuffles_released, stored
+from .common import stored, written_lean
 from .rolling import mix, prefix_hashes, span_hashes
 
 WINDOW = 200
@@ -421,7 +421,7 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"suffix_dedup_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with shuffles_released(spark):
+    with written_lean(spark):
         df.write.option("compression", "zstd").option("path", work_dir(spark, "rows")).bucketBy(
             buckets, key).sortBy(key).saveAsTable(name)
     return spark.table(name)
