@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keyinfo as k
-from ..functions.text import effective_text, is_blank, or_default
+from ..functions.text import effective_text, or_default
 from .classification import classify
 from .lookup import find_documents
 

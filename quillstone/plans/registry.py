@@ -403,12 +403,11 @@ def owned_documents(spark, sf_dir):
 SHOWN_USER = 8
 
 
-@query
-def history_of_user(spark, sf_dir):
+def _history(spark, sf_dir):
     return history.history(v.upload_log(spark, sf_dir), SHOWN_USER)
 
 
-QUERIES["history"] = QUERIES.pop("history_of_user")
+QUERIES["history"] = _history
 
 
 @query
