@@ -42,7 +42,7 @@ MEASURES = (
     Measure("word_length", "word_chars", "n_words", 100, 50, True),
     Measure("symbols", "n_symbols", "n_words", 1000, 20),
     Measure("repeated_lines", "n_dup_lines", "n_lines", 1000, 125),
-    Measure("repeated_words", "n_repeat_words", "n_words", 1000, 75),
+    Measure("repeated_words", "n_repeat_words", "n_words", 1000, 115),
 )
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
