@@ -428,15 +428,17 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
 
 
 def _met_again(df: DataFrame, on: str) -> DataFrame:
-    return df.groupBy(on).agg(F.count("*").alias("n")).filter("n > 1").select(on)
+    """Values met twice or more; stored, so that a join with a hot value among them can be split."""
+    return stored(df.groupBy(on).agg(F.count("*").alias("n")).filter("n > 1").select(on), "met-again")
 
 
 def _predecessors(df: DataFrame) -> DataFrame:
     """Contents met twice or more, the least text with each, and whether they follow different contents."""
-    return df.groupBy("content").agg(
+    return stored(df.groupBy("content").agg(
         F.count("*").alias("n"), F.min("before").alias("b0"), F.max("before").alias("b1"),
         F.min("_key").alias("first_key"),
-    ).filter("n > 1").withColumn("cut", (F.col("b0") != F.col("b1")) | (F.col("b0") == 0)).drop("b0", "b1", "n")
+    ).filter("n > 1").withColumn("cut", (F.col("b0") != F.col("b1")) | (F.col("b0") == 0)).drop("b0", "b1", "n"),
+        "predecessors")
 
 
 def _judged(units: DataFrame, *columns: str) -> DataFrame:
