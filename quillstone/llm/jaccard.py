@@ -251,10 +251,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     levels = rarity(count_sketch(docs, text))
     rows = stored(token_prefixes(docs, key, text, levels), "prefixes")
-    classes = stored(rows.filter("n > 0 and _id is not null").groupBy("sig").agg(
-        F.min("_id").alias("cls"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "classes")
-    postings = classes.select("cls", "n", F.explode("prefix").alias("token"))
-    lead = postings.groupBy("token").agg(F.count("*").alias("k"), F.min("cls").alias("lead")).filter("k > 1")
+    classes = stored(rows.filter("n > 0 and _id is not null").groupBy("sig").agg(F.min("_id").alias("cls")), "classes")
+    postings = rows.withColumnRenamed("_id", "cls").join(classes.hint("merge"), ["sig", "cls"]).select(
+        "cls", "n", F.explode("prefix").alias("token"))
+    lead = stored(postings.groupBy("token").agg(
+        F.count("*").alias("k"), F.min("cls").alias("lead")).filter("k > 1"), "leads")
     shared = stored(postings.join(lead.hint("merge"), "token").select("token", "cls", "n", "lead"), "shared")
     able = shared.groupBy("cls", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= fewest_in_common(F.col("n")))
     shared = stored(shared.join(able.select("cls"), "cls", "left_semi"), "shared")
@@ -263,9 +264,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     homes = votes.groupBy("cls", "n").agg(
         F.max(F.struct("v", (-F.col("lead")).alias("lead"))).alias("best")).select(
         "cls", "n", (-F.col("best.lead")).alias("g"))
-    sizes = homes.groupBy("g").agg(
+    homes = stored(homes, "homes")
+    sizes = stored(homes.groupBy("g").agg(
         F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"),
-        F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("subs"))
+        F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("subs")),
+        "sizes")
     homes = stored(homes.join(sizes, "g").withColumn(
         "sub", F.pmod(F.xxhash64("cls"), F.col("subs")).cast("int")), "homes")
     wanted = homes.select(F.col("cls").alias("_cls"))
