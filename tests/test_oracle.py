@@ -1,9 +1,10 @@
-"""Every registered query against its SQL in DuckDB."""
+"""Every registered query that has SQL against it in DuckDB."""
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracle import compare, connect
+from quillstone.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -11,13 +12,14 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(oracle_sql()))
 def test_query_equals_sql(spark, con, sf_dir, name):
     assert compare(spark, con, name, sf_dir) == ""
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    """Those outside the library's own registry have brute-force tests where SQL cannot express them."""
+    assert set(registry.QUERIES) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
