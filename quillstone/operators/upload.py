@@ -10,7 +10,7 @@ from .classification import classify
 from .extraction import extract_key_info
 from .intake import intake_route
 from .repair import correct_text
-from .rollup import first_page, multi_page_document
+from .rollup import best_candidate, first_page, multi_page_document, snapshot_confidence
 
 UNKNOWN = "unknown"
 
@@ -42,6 +42,20 @@ def enrich_uploads(uploads: DataFrame) -> DataFrame:
     return _stored_row(analysed, F.col("reject_reason"))
 
 
+def camera_results(readings: DataFrame, words: DataFrame) -> DataFrame:
+    """``doc_id, text, raw_text, confidence`` of each snapshot.
+
+    The best of its readings (``doc_id, pref, text``), repaired, and the mean
+    word confidence of that reading (``doc_id, page, conf``, the page being the
+    reading's number); 0 where it has no words.
+    """
+    best = best_candidate(readings).withColumnRenamed("text", "raw_text")
+    scores = snapshot_confidence(words).withColumnRenamed("page", "pref")
+    scored = best.join(scores, ["doc_id", "pref"], "left")
+    return correct_text(scored, "raw_text", "text").select(
+        "doc_id", "text", "raw_text", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
 def process_uploads(files: DataFrame, pages: DataFrame, first_only: bool = False) -> DataFrame:
     """One row per file of ``doc_id, user_id, filename, length``, from its recognised pages.
 

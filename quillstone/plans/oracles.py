@@ -452,6 +452,9 @@ repaired AS (SELECT doc_id, {_strip("string_agg(text, chr(10) || chr(10) ORDER B
  {_strip(f"string_agg({fixed.format(_repair('text'))}, chr(10) || chr(10) ORDER BY page)")} AS text,
  any_value(language) AS language, {mean} AS score FROM doc_pages JOIN doc_lang USING (doc_id) GROUP BY doc_id)""",
             f"coalesce({refused}, CASE WHEN e.doc_id IS NULL THEN 'PDF contains no pages' END)")
+    sql["camera_results"] = f"""WITH b AS ({sql['best_candidate']}), s AS ({sql['snapshot_confidence']})
+SELECT b.doc_id, {fixed.format(_repair('b.text'))} AS text, b.text AS raw_text, coalesce(s.confidence, 0.0) AS confidence
+FROM b LEFT JOIN s ON s.doc_id = b.doc_id AND s.page = b.pref"""
     sql["insert_users"] = """WITH n AS (SELECT count(*) AS n FROM customer), t AS (
 SELECT c_name AS username, 1 AS copies FROM customer UNION ALL SELECT 'new_' || c_custkey, 1 FROM customer)
 SELECT username, copies, 2 * n AS all_ids, n AS first_accepted, 0 AS second_accepted FROM t, n"""

@@ -490,6 +490,11 @@ def enrich_uploads(spark, sf_dir):
     return _upload_rows(upload.enrich_uploads(v.text_uploads(v.documents(spark, sf_dir))))
 
 
+@query
+def camera_results(spark, sf_dir):
+    return upload.camera_results(v.readings(spark, sf_dir), v.words(spark, sf_dir))
+
+
 @query
 def process_uploads(spark, sf_dir):
     pages = v.doc_pages(spark, sf_dir).withColumnRenamed("text", "raw_text")
