@@ -42,7 +42,7 @@ def written_lean(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(name, value)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back.
 
     Cuts the lineage, computes the rows once for several readers, and survives
@@ -50,7 +50,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = work_dir(df.sparkSession, label)
     with written_lean(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

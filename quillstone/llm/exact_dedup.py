@@ -74,7 +74,7 @@ def exact_groups(
             break
         rows = stored(
             cut.filter("not ended").join(groups.filter("not ended").hint("merge"), ["_gid", "digit"])
-            .select("_id", "_chars", "text_sha256", F.col("_next").alias("_gid"), "rest"), "radix-rows")
+            .select("_id", "_chars", "text_sha256", F.col("_next").alias("_gid"), "rest"), "radix-rows", "zstd")
         width *= growth
     out = done[0]
     for more in done[1:]:

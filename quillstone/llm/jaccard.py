@@ -273,7 +273,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         "sub", F.pmod(F.xxhash64("cls"), F.col("subs")).cast("int")), "homes")
     wanted = homes.select(F.col("cls").alias("_cls"))
     texts = stored(docs.select(F.col(key).cast("long").alias("cls"), text_or_empty(text).alias("text")).join(
-        wanted.hint("merge"), F.col("cls") == F.col("_cls"), "left_semi"), "texts")
+        wanted.hint("merge"), F.col("cls") == F.col("_cls"), "left_semi"), "texts", "zstd")
 
     # Inside groups; the leader is compared in every part of a split group.
     several = homes.filter("size > 1")
