@@ -54,6 +54,11 @@ def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """``_row, row``: a number of its own for every row, stored so that all readers see the same, and the input row."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("row")), label, "zstd")
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, stored, text_or_empty, utf8
+from .common import ASCII_SPACE, numbered, stored, text_or_empty, utf8
 
 FIRST_DIGIT = 64
 GROWTH = 16
@@ -83,6 +83,13 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with their own columns; rows with an equal key all stay."""
-    kept = exact_groups(docs, key, text).filter("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), docs[key].eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each group of equal texts, with its own columns.
+
+    The row that :func:`exact_groups` names; among rows that repeat its key, one
+    of those with the most code points. Keys, NULL ones too, may repeat.
+    """
+    rows = numbered(docs, "exact-rows")
+    at = F.struct(F.col("row")[key].alias("key"), "_row").alias("at")
+    kept = exact_groups(rows.select(at, F.col("row")[text].alias("text")), "at", "text").filter("kept").select(
+        F.col("at._row").alias("_kept"))
+    return rows.join(kept.hint("merge"), F.col("_row") == F.col("_kept"), "left_semi").select("row.*")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import numbered, stored, text_or_empty
 from .components import components
 from .rolling import prefix_hashes, span_hashes
 
@@ -320,7 +320,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose key is that of their component, with their own columns; rows without a key stay."""
-    kept = jaccard_components(docs, key, text).filter(F.col(key) == F.col("component_id")).select(
-        F.col(key).alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), docs[key] == F.col("_kept"), "left_semi").unionByName(docs.filter(F.col(key).isNull()))
+    """One row of each component, the one with the least key, with its own columns.
+
+    Rows are the nodes here, so keys, NULL ones too, may repeat; as in the exact
+    stage NULL is the least key. Rows without a shingle all stay.
+    """
+    rows = numbered(docs, "near-rows")
+    found = jaccard_components(rows.select("_row", F.col("row")[text].alias("text")), "_row", "text")
+    keys = rows.select("_row", F.col("row")[key].alias("key"))
+    kept = found.join(keys.hint("merge"), "_row").groupBy("component_id").agg(
+        F.min(F.struct("key", "_row")).alias("best")).select(F.col("best._row").alias("_kept"))
+    return rows.join(kept.hint("merge"), F.col("_row") == F.col("_kept"), "left_semi").select("row.*")

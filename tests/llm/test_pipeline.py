@@ -61,3 +61,41 @@ def test_run(shipped, sf_dir):
         "language_id", "exact_dedup", "jaccard_join", "suffix_dedup", "packing"]
     assert corpus_pipeline.run(shipped, sf_dir).count() > 100
 
+
+
+def least_of_each(rows, groups, *first):
+    """Of the rows ``(id, text)`` with equal group: the least by what is in front, then by id, NULL first."""
+    best = {}
+    for i, (r, g) in enumerate(zip(rows, groups)):
+        order = (*(f(r) for f in first), r[0] is not None, r[0], i)
+        best[g] = min(best.get(g, order), order)
+    return [rows[o[-1]] for o in best.values()]
+
+
+def test_stages_repeated_keys(shipped, documents, sf_dir):
+    base = [tuple(r) for r in documents.select("doc_id", "text", "lang", "source").collect()]
+    a, b, c, d, e = [r for r in base if len(r[1]) > 600][:5]
+    words = b[1].split()
+    near = " ".join([*words[:-1], "zq"])
+    more = [(a[0], a[1]), (a[0], a[1]), (c[0], b[1]), (d[0], near), *[(None, t) for t in (c[1], c[1], near, None, "")],
+            *[(None, e[1] + " more")] * 3, (e[0], e[1] + " more"), *[(None, d[1][::-1])] * 3]
+    docs = shipped.createDataFrame(
+        base + [(*r, "en", "a") for r in more], "doc_id long, text string, lang string, source string")
+    rows = [r[:2] for r in base] + more
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "language_id":
+            judged = language_id.with_language(docs, language_id.fit_language_model(docs))
+            gone = {r.text for r in judged.filter("rejected").select("row.text").collect()}
+            rows = [r for r in rows if r[1] not in gone]
+        elif name == "exact_dedup":
+            assert max(Counter(rows).values()) > 2
+            rows = least_of_each(rows, ["".join((t or "").split()) for _, t in rows], lambda r: -len(r[1]))
+        elif name == "jaccard_join":
+            found = brute_components(list(enumerate(t for _, t in rows)))
+            rows = least_of_each(rows, [component for _, _, component in found])
+        else:
+            rows = brute_cut(rows)
+        docs = stored(stage(shipped, docs, sf_dir), name)
+        assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter(rows), name
+    assert dict(rows)[a[0]]
+    check_packing(rows, corpus_pipeline.STAGES[-1][1](shipped, docs, sf_dir))
