@@ -4,8 +4,12 @@ A text is the average of the embeddings of its hashed byte n-grams (letters
 only, lower case, words kept apart by spaces); a linear softmax over that
 average gives the language. Embeddings and softmax are trained together by
 stochastic gradient descent in numpy on a bounded sample of labelled texts. A
-part of the sample is held back to calibrate the probabilities (temperature)
-and the score below which a text is rejected.
+part of the sample is held back to calibrate the probabilities (temperature).
+
+A softmax tells the learned languages apart, but gives a text of none of them a
+high score as well. So a text is rejected by how familiar its n-grams are: the
+mean log share they have in the language they fit best, against what texts held
+back reach and what n-grams drawn at random would.
 """
 
 from __future__ import annotations
@@ -27,18 +31,27 @@ DIM = 16
 GRAMS = (2, 3, 4)
 EPOCHS = 30
 UNDETERMINED = "und"
+CLEAN_SHARE = 0.001
+TOWARDS_CHANCE = 0.2
+SHORT = 300
+UNSEEN = 1e-6
 WINDOW_CHARS = 1 << 19
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 class Model(NamedTuple):
-    """``table`` holds the logits each bucket adds: embeddings times softmax weights."""
+    """``table`` holds the logits each bucket adds: embeddings times softmax weights.
+
+    ``usual`` holds the log share of each bucket in each language, less its mean there.
+    """
 
     labels: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     reject_below: float
+    usual: np.ndarray
+    familiar_from: float
 
 
 def held_out(key: Column) -> Column:
@@ -79,8 +92,8 @@ def has_letter(text: str | None) -> bool:
 
 def labelled_sample(
     docs: DataFrame, key: str, text: str, lang: str, size: int = SAMPLE,
-) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Labels, features and label numbers of at most ``2 * size`` labelled texts.
+) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, features, label numbers and numbers of n-grams of at most ``2 * size`` labelled texts.
 
     About the same number per label, chosen by a hash of the id; texts become
     bucket counts on the executors, so what reaches the driver is bounded by
@@ -90,7 +103,7 @@ def labelled_sample(
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
     counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LABELS).collect()
     if not counts:
-        return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0, int)
+        return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0, int)
     rate = None
     for row in counts:
         share = min(1.0, size / len(counts) / row["count"])
@@ -107,17 +120,17 @@ def labelled_sample(
             shares = [subwords(t) for t in b["text"]]
             found = [np.flatnonzero(s) for s in shares]
             yield pd.DataFrame({
-                "lang": b["lang"], "h": b["h"],
+                "lang": b["lang"], "h": b["h"], "n": [len(GRAMS) * len(_bytes(t)) for t in b["text"]],
                 "at": [f.astype(np.uint16).tobytes() for f in found],
                 "share": [s[f].tobytes() for s, f in zip(shares, found)]})
 
     rows = chosen.select("lang", "text", "h").mapInPandas(
-        run, "lang string, h long, at binary, share binary").orderBy("h", "lang").limit(2 * size).collect()
+        run, "lang string, h long, n long, at binary, share binary").orderBy("h", "lang").limit(2 * size).collect()
     labels = sorted({r["lang"] for r in rows})
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["share"], np.float32)
-    return labels, x, np.array([labels.index(r["lang"]) for r in rows], int)
+    return labels, x, np.array([labels.index(r["lang"]) for r in rows], int), np.array([r["n"] for r in rows], int)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -125,15 +138,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(labels: list[str], x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
+def steadied(familiarity: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Familiarity drawn towards the usual, 0, for texts of few n-grams, where it varies by chance."""
+    return familiarity * np.sqrt(n / (n + SHORT))
+
+
+def train(labels: list[str], x: np.ndarray, y: np.ndarray, n: np.ndarray, seed: int = 7) -> Model:
     """Stochastic gradient descent on four fifths of the sample, calibration on the rest.
 
-    Texts scoring under half of nearly the lowest calibration score, or hardly
-    over chance, are rejected: they resemble no language that was learned.
+    Rejected are texts less familiar than a fifth of the way from nearly the
+    least familiar calibration text (its quantile ``CLEAN_SHARE``) to n-grams
+    drawn at random, and those whose score is under half of nearly the lowest
+    calibration score or hardly over chance.
     """
     k = len(labels)
     if not k:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
+        none = np.zeros((BUCKETS, 0), np.float32)
+        return Model([], none, np.zeros(0, np.float32), 1.0, 1.0, none, 0.0)
     draw = np.random.default_rng(seed)
     order = draw.permutation(len(y))
     aside, fit = order[:len(y) // 5], order[len(y) // 5:]
@@ -159,7 +180,15 @@ def train(labels: list[str], x: np.ndarray, y: np.ndarray, seed: int = 7) -> Mod
         (float(-np.log(_softmax(logits / t)[true] + 1e-12).mean()), float(t)) for t in np.geomspace(0.2, 5, 40))[1]
     scores = _softmax(logits / temperature).max(axis=1)
     reject = max(0.5 * float(np.quantile(scores, 0.001)), min(0.9, 1.04 / k))
-    return Model(labels, table, bias, temperature, reject)
+
+    usual = np.zeros((BUCKETS, k), np.float32)
+    for c in range(k):
+        own = x[fit[y[fit] == c]] if (y[fit] == c).any() else x[y == c]
+        share = np.log(own.mean(axis=0) + UNSEEN)
+        usual[:, c] = share - (own @ share).mean()
+    clean = float(np.quantile(steadied((x[aside] @ usual).max(axis=1), n[aside]), CLEAN_SHARE))
+    chance = float(usual.mean(axis=0).mean())
+    return Model(labels, table, bias, temperature, reject, usual, clean + TOWARDS_CHANCE * min(chance - clean, 0.0))
 
 
 def fit_language_model(
@@ -168,9 +197,9 @@ def fit_language_model(
     return train(*labelled_sample(docs, key, text, lang, size))
 
 
-def _scores(texts: list[str], model: Model) -> np.ndarray:
-    """Mean logits of each text, all of its n-grams counted; text after text in one array of bytes."""
-    total = np.zeros((len(texts), len(model.labels)))
+def _means(texts: list[str], table: np.ndarray) -> np.ndarray:
+    """Mean row of ``table`` over all n-grams of each text; text after text in one array of bytes."""
+    total = np.zeros((len(texts), table.shape[1]))
     seen = np.zeros(len(texts))
     parts = [_bytes(t) for t in texts]
     ends = np.cumsum([len(p) for p in parts])
@@ -180,11 +209,22 @@ def _scores(texts: list[str], model: Model) -> np.ndarray:
             continue
         last = np.maximum(ends - n + 1, starts)  # n-grams that lie in one text
         buckets = hashed(data, n)
-        for c in range(len(model.labels)):
-            sums = np.concatenate([[0.0], np.cumsum(model.table[:, c][buckets], dtype=np.float64)])
+        for c in range(table.shape[1]):
+            sums = np.concatenate([[0.0], np.cumsum(table[:, c][buckets], dtype=np.float64)])
             total[:, c] += sums[np.minimum(last, len(buckets))] - sums[np.minimum(starts, len(buckets))]
         seen += last - starts
-    return total / np.maximum(seen, 1)[:, None] + model.bias
+    return total / np.maximum(seen, 1)[:, None]
+
+
+def _scores(texts: list[str], model: Model) -> np.ndarray:
+    """Mean logits of each text."""
+    return _means(texts, model.table) + model.bias
+
+
+def _familiarity(texts: list[str], model: Model) -> np.ndarray:
+    """How usual each text is in the language it is most usual in: 0 is a usual text, less is stranger."""
+    n = np.array([len(GRAMS) * len(_bytes(t)) for t in texts])
+    return steadied(_means(texts, model.usual).max(axis=1), n)
 
 
 def with_language(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,13 +236,15 @@ def with_language(docs: DataFrame, model: Model, key: str = "doc_id", text: str
     the model travels with the task, and its size is bounded by its buckets and
     ``MAX_LABELS``.
     """
-    def judged(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def judged(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         p = _softmax(_scores(texts, model) / model.temperature)
-        return [model.labels[i] for i in p.argmax(axis=1)], p.max(axis=1)
+        at = p.argmax(axis=1)
+        strange = _familiarity(texts, model) < model.familiar_from
+        return [model.labels[i] for i in at], p.max(axis=1), strange | (p.max(axis=1) < model.reject_below)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = [UNDETERMINED] * b.num_rows, np.zeros(b.num_rows)
+            langs, scores, rejected = [UNDETERMINED] * b.num_rows, np.zeros(b.num_rows), np.ones(b.num_rows, bool)
             waiting, chars = [], 0
             for i, t in enumerate(b.column(2)):
                 t = t.as_py()
@@ -210,11 +252,9 @@ def with_language(docs: DataFrame, model: Model, key: str = "doc_id", text: str
                     waiting.append((i, t))
                     chars += len(t)
                 if waiting and (chars >= WINDOW_CHARS or i == b.num_rows - 1):
-                    found, best = judged([t for _, t in waiting])
-                    for (j, _), lang, s in zip(waiting, found, best):
-                        langs[j], scores[j] = lang, s
+                    for (j, _), *result in zip(waiting, *judged([t for _, t in waiting])):
+                        langs[j], scores[j], rejected[j] = result
                     waiting, chars = [], 0
-            rejected = (np.array(langs, object) == UNDETERMINED) | (scores < model.reject_below)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)],
                 ["row", "held_out", "lang_pred", "score", "rejected"])

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -139,6 +140,31 @@ def test_language_accuracy(shipped):
     assert language_id.identify_language(foreign, model).first()["score"] < 0.9
 
 
+FOREIGN = [
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "يولد جميع الناس أحراراً متساوين في الكرامة والحقوق",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах",
+    "z" * 300,
+]
+
+
+def test_language_rejects_what_it_never_saw(shipped):
+    docs = shipped.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit_language_model(docs)
+    draw = random.Random(5)
+    letters = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(400)) for _ in range(100)]
+    odd = shipped.createDataFrame(list(enumerate(FOREIGN + letters)), "doc_id long, text string")
+    kept = [r.doc_id for r in language_id.identify_language(odd, model).filter("not rejected").collect()]
+    assert kept == []
+    clean = language_id.identify_language(docs, model).filter("held_out")
+    assert clean.filter("rejected").count() <= clean.count() // 100
+
+
 def test_language_scores_whole_text(documents):
     model = language_id.fit_language_model(documents)
     texts = [r.text for r in documents.limit(6).collect()]
