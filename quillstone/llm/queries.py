@@ -5,13 +5,14 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 
 from . import (
-    chat, exact_dedup, jaccard, language_id, packing, pieces, quality, sharding, suffix_dedup, url_filter,
+    byte_pairs, chat, exact_dedup, jaccard, language_id, packing, pieces, quality, sharding, suffix_dedup,
+    url_filter,
 )
 from .common import ship_package, table, utf8
 
@@ -31,12 +32,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = pieces.decode_pieces(pieces.encode_pieces(table(spark, sf_dir, "documents")))
+def _id_digests(decoded: DataFrame, data: Column) -> DataFrame:
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(utf8(listed), 256).alias("ids_sha256"), F.sha2(utf8(F.col("decoded")), 256).alias("decoded_sha256"))
+        F.sha2(utf8(listed), 256).alias("ids_sha256"), F.sha2(data, 256).alias("decoded_sha256"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = pieces.decode_pieces(pieces.encode_pieces(table(spark, sf_dir, "documents")))
+    return _id_digests(decoded, utf8(F.col("decoded")))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +74,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = byte_pairs.decode_bytes(byte_pairs.encode_bytes(table(spark, sf_dir, "documents")))
+    return _id_digests(decoded, F.col("decoded"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -83,7 +93,8 @@ def _shipped(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (
     op1_suffix_dedup, op2_quality_rules, op3_packing, op4_sentencepiece, op5_language_id,
-    op6_jaccard_join, op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting, pipeline)}
+    op6_jaccard_join, op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting,
+    op11_byte_pairs, pipeline)}
 
 _URL = r"'(?s)\A.*?://([^/?#]*)([^?#]*)'"
 _KEY = rf"""CASE WHEN contains({{u}}, '://') THEN
