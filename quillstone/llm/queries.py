@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from ..functions.text import let
 from . import (
-    byte_pairs, chat, exact_dedup, jaccard, language_id, packing, pieces, quality, sharding, suffix_dedup,
-    url_filter,
+    byte_pairs, chat, exact_dedup, jaccard, language_id, packing, periodic_runs, pieces, quality, sharding,
+    suffix_dedup, url_filter,
 )
-from .common import ship_package, table, utf8
+from .common import ASCII_SPACE, ship_package, table, text_or_empty, utf8
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +80,40 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _id_digests(decoded, F.col("decoded"))
 
 
+def _planted(key: Column, text: Column) -> Column:
+    """One text in ten made periodic from one of its words on; which, where and how by the checksum of its key."""
+    h = F.crc32(utf8(key.cast("string")))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, ASCII_SPACE + "+"), lambda w: w != "")
+
+    def periodic(w: Column) -> Column:
+        n = F.greatest(F.size(w), F.lit(1))
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        return let(F.struct(w.alias("w"), a.alias("a"), p.alias("p")), lambda v: F.array_join(
+            F.transform(v["w"], lambda x, i: F.when(i < v["a"], x).otherwise(
+                F.get(v["w"], (v["a"] + F.pmod(i - v["a"], v["p"])).cast("int")))), " "))
+
+    return F.when(F.pmod(h, F.lit(10)) == 0, let(words, periodic)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", _planted(F.col("doc_id"), text_or_empty("text")).alias("text"))
+    found = periodic_runs.periodic_runs(planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(
+        ",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    ended = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.s")).alias("start"),
+        F.col("_best.n").alias("length"), (-F.col("_best.p")).alias("period"),
+        F.floor(1000 * F.col("_best.n") / -F.col("_best.p")).alias("exponent_milli"),
+        F.sha2(utf8(ended), 256).alias("runs_sha256"),
+        F.sha2(utf8(F.col("collapsed")), 256).alias("collapsed_sha256"), "n_words")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -94,7 +129,7 @@ def _shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (
     op1_suffix_dedup, op2_quality_rules, op3_packing, op4_sentencepiece, op5_language_id,
     op6_jaccard_join, op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting,
-    op11_byte_pairs, pipeline)}
+    op11_byte_pairs, op12_periodic_runs, pipeline)}
 
 _URL = r"'(?s)\A.*?://([^/?#]*)([^?#]*)'"
 _KEY = rf"""CASE WHEN contains({{u}}, '://') THEN
