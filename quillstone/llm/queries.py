@@ -12,8 +12,8 @@ import corpus_pipeline
 
 from ..functions.text import let
 from . import (
-    byte_pairs, chat, exact_dedup, jaccard, language_id, packing, periodic_runs, pieces, quality, sharding,
-    suffix_dedup, url_filter,
+    byte_pairs, chat, divergence, exact_dedup, jaccard, language_id, packing, periodic_runs, pieces, quality,
+    sharding, suffix_dedup, url_filter,
 )
 from .common import ASCII_SPACE, ship_package, table, text_or_empty, utf8
 
@@ -114,6 +114,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(utf8(F.col("collapsed")), 256).alias("collapsed_sha256"), "n_words")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -129,7 +133,7 @@ def _shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {f.__name__: _shipped(f) for f in (
     op1_suffix_dedup, op2_quality_rules, op3_packing, op4_sentencepiece, op5_language_id,
     op6_jaccard_join, op7_url_filters, op8_sharding, op9_exact_dedup, op10_chat_formatting,
-    op11_byte_pairs, op12_periodic_runs, pipeline)}
+    op11_byte_pairs, op12_periodic_runs, op13_source_divergence, pipeline)}
 
 _URL = r"'(?s)\A.*?://([^/?#]*)([^?#]*)'"
 _KEY = rf"""CASE WHEN contains({{u}}, '://') THEN
@@ -217,4 +221,26 @@ SELECT conv_id, count(*) AS n_turns,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
   sum(n)::BIGINT AS formatted_chars FROM t GROUP BY conv_id""",
+    "op13_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '{divergence.TERM}')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS cl FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.MIN_DOCS}),
+v AS (SELECT lang, count(*) AS v, sum(cl) AS nl FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(c, 0) AS c,
+  1 + ({divergence.SHARES}::HUGEINT * (coalesce(c, 0) + 2)) // (coalesce(n, 0) + 2 * v) AS p,
+  1 + ({divergence.SHARES}::HUGEINT * (cl + 2)) // (nl + 2 * v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b USING (lang) LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  WHERE a.source <> b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE c > 0 AND p > q),
+r AS (SELECT lang, source, part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM o)
+SELECT * FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}""",
 }
