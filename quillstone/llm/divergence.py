@@ -23,22 +23,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from .common import stored, text_or_empty, written_lean
+from .common import stored, text_or_empty, utf8, written_lean
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 10
 MAX_VOCABULARY = 2**31 - 1
 SHARES = 1_000_000_000
 TOP = 10
 TERM_BLOCK = 4096
 SOURCE_BLOCK = 64
-_EVERYWHERE = "\x00"  # no term; keeps a language without kept terms from failing
+_EVERYWHERE = b"-"  # no term; keeps a language without kept terms from failing
 
 
-def terms(text: Column) -> Column:
-    """All terms of a text: runs of letters and non-ASCII characters, A to Z lower-cased."""
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.regexp_extract_all(F.translate(text, upper, upper.lower()), F.lit(TERM), F.lit(0))
+# What each byte of a text becomes: separators a space, A to Z their small letters.
+_BYTES = bytes(32 if b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b
+               for b in range(256))
+
+
+def term_lines(docs: DataFrame) -> DataFrame:
+    """``lang, source, terms``: the terms of each ``text``, a space between, behind a mark that is no term.
+
+    Terms are runs of letters and non-ASCII characters with A to Z in lower case.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = [b" ".join([_EVERYWHERE, *t.as_py().translate(_BYTES).split()]) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(lines, pa.string())], ["lang", "source", "terms"])
+
+    return docs.select("lang", "source", utf8(F.col("text"))).mapInArrow(run, "lang string, source string, terms string")
 
 
 def _share(count: Column, n: Column, v: Column) -> Column:
@@ -62,17 +74,16 @@ def term_counts(
     """
     spark = docs.sparkSession
     plain = docs.select(
-        text_or_empty(lang).alias("lang"), text_or_empty(source).alias("source"),
-        F.concat(F.array(F.lit(_EVERYWHERE)), terms(text_or_empty(text))).alias("terms"))
+        text_or_empty(lang).alias("lang"), text_or_empty(source).alias("source"), text_or_empty(text).alias("text"))
     groups = stored(plain.groupBy("lang", "source").agg(F.count("*").alias("n_docs")), "divergence-groups")
     # in order of language within each file, so that a model's scan skips the pages of the others
-    rows = stored(plain.sortWithinPartitions("lang", "source"), "divergence-terms", "zstd")
+    rows = stored(term_lines(plain).sortWithinPartitions("lang", "source"), "divergence-terms", "zstd")
     path = work_dir(spark, "divergence-counts")
     counts = "lang string, source string, index int, term string, count long"
     spark.createDataFrame([], counts).write.parquet(path)
     sizes = groups.groupBy("lang").agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
     for row in sizes.orderBy("lang").select("lang").collect():
-        part = rows.filter(F.col("lang") == row.lang)
+        part = rows.filter(F.col("lang") == row.lang).select("source", F.split("terms", " ").alias("terms"))
         model = CountVectorizer(
             inputCol="terms", outputCol="_vector", minDF=float(min_docs), vocabSize=MAX_VOCABULARY).fit(part)
         names = pa.table({"index": pa.array(range(len(model.vocabulary)), pa.int32()), "term": model.vocabulary})
@@ -82,7 +93,7 @@ def term_counts(
         summed = entries.groupBy("source", F.col("e.index").alias("index")).agg(
             F.sum(F.col("e.value").cast("long")).alias("count"))
         with written_lean(spark):
-            summed.join(spark.createDataFrame(names), "index").filter(F.col("term") != _EVERYWHERE).select(
+            summed.join(spark.createDataFrame(names), "index").filter(F.col("term") != _EVERYWHERE.decode()).select(
                 F.lit(row.lang).alias("lang"), "source", "index", "term", "count").write.mode("append").parquet(path)
     return spark.read.schema(counts).parquet(path), groups.select("lang", "source")
 

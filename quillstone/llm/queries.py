@@ -224,7 +224,7 @@ SELECT conv_id, count(*) AS n_turns,
     "op13_source_divergence": rf"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '{divergence.TERM}')) AS term FROM d),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
 k AS (SELECT lang, term, count(*) AS cl FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= {divergence.MIN_DOCS}),
 v AS (SELECT lang, count(*) AS v, sum(cl) AS nl FROM k GROUP BY lang),
 g AS (SELECT DISTINCT lang, source FROM d),
