@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import with_ids, work_dir
+from ..session import with_ids
+from ..sources.publish import batch_path, is_published, publish, read_batches
 
 
 STORED_USER = "id bigint, username string"
@@ -34,12 +36,18 @@ def find_documents(
 def documents_with_owner(docs: DataFrame, users: DataFrame) -> DataFrame:
     """Documents with their owner's name; ownerless documents stay.
 
-    No broadcast is forced: the planner broadcasts users only while their
-    measured size is under its threshold, else adaptive execution splits
-    owners that hold many documents.
+    They match nobody, so in the join each goes by its own number and not by
+    NULL, which would gather them in one task. No broadcast is forced: the
+    planner broadcasts users only while their measured size is under its
+    threshold, else adaptive execution splits owners that hold many documents.
     """
-    owner = users.select(F.col("id").alias("user_id"), "username")
-    return docs.join(owner, "user_id", "left")
+    owner = users.filter("id is not null").select(
+        F.col("id").cast("bigint").alias("_key"), "username")
+    owned = F.col("user_id").isNotNull()
+    keyed = docs.withColumns({
+        "_key": F.coalesce(F.col("user_id").cast("bigint"), F.xxhash64("doc_id")), "_owned": owned})
+    joined = keyed.join(owner, (keyed["_key"] == owner["_key"]) & keyed["_owned"], "left")
+    return joined.select("user_id", *[c for c in docs.columns if c != "user_id"], "username")
 
 
 def owned_documents(docs: DataFrame, users: DataFrame) -> DataFrame:
@@ -67,19 +75,28 @@ def register_users(new: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def insert_users(new: DataFrame, path: str) -> DataFrame:
-    """Register a batch against the stored users table and append those accepted, with new ids.
+def stored_users(spark: SparkSession, path: str) -> DataFrame:
+    """The users table that registrations are added to."""
+    return read_batches(spark, path, STORED_USER)
 
-    Returns the verdict of :func:`register_users`, stored, since the table it
-    was made against changes. One writer at a time.
+
+def insert_users(new: DataFrame, path: str, batch: str | None = None) -> DataFrame:
+    """Register a batch against the stored users table and add those accepted, with new ids.
+
+    Returns the verdict of :func:`register_users`. It is published before the
+    users are, below the table's hidden folder ``_verdicts``, so a batch that is
+    repeated after it was cut short goes on from its own verdict, and one that
+    was finished changes nothing and gets the same answer. One writer at a time.
     """
     spark = new.sparkSession
-    users = spark.read.schema(STORED_USER).parquet(path)
-    verdict_path = work_dir(spark, "registration")
-    register_users(new, users).write.parquet(verdict_path)
-    verdict = spark.read.schema(f"username string, seq {new.schema['seq'].dataType.simpleString()}, "
-                                "status int, message string").parquet(verdict_path)
-    base = users.agg(F.max("id")).first()[0] or 0
-    accepted = verdict.filter("status = 200").select("username")
-    with_ids(accepted, base).select("id", "username").write.mode("append").parquet(path)
+    batch = batch or uuid.uuid4().hex
+    verdicts = f"{path.rstrip('/')}/_verdicts"
+    publish(register_users(new, stored_users(spark, path)), verdicts, batch)
+    verdict = spark.read.schema(
+        f"username string, seq {new.schema['seq'].dataType.simpleString()}, status int, message string",
+    ).parquet(batch_path(verdicts, batch))
+    if not is_published(spark, path, batch):
+        base = stored_users(spark, path).agg(F.max("id")).first()[0] or 0
+        accepted = verdict.filter("status = 200").select("username")
+        publish(with_ids(accepted, base).select("id", "username"), path, batch)
     return verdict

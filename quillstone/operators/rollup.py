@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NON_BLANK, WHITESPACE, round_half_even, strip
+from ..session import work_dir
 
 PAGE_SEPARATOR = "\n\n"
 BLOCK = 256
@@ -39,15 +40,20 @@ def ordered_concat(
     their texts move once. Keys with more rows go in two levels, blocks of
     neighbouring rows first, spread over the cluster by key and block, so none
     is sorted in one task. Which keys those are is a small aggregate without
-    the texts. ``block=None`` takes every key to be short. Ordinals are unique
+    the texts, stored, so that the planner knows its size and the texts are
+    scanned once where there is none. ``block=None`` takes every key to be short. Ordinals are unique
     within a key. The result is one string per key and must fit one value; for
     keys beyond that keep the parts of :func:`document_parts`.
     """
     if block is None:
         return _concat_level(df, [key], ordinal, values, sep)
     number = F.floor(F.col(ordinal) / block)
-    long = df.groupBy(key).agg(F.min(number).alias("_b0"), F.max(number).alias("_b1")).filter(
-        "_b0 < _b1").select(key)
+    path = work_dir(df.sparkSession, "long-documents")
+    df.groupBy(key).agg(F.min(number).alias("_b0"), F.max(number).alias("_b1")).filter(
+        "_b0 < _b1").select(key).write.parquet(path)
+    long = df.sparkSession.read.schema(df.select(key).schema).parquet(path)
+    if long.isEmpty():
+        return _concat_level(df, [key], ordinal, values, sep)
     short = _concat_level(df.join(long, key, "left_anti"), [key], ordinal, values, sep)
     blocks = df.join(long, key, "left_semi").withColumn("_block", number)
     first = _concat_level(blocks, [key, "_block"], ordinal, values, sep)
@@ -144,16 +150,29 @@ def multi_page_document(pages: DataFrame, docs: DataFrame | None = None) -> Data
     return joined.withColumn("error", F.when(missing, "PDF contains no pages"))
 
 
+def _winners(rows: DataFrame, order: Column) -> DataFrame:
+    """The row of each document with the least ``order``, a whole number.
+
+    The texts take no part in the aggregate: the least order of each document is
+    found from the numbers, and only then are the rows with it looked up.
+    """
+    ranked = rows.withColumn("_order", order)
+    least = ranked.groupBy("doc_id").agg(F.min("_order").alias("_order"))
+    return ranked.join(least, ["doc_id", "_order"], "left_semi").drop("_order")
+
+
 def first_page(pages: DataFrame) -> DataFrame:
-    """The lowest-numbered page of each document."""
+    """The lowest-numbered page of each document; pages are numbered once within a document."""
     rest = [c for c in pages.columns if c not in ("doc_id", "page")]
-    first = pages.groupBy("doc_id").agg(F.min(F.struct("page", *rest)).alias("p"))
-    return first.select("doc_id", "p.*")
+    number = F.coalesce(F.col("page").cast("bigint"), F.lit(2**63 - 1))
+    return _winners(pages, number).select("doc_id", "page", *rest)
 
 
 def best_candidate(readings: DataFrame) -> DataFrame:
-    """Longest stripped reading per document; ties go to the lower ``pref``."""
-    text = strip(F.col("text"))
-    rank = F.struct(F.length(text).alias("n"), (-F.col("pref")).alias("p"), text.alias("text"))
-    best = readings.groupBy("doc_id").agg(F.max(rank).alias("b"))
-    return best.select("doc_id", (-F.col("b.p")).alias("pref"), F.col("b.text").alias("text"))
+    """Longest stripped reading per document; ties go to the lower ``pref``.
+
+    ``pref`` is a whole number from 0 below 2^32, met once within a document.
+    """
+    stripped = readings.select("doc_id", "pref", strip(F.col("text")).alias("text"))
+    shorter = -F.coalesce(F.length("text"), F.lit(-1)).cast("bigint")
+    return _winners(stripped, shorter * 2**32 + F.coalesce("pref", F.lit(2**32 - 1)))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from ..dims import (
     BLANK_TYPE, DOC_TYPES, LANGUAGES, NO_TYPE_ICON, OCR_LANGUAGE_SHORTHAND, UNMATCHED_TYPE,
 )
+from ..operators import language
 from ..operators.language import SCALE
 from .registry import SHOWN_USER
 
@@ -268,7 +269,7 @@ def oracle_sql() -> dict[str, str]:
  CASE WHEN filename ILIKE '%.pdf' THEN 'pdf' ELSE 'image' END AS route
 FROM (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN '' ELSE string_split(url, '/')[-1] || CASE WHEN page_id % 3 = 1 THEN '.Pdf' ELSE '.png' END END AS filename,
  length(html) * CASE WHEN page_id % 7 = 0 THEN 10000 ELSE 1 END AS length FROM pages)"""
-    sql["scan_text_files"] = "SELECT doc_id, CAST(length(text) + 1 AS INT) AS n, md5(text || chr(10)) AS text_md5 FROM documents"
+    sql["scan_text_files"] = "SELECT doc_id, CAST(length(text) AS INT) AS n, md5(text) AS text_md5 FROM documents"
     sql["camera_payload_decode"] = """SELECT doc_id AS id, doc_id % 2 = 1 AS handwriting,
  CASE WHEN doc_id % 9 = 0 THEN 'No image data provided' END AS error,
  CASE WHEN doc_id % 9 <> 0 THEN CAST(strlen(text) AS INT) END AS n_bytes,
@@ -403,10 +404,14 @@ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, doc_
  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS uploaded, {shown} || '%' AS confidence FROM upload_log"""
 
     sql["language_profiles"] = f"WITH {PROFILES} SELECT lang, gram, cnt FROM profiles"
-    sql["detect_language"] = f"""WITH {PROFILES}, totals AS (SELECT lang, sum(cnt) AS total FROM profiles GROUP BY lang),
-model AS (SELECT g.gram, t.lang, CAST(round(ln((coalesce(p.cnt, 0) + 1) / (t.total + (SELECT count(DISTINCT gram) FROM profiles))::DOUBLE) * {SCALE}) AS BIGINT) AS w
- FROM (SELECT DISTINCT gram FROM profiles) g CROSS JOIN totals t LEFT JOIN profiles p ON p.gram = g.gram AND p.lang = t.lang),
-scored AS (SELECT doc_id, m.lang, sum(w) AS s FROM grams JOIN model m USING (gram) GROUP BY ALL),
+    h = "0::BIGINT"
+    for i in range(1, language.GRAM + 1):
+        h = f"(({h}) * {language.BASE} + ord(substr(gram, {i}, 1))) % {language.PRIME}"
+    sql["detect_language"] = f"""WITH {PROFILES}, p AS (SELECT lang, ({h}) % {language.BUCKETS} AS b, sum(cnt) AS cnt FROM profiles GROUP BY ALL),
+totals AS (SELECT lang, sum(cnt) AS total FROM p GROUP BY lang),
+model AS (SELECT g.b, t.lang, CAST(round(ln((coalesce(p.cnt, 0) + 1) / (t.total + (SELECT count(DISTINCT b) FROM p))::DOUBLE) * {SCALE}) AS BIGINT) AS w
+ FROM (SELECT DISTINCT b FROM p) g CROSS JOIN totals t LEFT JOIN p ON p.b = g.b AND p.lang = t.lang),
+scored AS (SELECT doc_id, m.lang, sum(w) AS s FROM (SELECT doc_id, ({h}) % {language.BUCKETS} AS b FROM grams) JOIN model m USING (b) GROUP BY ALL),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS rn FROM scored) WHERE rn = 1)
 SELECT d.doc_id, coalesce(b.lang, 'unknown') AS detected_language FROM documents d LEFT JOIN best b USING (doc_id)"""
     sql["translation_requests"] = f"""WITH {CORPUS}, {LANGUAGE_ROWS}
@@ -443,6 +448,8 @@ FROM {files} u LEFT JOIN e ON e.doc_id = u.doc_id AND {refused} IS NULL"""
  n_chars * CASE WHEN doc_id % 7 = 0 THEN 10000 ELSE 1 END AS length FROM documents)""", f"""WITH repaired AS (
 SELECT doc_id, text AS raw_text, {repaired} AS text, CASE WHEN doc_id % 3 <> 0 THEN lang ELSE 'unknown' END AS language,
  CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 101)::DOUBLE ELSE 0.0 END AS score FROM documents)""", refused)
+    sql["stream_store"] = f"""SELECT count(*) OVER () AS all_ids, count(*) OVER () AS last_id, count(*) OVER () AS dated,
+ filename, user_id, raw_md5, corrected_md5, language, score FROM ({sql['enrich_uploads']}) WHERE reject_reason IS NULL"""
     paged = """(SELECT *, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'scan.' || doc_id || '.pdf' END AS filename, abs(doc_id) % 50 AS user_id,
  abs(doc_id) * 7919 % 12000000 AS length FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations UNION ALL SELECT -1 - n_nationkey FROM nation))"""
     for name, kept in (("process_uploads", "true"), ("process_id_uploads", "page = first")):

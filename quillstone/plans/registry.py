@@ -54,14 +54,14 @@ def intake_route(spark, sf_dir):
 
 @query
 def scan_text_files(spark, sf_dir):
+    """Whole files of a bulk export, of a bounded number of documents each, taken apart again."""
     path = work_dir(spark, "txt")
     docs = v.documents(spark, sf_dir).select(
         "doc_id", F.col("text").alias("raw_text"), F.lit(None).cast("string").alias("corrected_text"))
-    sinks.export_txt(docs, path)
-    files = readers.text_docs(spark, path)
-    key = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint")
-    return files.select(
-        key.alias("doc_id"), F.length("text").alias("n"), F.md5("text").alias("text_md5"))
+    sinks.export_txt_bulk(docs, path, 8, 1000)
+    lines = readers.text_docs(spark, path).select(F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("value"))
+    return sinks.bulk_lines(lines).select(
+        "doc_id", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
 
 
 @query
@@ -110,9 +110,9 @@ def export_latin1_text(spark, sf_dir):
 def append_documents(spark, sf_dir):
     path = work_dir(spark, "stored")
     rows = v.damaged_documents(spark, sf_dir)
-    sinks.append_documents(rows, path)
-    sinks.append_documents(rows, path)
-    stored = readers.documents(spark, path, readers.STORED_DOCUMENT)
+    for batch in ("first", "second", "first"):  # the last changes nothing
+        sinks.append_documents(rows, path, batch)
+    stored = readers.stored_documents(spark, path)
     ids = stored.agg(F.count_distinct("id").alias("all_ids"), F.max("id").alias("last_id")).first()
     return stored.groupBy("filename").agg(
         F.lit(ids["all_ids"]).alias("all_ids"), F.lit(ids["last_id"]).alias("last_id"),
@@ -381,9 +381,9 @@ def insert_users(spark, sf_dir):
     path = work_dir(spark, "users")
     v.users(spark, sf_dir).select("id", "username").write.parquet(path)
     asked = v.user_requests(spark, sf_dir)
-    first = lookup.insert_users(asked, path).filter("status = 200").count()
-    again = lookup.insert_users(asked, path).filter("status = 200").count()
-    stored = spark.read.schema(lookup.STORED_USER).parquet(path)
+    first = lookup.insert_users(asked, path, "first").filter("status = 200").count()
+    again = lookup.insert_users(asked, path, "second").filter("status = 200").count()
+    stored = lookup.stored_users(spark, path)
     ids = stored.agg(F.count_distinct("id")).first()[0]
     return stored.groupBy("username").agg(
         F.count("*").alias("copies"), F.lit(ids).cast("bigint").alias("all_ids"),
@@ -485,6 +485,23 @@ def stream_enrich(spark, sf_dir):
     return _upload_rows(spark.read.parquet(out))
 
 
+@query
+def stream_store(spark, sf_dir):
+    """The stream twice over the same uploads, the second time as after a lost checkpoint: each row is stored once."""
+    path = work_dir(spark, "stream-stored")
+    for _ in range(2):
+        arriving = spread(streaming.read_stream(spark, sf_dir, readers.TEXT_DOCUMENT, "documents.parquet"), "doc_id")
+        streaming.stream_store(
+            v.text_uploads(arriving), path, work_dir(spark, "stream-checkpoint")).awaitTermination()
+    stored = readers.stored_documents(spark, path)
+    ids = stored.agg(F.count_distinct("id").alias("all_ids"), F.max("id").alias("last_id"),
+                     F.count("created_at").alias("dated")).first()
+    return stored.select(
+        *[F.lit(ids[c]).alias(c) for c in ("all_ids", "last_id", "dated")], "filename", "user_id",
+        F.md5("raw_text").alias("raw_md5"), F.md5("corrected_text").alias("corrected_md5"), "language",
+        F.col("confidence").alias("score"))
+
+
 @query
 def enrich_uploads(spark, sf_dir):
     return _upload_rows(upload.enrich_uploads(v.text_uploads(v.documents(spark, sf_dir))))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.images import image_size
 from ..operators.intake import plan_images
+from .publish import read_batches
 
 UPLOAD_GLOB = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[pP][dD][fF]}"
 
@@ -38,6 +39,11 @@ def documents(spark: SparkSession, path: str, schema: T.StructType = TEXT_DOCUME
     return spark.read.schema(schema).parquet(path)
 
 
+def stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The stored table that documents are appended to; empty where nothing has been."""
+    return read_batches(spark, path, STORED_DOCUMENT)
+
+
 def uploads(spark: SparkSession, path: str, glob: str = UPLOAD_GLOB) -> DataFrame:
     """``path, filename, length`` of a folder of uploads; file contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)

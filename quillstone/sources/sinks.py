@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import effective_text, export_base_name
 from ..operators.lookup import find_documents
 from ..session import with_ids
-from .readers import STORED_DOCUMENT
+from .publish import is_published, publish
+from .readers import stored_documents
 
 EXPORT_FORMATS = ("txt", "json", "docx", "pdf")
 
@@ -33,23 +35,28 @@ def read_exported_txt(spark: SparkSession, path: str) -> DataFrame:
     return files.select("doc_id", F.regexp_replace("value", r"\n\z", "").alias("text"))
 
 
-def export_txt_bulk(docs: DataFrame, path: str, buckets: int = 64) -> None:
+def export_txt_bulk(docs: DataFrame, path: str, buckets: int = 64, file_rows: int = 0) -> None:
     """Texts of a whole table in ``path/bucket=<n>/``: a line per document, id, tab and escaped text.
 
     Backslash, newline and carriage return are written ``\\\\``, ``\\n`` and ``\\r``.
-    The number of folders does not grow with the table.
+    The number of folders does not grow with the table. ``file_rows`` limits the
+    lines of a file, for readers that take files whole.
     """
     text = F.replace(export_text(), F.lit("\\"), F.lit("\\\\"))
     text = F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
     docs.select(
         F.concat(F.col("doc_id").cast("string"), F.lit("\t"), text).alias("value"),
         F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"),
-    ).write.partitionBy("bucket").text(path)
+    ).write.partitionBy("bucket").option("maxRecordsPerFile", file_rows).text(path)
 
 
 def read_bulk_txt(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, text`` of an :func:`export_txt_bulk` folder."""
-    lines = spark.read.schema("value string, bucket bigint").text(path)
+    return bulk_lines(spark.read.schema("value string, bucket bigint").text(path))
+
+
+def bulk_lines(lines: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the lines of bulk files, in ``value``."""
     body = F.regexp_replace("value", r"\A[^\t]*\t", "")
     # An escaped backslash is set aside while the other escapes are undone.
     parts = F.transform(F.split(body, r"\\\\", -1), lambda t: F.replace(
@@ -89,21 +96,20 @@ def export_requested(requests: DataFrame, docs: DataFrame) -> DataFrame:
         F.when(served, F.col("text")).alias("text"))
 
 
-def append_documents(df: DataFrame, path: str) -> None:
-    """Append processed rows to the stored table with defaults and new ids.
+def append_documents(df: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Append processed rows to the stored table with defaults and new ids; False for a batch it has already.
 
-    Ids follow the largest stored one without gaps. Rows are sorted by owner
-    within each file, so that a history reads few row groups. One writer at a
-    time.
+    Ids follow the largest stored one without gaps. Rows are dealt out by range
+    of owner and id and sorted so within each file: a history reads the files
+    and row groups whose range holds its user, and an owner of very many rows
+    fills several. A batch without a key counts as new. One writer at a time.
     """
     spark = df.sparkSession
-    try:
-        stored = spark.read.schema(STORED_DOCUMENT).parquet(path).agg(F.max("id")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = None
-    with_ids(df, stored or 0).select(
+    batch = batch or uuid.uuid4().hex
+    if is_published(spark, path, batch):
+        return False
+    last = stored_documents(spark, path).agg(F.max("id")).first()[0]
+    rows = with_ids(df, last or 0).select(
         "id",
         "filename",
         F.coalesce("raw_text", F.lit("")).alias("raw_text"),
@@ -111,5 +117,19 @@ def append_documents(df: DataFrame, path: str) -> None:
         F.coalesce("language", F.lit("unknown")).alias("language"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.current_timestamp().alias("created_at"),
-        "user_id",
-    ).sortWithinPartitions("user_id").write.mode("append").parquet(path)
+        F.col("user_id").cast("bigint").alias("user_id"),
+    )
+    return publish(_clustered(rows), path, batch)
+
+
+def _clustered(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange("user_id", "id").sortWithinPartitions("user_id", "id")
+
+
+def cluster_documents(spark: SparkSession, path: str, out: str) -> None:
+    """Copy a stored table to a new one with all batches clustered together, as one batch.
+
+    For a table that has grown by many batches, where each user is met in some
+    file of every batch. Ids and times stay.
+    """
+    publish(_clustered(stored_documents(spark, path)), out, "clustered")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.upload import enrich_uploads
+from ..sources.sinks import append_documents
 
 
 def read_stream(
@@ -38,3 +39,20 @@ def stream_enrich(uploads: DataFrame, out: str, checkpoint: str) -> StreamingQue
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start(out)
     )
+
+
+def stream_store(uploads: DataFrame, path: str, checkpoint: str, name: str = "uploads") -> StreamingQuery:
+    """Process arriving uploads and append those accepted to the stored documents, each batch exactly once.
+
+    A batch of the stream is a batch of the table, keyed by the stream's name and
+    the batch's number. When a run ends between the write and the commit of a
+    batch, the next run repeats it under the same key and the table leaves it
+    out. A stream that starts anew on another checkpoint needs another name.
+    """
+    def store(batch: DataFrame, number: int) -> None:
+        append_documents(enrich_uploads(batch).filter("reject_reason is null"), path, f"{name}-{number}")
+
+    return (
+        uploads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )

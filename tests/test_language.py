@@ -1,3 +1,7 @@
+import math
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import language, translation
@@ -29,6 +33,55 @@ def model(spark, path, rows):
     return spark.read.parquet(path)
 
 
+def hashed(gram, buckets):
+    h = 0
+    for c in gram:
+        h = (h * language.BASE + ord(c)) % language.PRIME
+    return h % buckets
+
+
+def test_buckets_of_code_points(texts):
+    grams = ["abc", "é日😀", "   ", "\n\tz", "𐍈𐍈𐍈"]
+    for buckets in (7, 1 << 15):
+        assert texts(lambda c: language.bucket(c, 3, buckets), grams) == [hashed(g, buckets) for g in grams]
+
+
+@pytest.mark.parametrize("n, buckets", [(3, 1 << 15), (3, 5), (1, 64), (4, 257)])
+def test_scores_against_their_definition(spark, tmp_path, n, buckets):
+    """Few buckets, so that n-grams collide; texts over several slices; repeated and NULL keys."""
+    labelled = [("b", "the cat sat on the mat"), ("a", "der hund und die katze"), ("c", "le chat est sur le toit 日本語")]
+    docs = [(1, "The mat"), (1, "der Hund"), (None, "LE CHAT"), (4, "日本語"), (5, ""), (6, None), (7, "ab"),
+            (8, "the " * 40_000 + "katze"), (9, "zq"), (10, " \n")]
+    path = str(tmp_path / f"p{n}-{buckets}")
+    language.language_profiles(spark.createDataFrame(labelled, "lang string, text string"), n).write.parquet(path)
+    counts = {lang: Counter(hashed(t[i:i + n], buckets) for i in range(len(t) - n + 1)) for lang, t in labelled}
+    used = set().union(*counts.values())
+
+    def expected(text):
+        t = (text or "").lower()
+        grams = [hashed(t[i:i + n], buckets) for i in range(len(t) - n + 1)] if t.strip() else []
+        grams = [g for g in grams if g in used]
+        score = {lang: sum(round(math.log((c[g] + 1) / (sum(c.values()) + len(used))) * language.SCALE) for g in grams)
+                 for lang, c in counts.items()}
+        return min(score, key=lambda x: (-score[x], x)) if grams else "unknown"
+
+    found = language.detect_language(
+        spark.createDataFrame(docs, "doc_id int, text string"), spark.read.parquet(path), n, buckets=buckets)
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(((i, expected(t)) for i, t in docs), key=key)
+
+
+def test_no_row_per_gram_moves(spark, tmp_path, plan):
+    """Scoring is narrow, and its plan does not grow with the labels."""
+    sizes = []
+    for labels in (2, 90):
+        profiles = model(spark, str(tmp_path / f"plan{labels}"), [(f"l{i}", f"w{i:03}xyz") for i in range(labels)])
+        text = plan(language.detect_language(spark.range(3).selectExpr("id AS doc_id", "'abc' AS text"), profiles))
+        assert "Exchange" not in text and "Join" not in text and "Generate" not in text
+        sizes.append(len(text.splitlines()))
+    assert sizes[0] == sizes[1]
+
+
 def test_three_hundred_labels(spark, tmp_path):
     profiles = model(spark, str(tmp_path / "many"), [(f"l{i:03}", f"q{i:03}x" * 3) for i in range(300)])
     docs = spark.createDataFrame([(i, f"q{i:03}x" * 3) for i in (8, 217, 299)], "doc_id int, text string")

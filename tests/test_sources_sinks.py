@@ -40,13 +40,16 @@ def test_header_sizes(spark):
 
     frame = b"\x08" + struct.pack(">HH", 77, 5000) + b"\x03"
     cases = {
+        "many segments": b"\xff\xd8" + segment(0xE1, b"x") * 2000 + segment(0xC0, frame),
+        "fill bytes": b"\xff\xd8" + b"\xff" * 3 + segment(0xE0, b"JFIF") + b"\xff" * 900 + segment(0xC1, frame),
+        "fill to the end": b"\xff\xd8" + b"\xff" * 1000, "empty segment": b"\xff\xd8\xff\xe0\0\0" * 700,
         "baseline": b"\xff\xd8" + segment(0xE0, b"JFIF") + segment(0xC0, frame),
         "progressive": b"\xff\xd8" + segment(0xE2, b"x" * 60_000) * 40 + segment(0xC4, b"\xff\xc0") + segment(0xC2, frame),
         "no frame": b"\xff\xd8" + segment(0xE0, b"JFIF"), "cut": b"\xff\xd8\xff", "cut png": png(5, 5)[:18],
         "empty": b"", "none": None}
     files = spark.createDataFrame(list(cases.items()), "path string, content binary")
     got = {r.file: (r.height, r.width) for r in readers.sized_images(files).collect()}
-    assert got == {k: (77, 5000) if k in ("baseline", "progressive") else (-1, -1) for k in cases}
+    assert got == {k: (77, 5000) if k in ("baseline", "progressive", "many segments", "fill bytes") else (-1, -1) for k in cases}
 
 
 def test_upload_folder(spark, tmp_path):
@@ -121,7 +124,7 @@ def test_append_twice(spark):
     path = work_dir(spark, "a")
     for _ in range(2):
         sinks.append_documents(stored(spark), path)
-    rows = readers.documents(spark, path, readers.STORED_DOCUMENT).collect()
+    rows = readers.stored_documents(spark, path).collect()
     assert len({r.id for r in rows}) == len(rows) == 6
     row = next(r for r in rows if r.filename == "b.pdf")
     assert (row.raw_text, row.corrected_text, row.language, row.confidence) == ("", "", "en", 7.5)
