@@ -42,16 +42,52 @@ def written_lean(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(name, value)
 
 
+_RECORDED: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that this block stores intermediate tables in and does not discard itself."""
+    places: list[str] = []
+    _RECORDED.append(places)
+    try:
+        yield places
+    finally:
+        _RECORDED.remove(places)
+
+
+def new_place(spark: SparkSession, label: str) -> str:
+    """A new folder of the shared one for an intermediate table."""
+    path = work_dir(spark, label)
+    for places in _RECORDED:
+        places.append(path)
+    return path
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete stored tables, or folders by name, that nothing reads any more."""
+    for table_or_path in tables:
+        path = table_or_path if isinstance(table_or_path, str) else table_or_path.stored_in
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        for places in _RECORDED:
+            if path in places:
+                places.remove(path)
+
+
 def stored(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back.
 
     Cuts the lineage, computes the rows once for several readers, and survives
-    lost executors, since the files are not theirs.
+    lost executors, since the files are not theirs. :func:`discard` deletes the
+    files once their last reader has been stored itself.
     """
-    path = work_dir(df.sparkSession, label)
+    path = new_place(df.sparkSession, label)
     with written_lean(df.sparkSession):
         df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_in = path
+    return out
 
 
 def numbered(docs: DataFrame, label: str) -> DataFrame:

@@ -35,8 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import work_dir
-from .common import stored, written_lean
+from .common import discard, new_place, stored, written_lean
 from .rolling import mix, prefix_hashes, span_hashes
 
 WINDOW = 200
@@ -127,7 +126,9 @@ def _packed(*fields: tuple[str | Column, int]) -> Column:
     return out
 
 
-_UNIT_BITS = 8  # of a length or an anchor's distance inside a block
+_UNIT_BITS = 16  # of a length or an anchor's distance inside a block
+_UNIT_MASK = (1 << _UNIT_BITS) - 1
+MAX_WINDOW = 1 << _UNIT_BITS
 
 
 def _each_text(df: DataFrame, schema: str, make) -> DataFrame:
@@ -178,7 +179,7 @@ def _node_rows(window: int):
     """Groups of up to 16 windows of a block: their content, and the bytes that all of them have in common."""
     def make(text: str, key: int, parts: np.ndarray):
         p = prefix_hashes(_bytes_of(text))
-        lo, size, x = parts >> 2 * _UNIT_BITS, parts >> _UNIT_BITS & 255, parts & 255
+        lo, size, x = parts >> 2 * _UNIT_BITS, parts >> _UNIT_BITS & _UNIT_MASK, parts & _UNIT_MASK
         hi, x = lo + size, lo + x
         nearest, farthest = (x - hi) // NODE, (x - lo) // NODE
         times = farthest - nearest + 1
@@ -198,7 +199,7 @@ def _window_rows(window: int):
     """Hash of every window of a node, and of the window before it in the node (else 0)."""
     def make(text: str, key: int, nodes: np.ndarray):
         p = prefix_hashes(_bytes_of(text))
-        lo, times = nodes >> 2 * _UNIT_BITS, (nodes >> _UNIT_BITS & 255) + 1
+        lo, times = nodes >> 2 * _UNIT_BITS, (nodes >> _UNIT_BITS & _UNIT_MASK) + 1
         of = np.repeat(np.arange(len(nodes)), times)
         s = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
         content = span_hashes(p, s, s + window)
@@ -220,7 +221,7 @@ def segments(units: np.ndarray) -> list[tuple[int, int]]:
     units = np.sort(units)
     kind = units >> 1 & 3
     units = units[np.argsort(kind, kind="stable")]
-    lo, size, kind, cut = units >> 11, units >> 3 & 255, units >> 1 & 3, units & 1
+    lo, size, kind, cut = units >> _UNIT_BITS + 3, units >> 3 & _UNIT_MASK, units >> 1 & 3, units & 1
     hi = lo + size
     begins = np.append(True, (cut[1:] == 1) | (lo[1:] != hi[:-1] + 1) | (kind[1:] != kind[:-1]))
     ends = np.append(begins[1:], True)
@@ -417,14 +418,20 @@ def _merge_ranges(window: int):
 
 
 def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Write a table bucketed by ``key`` to the shared folder: later joins on it move the other side only."""
+    """Write a table bucketed by ``key`` to the shared folder: later joins on it move the other side only.
+
+    Buckets are a property of catalog tables, so it is one until it is read back.
+    """
     spark = df.sparkSession
-    name = f"suffix_dedup_{uuid.uuid4().hex}"
+    name, place = f"suffix_dedup_{uuid.uuid4().hex}", new_place(spark, "rows")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with written_lean(spark):
-        df.write.option("compression", "zstd").option("path", work_dir(spark, "rows")).bucketBy(
+        df.repartition(buckets, key).write.option("compression", "zstd").option("path", place).bucketBy(
             buckets, key).sortBy(key).saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out.stored_in = place
+    spark.sql(f"DROP TABLE {name}")  # of the catalog; the files are not the catalog's
+    return out
 
 
 def _met_again(df: DataFrame, on: str) -> DataFrame:
@@ -441,10 +448,13 @@ def _predecessors(df: DataFrame) -> DataFrame:
         "predecessors")
 
 
-def _judged(units: DataFrame, *columns: str) -> DataFrame:
-    """Units with ``cut``, NULL where their content is met once, and whether they stand for it."""
-    return units.join(_predecessors(units).hint("merge"), "content", "left").select(
-        "_key", *columns, "cut", (F.col("_key") == F.col("first_key")).alias("first"))
+def _stored_judged(units: DataFrame, *columns: str) -> DataFrame:
+    """Units with ``cut``, NULL where their content is met once, and whether they stand for it; in place of the units."""
+    known = _predecessors(units)
+    judged = stored(units.join(known.hint("merge"), "content", "left").select(
+        "_key", *columns, "cut", (F.col("_key") == F.col("first_key")).alias("first")), "judged")
+    discard(units.sparkSession, units, known)
+    return judged
 
 
 def _opened(judged: DataFrame, by: str) -> DataFrame:
@@ -459,45 +469,46 @@ def _per_text(units: DataFrame, unit: str | Column = "unit") -> DataFrame:
     return units.groupBy("_key").agg(F.collect_set(unit).alias("units"))
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (``_key, row, text``), all input rows, and ``_key, begin, reach`` of repeated stretches.
-
-    Rows with an equal id and text share a key; they are counted apart, and
-    repeat each other.
-    """
-    plain = docs.select(
-        F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_key"), F.struct("*").alias("row"))
-    body = F.coalesce(F.col(f"row.{text}"), F.lit("")).alias("text")
+def repeated_spans(docs: DataFrame, text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """``_key, row, text``, all input rows under a number of their own, and ``_key, begin, reach`` of repeated stretches."""
+    spark = docs.sparkSession
+    rows = _bucketed(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct("*").alias("row")), "_key")
+    rows = rows.withColumn("text", F.coalesce(F.col(f"row.{text}"), F.lit("")))
     anchors = stored(_each_text(
-        plain.select(body, "_key"), "anchor long, _key long, lo int", _anchor_rows(window)), "anchors")
-    left = anchors.join(_met_again(anchors, "anchor").hint("merge"), "anchor").groupBy("_key").agg(
-        F.collect_set("lo").alias("lo"))
-    rows = _bucketed(plain.join(left.hint("merge"), "_key", "left"), "_key").select("_key", "row", body, "lo")
-    texts = rows.filter("lo is not null").select("text", "_key", "lo")
+        rows.select("text", "_key"), "anchor long, _key long, lo int", _anchor_rows(window)), "anchors")
+    again = _met_again(anchors, "anchor")
+    left = stored(anchors.join(again.hint("merge"), "anchor").groupBy("_key").agg(F.collect_set("lo").alias("lo")), "left")
+    discard(spark, anchors, again)
 
     def with_units(units: DataFrame) -> DataFrame:
-        return texts.join(_per_text(units), "_key").select("text", "_key", "units")
-
-    blocks_left = stored(_each_text(
-        texts, "content long, before long, anchor long, _key long, unit long", _block_rows(window)), "blocks")
-    blocks_left = stored(_judged(blocks_left, "unit", "anchor"), "judged-blocks")
-    nodes = stored(_each_text(
-        with_units(_opened(blocks_left, "anchor")), "content long, before long, core long, _key long, unit long",
-        _node_rows(window)), "nodes")
-    nodes = stored(_judged(nodes.join(_met_again(nodes, "core").hint("merge"), "core"), "unit", "core"), "judged-nodes")
-    windows = _judged(stored(_each_text(
-        with_units(_opened(nodes, "core")), "content long, before long, _key long, unit long", _window_rows(window),
-    ), "windows"), "unit")
+        return rows.select("text", "_key").join(units.hint("merge"), "_key").select("text", "_key", units.columns[1])
+
+    made = stored(_each_text(
+        with_units(left), "content long, before long, anchor long, _key long, unit long", _block_rows(window)), "blocks")
+    blocks_left = _stored_judged(made, "unit", "anchor")
+    discard(spark, left)
+    made = stored(_each_text(
+        with_units(_per_text(_opened(blocks_left, "anchor"))),
+        "content long, before long, core long, _key long, unit long", _node_rows(window)), "nodes")
+    again = _met_again(made, "core")
+    met = stored(made.join(again.hint("merge"), "core"), "nodes-left")
+    discard(spark, made, again)
+    nodes = _stored_judged(met, "unit", "core")
+    made = stored(_each_text(
+        with_units(_per_text(_opened(nodes, "core"))), "content long, before long, _key long, unit long",
+        _window_rows(window)), "windows")
+    windows = _stored_judged(made, "unit")
 
     units = None
     for kind, judged in enumerate((blocks_left, nodes, windows)):
         first = F.shiftright("unit", 2 * _UNIT_BITS)
-        size = F.shiftright("unit", _UNIT_BITS).bitwiseAND(F.lit(255))
+        size = F.shiftright("unit", _UNIT_BITS).bitwiseAND(F.lit(_UNIT_MASK))
         repeated = judged.filter("cut is not null").select(
-            "_key", _packed((first, 0), (size, 8), (F.lit(kind), 2), ("cut", 1)).alias("unit"))
+            "_key", _packed((first, 0), (size, _UNIT_BITS), (F.lit(kind), 2), ("cut", 1)).alias("unit"))
         units = repeated if units is None else units.unionByName(repeated)
     units = stored(_per_text(units), "units")
-    splitters = _splitters(texts, units)
+    discard(spark, blocks_left, nodes, windows)
+    splitters = _splitters(rows, units)
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, list[tuple[int, int]]] = {}
@@ -514,19 +525,21 @@ def repeated_spans(docs: DataFrame, key: str, text: str, window: int) -> tuple[D
                     table, size = {}, 0
         yield from _coded_rows(table, splitters)
 
-    runs = texts.join(units, "_key").select("text", "_key", "units").mapInArrow(
+    runs = with_units(units).mapInArrow(
         sort_runs, "range int, run string, seq int, shared binary, rest_len binary, rest binary, "
         "times binary, where binary")
     spans = runs.repartition("range").sortWithinPartitions("range", "run", "seq").mapInArrow(
         _merge_ranges(window), "_key long, begin long, reach long")
-    return rows, stored(spans, "repeats")
+    spans = stored(spans, "repeats")
+    discard(spark, units)
+    return rows, spans
 
 
-def _splitters(texts: DataFrame, units: DataFrame) -> list[bytes]:
+def _splitters(rows: DataFrame, units: DataFrame) -> list[bytes]:
     """First bytes that part the segments into ranges of about equal size, from a bounded sample of texts."""
     total = units.agg(
         F.count("*").alias("texts"),
-        F.sum(F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + F.shiftright(u, 3).bitwiseAND(F.lit(255)) + 1))
+        F.sum(F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + F.shiftright(u, 3).bitwiseAND(F.lit(_UNIT_MASK)) + 1))
         .alias("starts")).first()
     ranges = int((total["starts"] or 0) // RANGE_BYTES) + int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = max(1, (total["texts"] or 0) // SAMPLE_TEXTS)
@@ -540,23 +553,26 @@ def _splitters(texts: DataFrame, units: DataFrame) -> list[bytes]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["head"])
 
     chosen = units.filter(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0)
-    found = texts.select("text", "_key").join(chosen, "_key").select("text", "units").mapInArrow(
+    found = rows.select("text", "_key").join(chosen, "_key").select("text", "units").mapInArrow(
         heads, "head binary").orderBy(F.xxhash64("head")).limit(64 * SAMPLE_TEXTS).collect()
     sample = sorted({bytes(r["head"]) for r in found})
     return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``row`` (the input row), ``n_bytes, n_removed, n_spans, kept_sha256, kept_text``: one row per input row.
 
     ``kept_text`` is what is left, NULL where nothing was removed; where a cut
     splits a character, its remaining bytes are dropped from ``kept_text`` only.
     NULL counts as empty; texts shorter than a window are never cut. Matches
     count inside one text, overlapping ones too, and never cross texts. Rows
-    that repeat an id and text repeat each other. Other columns travel along in
-    ``row``; an empty table gives an empty result.
+    that repeat each other, in id and text too, are texts of their own. Other
+    columns travel along in ``row``; an empty table gives an empty result.
+    Windows have 32 to 65,535 bytes.
     """
-    rows, spans = repeated_spans(docs, key, text, window)
+    if not ANCHOR <= window < MAX_WINDOW:
+        raise ValueError(f"windows of {ANCHOR} to {MAX_WINDOW - 1} bytes")
+    rows, spans = repeated_spans(docs, text, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -586,8 +602,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         "kept_sha256 string, kept_text string")
 
 
-def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def drop_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents with repeated passages removed from their text; what is emptied stays as an empty text."""
-    out = remove_repeats(docs, key, text, window)
+    out = remove_repeats(docs, text, window)
     return out.select(*[
         F.coalesce("kept_text", f"row.{c}").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

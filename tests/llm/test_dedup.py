@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillstone.llm import exact_dedup, jaccard, suffix_dedup
+from quillstone.llm.common import recorded
 from quillstone.llm.components import components
 from quillstone.llm.rolling import prefix_hashes, span_hashes
 
@@ -212,6 +213,41 @@ def test_repeats_messy(shipped, messy, empty):
     assert suffix_dedup.remove_repeats(empty).collect() == []
 
 
+@pytest.mark.parametrize("window", [32, 64, 400, 3000])
+def test_repeats_of_other_windows(shipped, window):
+    draw = random.Random(window)
+    passage = "".join(draw.choice("ab cd\n") for _ in range(3 * window))
+    rows = []
+    for i in range(40):
+        t = "".join(draw.choice("abcdefgh ") for _ in range(draw.randrange(0, 3 * window)))
+        cut = draw.randrange(0, window)
+        rows.append((i, t + passage[cut:cut + draw.randrange(window - 20, 2 * window)] + t[:20] if i % 3 else t))
+    df = shipped.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(suffix_dedup.remove_repeats(df, window=window), *REPEATS) == brute_repeats(rows, window)
+
+
+@pytest.mark.parametrize("window", [31, 65_536])
+def test_windows_have_bounds(documents, window):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(documents, window=window)
+
+
+def test_equal_ids_and_texts_are_rows_of_their_own(shipped):
+    """Rows are numbered, so neither equal rows nor hashes that collide can get each other's stretches."""
+    a, b = "".join(map(chr, range(97, 122))) * 12, "0123456789" * 30
+    rows = [(1, a), (1, a), (1, b), (None, b), (None, "short"), (None, "short")]
+    df = shipped.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(suffix_dedup.remove_repeats(df), *REPEATS) == brute_repeats(rows, 200)
+
+
+def test_nothing_but_what_the_result_reads_is_left_behind(shipped, documents):
+    tables = len(shipped.catalog.listTables())
+    with recorded() as places:
+        out = suffix_dedup.remove_repeats(documents)
+    assert sorted(p.rsplit("/", 1)[1].split("-")[0] for p in places) == ["repeats", "rows"]
+    assert out.count() == documents.count() and len(shipped.catalog.listTables()) == tables
+
+
 def test_long_text_blocks(monkeypatch):
     data = np.frombuffer((LONG[:40_000] + LONG[-9_000:]).encode(), np.uint8)
     whole = suffix_dedup.blocks(data)[1:]
