@@ -21,11 +21,11 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 1600
-MAX_LABELS = 200
+LEAST_PER_LABEL = 4
 BUCKETS = 1 << 13
 DIM = 16
 GRAMS = (2, 3, 4)
@@ -93,26 +93,25 @@ def has_letter(text: str | None) -> bool:
 def labelled_sample(
     docs: DataFrame, key: str, text: str, lang: str, size: int = SAMPLE,
 ) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, features, label numbers and numbers of n-grams of at most ``2 * size`` labelled texts.
-
-    About the same number per label, chosen by a hash of the id; texts become
-    bucket counts on the executors, so what reaches the driver is bounded by
-    ``size`` and the number of buckets, whatever the length of the texts.
-    Labels beyond the ``MAX_LABELS`` most frequent are not learned.
+    """Labels, features, label numbers and numbers of n-grams of a bounded sample of labelled texts.
+
+    Every label is learned. Each gives the same number of rows, those least by a
+    hash of id and text: ``size`` rows in all, or ``LEAST_PER_LABEL`` a label
+    where that is more. Hashes are ranked without the texts and cut off in each
+    task first; texts become bucket counts on the executors, so what reaches the
+    driver is bounded by ``size``, the labels and the number of buckets,
+    whatever the length of the texts.
     """
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LABELS).collect()
-    if not counts:
-        return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0, int)
-    rate = None
-    for row in counts:
-        share = min(1.0, size / len(counts) / row["count"])
-        here = F.col(lang) == row[lang]
-        rate = F.when(here, share) if rate is None else rate.when(here, share)
     order = F.xxhash64(F.col(key).cast("string"), text)
-    chosen = known.select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("h"), rate.alias("rate"),
-    ).filter((F.pmod("h", F.lit(1_000_000)) < F.col("rate") * 1_000_000))
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~held_out(F.col(key))).select(
+        F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("h"))
+    labels_there = known.agg(F.count_distinct("lang")).first()[0]
+    if not labels_there:
+        return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0, int)
+    each = max(size // labels_there, LEAST_PER_LABEL)
+    ranked = known.select("lang", "h").withColumn("r", F.rank().over(Window.partitionBy("lang").orderBy("h")))
+    least = ranked.filter(F.col("r") <= each).select("lang", "h").distinct().collect()
+    chosen = known.filter(F.col("h").isin([r["h"] for r in least]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -125,7 +124,9 @@ def labelled_sample(
                 "share": [s[f].tobytes() for s, f in zip(shares, found)]})
 
     rows = chosen.select("lang", "text", "h").mapInPandas(
-        run, "lang string, h long, n long, at binary, share binary").orderBy("h", "lang").limit(2 * size).collect()
+        run, "lang string, h long, n long, at binary, share binary")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = sorted(rows.withColumn("r", first).filter(F.col("r") <= each).collect(), key=lambda r: (r["h"], r["lang"]))
     labels = sorted({r["lang"] for r in rows})
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(rows):
@@ -197,34 +198,26 @@ def fit_language_model(
     return train(*labelled_sample(docs, key, text, lang, size))
 
 
-def _means(texts: list[str], table: np.ndarray) -> np.ndarray:
-    """Mean row of ``table`` over all n-grams of each text; text after text in one array of bytes."""
-    total = np.zeros((len(texts), table.shape[1]))
-    seen = np.zeros(len(texts))
-    parts = [_bytes(t) for t in texts]
-    ends = np.cumsum([len(p) for p in parts])
-    data, starts = np.concatenate(parts), ends - [len(p) for p in parts]
-    for n in GRAMS:
-        if len(data) < n:
-            continue
-        last = np.maximum(ends - n + 1, starts)  # n-grams that lie in one text
-        buckets = hashed(data, n)
-        for c in range(table.shape[1]):
-            sums = np.concatenate([[0.0], np.cumsum(table[:, c][buckets], dtype=np.float64)])
-            total[:, c] += sums[np.minimum(last, len(buckets))] - sums[np.minimum(starts, len(buckets))]
-        seen += last - starts
-    return total / np.maximum(seen, 1)[:, None]
+def _judged(text: str, both: np.ndarray) -> tuple[np.ndarray, int]:
+    """Mean row of ``both`` over all n-grams of a text, and how many it has.
 
-
-def _scores(texts: list[str], model: Model) -> np.ndarray:
-    """Mean logits of each text."""
-    return _means(texts, model.table) + model.bias
+    One count per bucket, then one product: the cost of a long text does not
+    depend on the number of labels.
+    """
+    data = _bytes(text)
+    parts = [hashed(data, n) for n in GRAMS if len(data) >= n]
+    counts = np.bincount(np.concatenate(parts), minlength=BUCKETS) if parts else np.zeros(BUCKETS, np.int64)
+    at = np.flatnonzero(counts)
+    return counts[at] @ both[at] / max(counts.sum(), 1), len(GRAMS) * len(data)
 
 
-def _familiarity(texts: list[str], model: Model) -> np.ndarray:
-    """How usual each text is in the language it is most usual in: 0 is a usual text, less is stranger."""
-    n = np.array([len(GRAMS) * len(_bytes(t)) for t in texts])
-    return steadied(_means(texts, model.usual).max(axis=1), n)
+def _scores(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Mean logits of each text; and how usual it is in the language it is most usual in, 0 as usual, less stranger."""
+    both = np.hstack([model.table, model.usual]).astype(np.float64)
+    means, sizes = zip(*[_judged(t, both) for t in texts])
+    k = len(model.labels)
+    means = np.array(means)
+    return means[:, :k] + model.bias, steadied(means[:, k:].max(axis=1), np.array(sizes))
 
 
 def with_language(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,13 +226,14 @@ def with_language(docs: DataFrame, model: Model, key: str = "doc_id", text: str
     A text that is NULL or has no letter is ``und`` with score 0 and rejected;
     so is every text when nothing was learned. Equal scores go to the first
     label by name. Reads the text only; repeated rows are judged alike. Narrow;
-    the model travels with the task, and its size is bounded by its buckets and
-    ``MAX_LABELS``.
+    the model travels with the task, its size is a number per bucket and label,
+    twice.
     """
     def judged(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        p = _softmax(_scores(texts, model) / model.temperature)
+        logits, familiar = _scores(texts, model)
+        p = _softmax(logits / model.temperature)
         at = p.argmax(axis=1)
-        strange = _familiarity(texts, model) < model.familiar_from
+        strange = familiar < model.familiar_from
         return [model.labels[i] for i in at], p.max(axis=1), strange | (p.max(axis=1) < model.reject_below)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 _HREF = r"""(?i)<link\b(?=[^<>]*\brel\s{0,9}=\s{0,9}["']?canonical)[^<>]*?\bhref\s{0,9}=\s{0,9}["']?([^"'\s<>]+)"""
 _REFRESH = (r"""(?i)<meta\b(?=[^<>]*http-equiv\s{0,9}=\s{0,9}["']?refresh)"""
-            r"""[^<>]*?content\s{0,9}=\s{0,9}["'][^"'<>]*?url\s{0,9}=\s{0,9}([^"'\s<>]+)""")
+            r"""[^<>]*?content\s{0,9}=\s{0,9}["'][^"'<>]*?url\s{0,9}=\s{0,9}["']?([^"'\s<>]+)""")
+_BASE = r"""(?i)<base\b[^<>]*?\bhref\s{0,9}=\s{0,9}["']?([^"'\s<>]+)"""
+# The entities that addresses are written with.
+_ENTITIES = (("&#38;", "&"), ("&#x26;", "&"), ("&#39;", "'"), ("&#x27;", "'"), ("&quot;", '"'), ("&amp;", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -61,24 +64,60 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
     return found
 
 
+def plain(target: Column) -> Column:
+    """An address as written in HTML without its entities, ``&amp;`` last."""
+    for entity, sign in _ENTITIES:
+        target = F.replace(target, F.lit(entity), F.lit(sign))
+    return target
+
+
+def without_dots(path: Column) -> Column:
+    """A path from the root without its ``.`` and ``..`` parts, as addresses are resolved."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.greatest(F.size(F.split(path, "/", -1)) - 1, F.lit(0)))
+
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(
+            part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    folder = F.when(path.rlike(r"/\.{1,2}\z"), "/").otherwise("")
+    kept = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+    return F.concat(F.lit("/"), kept, F.when(kept != "", folder).otherwise(""))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The absolute address of a target met on a page whose address is ``base``; NULL without a host."""
+    origin = F.regexp_extract(base, r"(?s)\A.*?://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"(?s)\A.*?://[^/?#]*([^?#]*)", 1)
+    scheme = F.regexp_extract(base, r"(?s)\A.*?:(?=//)", 0)
+    query = F.regexp_extract(base, r"(?s)\A[^?#]*(\?[^#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)\A.*/", 0))
+    there = F.regexp_extract(target, r"(?s)\A[^?#]*", 0)
+    behind = F.substring(target, F.length(there) + 1, F.length(target))
+    from_root = F.when(there.startswith("/"), there).otherwise(F.concat(folder, there))
+    clean = F.when(from_root.contains("/."), without_dots(from_root)).otherwise(from_root)
+    return F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*://"), target).when(
+        (origin == "") | target.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None)).when(
+        target.startswith("//"), F.concat(scheme, target)).when(
+        target.startswith("?"), F.concat(origin, path, target)).when(
+        target.startswith("#"), F.concat(origin, path, query)).otherwise(F.concat(origin, clean, behind))
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``src, dst``: each page and what its canonical link or meta refresh points at.
 
-    Absolute, scheme-relative and root-relative targets are followed; other
-    relative ones are not. Patterns never run past a tag, so they are linear.
+    Targets are resolved as browsers do, against the page's ``base`` element if
+    it has one; those of another kind than host and path, such as ``mailto:``,
+    are not followed. Patterns never run past a tag, so they are linear.
     """
     low = F.lower(html)
     canonical = F.when(F.contains(low, F.lit("canonical")), F.regexp_extract(html, _HREF, 1))
     refresh = F.when(F.contains(low, F.lit("refresh")), F.regexp_extract(html, _REFRESH, 1))
-    target = F.col("target")
-    origin = F.regexp_extract(url, r"(?s)\A.*?://[^/?#]*", 0)
-    absolute = (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(origin, target)))
+    base = F.when(F.contains(low, F.lit("<base")), plain(F.regexp_extract(html, _BASE, 1)))
+    found = pages.select(url, base.alias("base"), F.explode(F.array_compact(F.array(canonical, refresh))).alias("target"))
+    here = F.when(F.coalesce("base", F.lit("")) != "", resolved(F.col("base"), F.col(url))).otherwise(F.col(url))
     return (
-        pages.select(url, F.explode(F.array_compact(F.array(canonical, refresh))).alias("target"))
-        .filter(target != "").select(F.col(url).alias("src"), absolute.alias("dst")).dropna()
+        found.filter("target != ''").withColumns({"base": F.coalesce(here, F.col(url)), "target": plain(F.col("target"))})
+        .select(F.col(url).alias("src"), resolved(F.col("target"), F.col("base")).alias("dst")).dropna()
     )
 
 

@@ -67,6 +67,36 @@ def test_aliases(shipped):
     assert url_filter.url_verdicts(shipped.createDataFrame([], SCHEMA)).collect() == []
 
 
+@pytest.mark.parametrize("target, want", [
+    ("2", "http://x.net/a/2"), ("../2?p=1&amp;q=2#z", "http://x.net/2?p=1&q=2#z"), ("./b/./c/../d/", "http://x.net/a/b/d/"),
+    ("?p=1", "http://x.net/a/1?p=1"), ("#top", "http://x.net/a/1?old"), ("/r", "http://x.net/r"), ("//y.org/2", "http://y.org/2"),
+    ("HTTPS://y.org/2", "HTTPS://y.org/2"), ("mailto:a@b", None), ("..", "http://x.net/"), ("../../../up", "http://x.net/up"),
+    ("b/..", "http://x.net/a/"), ("", None), ("next", "http://x.net/a/next")])
+def test_targets_are_resolved(shipped, target, want):
+    forms = [f"<link rel='canonical' href='{target}'>", f'<meta http-equiv=refresh content="0; url={target}">',
+             f"""<meta http-equiv="refresh" content="0;url='{target}'">"""]
+    for html in forms[:1] if target in ("", "#top") else forms:
+        edges = url_filter.link_edges(shipped.createDataFrame([page(1, "http://x.net/a/1?old", html)], SCHEMA)).collect()
+        assert [r.dst for r in edges] == ([want] if want else []), html
+
+
+def test_targets_against_the_base_element(shipped):
+    rows = [page(1, "http://x.net/a/1", "<base href='http://y.net/b/'><link rel=canonical href='2'>"),
+            page(2, "http://x.net/a/1", "<BASE target=x href='sub/'><link rel=canonical href=2>"),
+            page(3, "http://x.net", "<link rel=canonical href=2>"), page(4, "no scheme", "<link rel=canonical href=2>")]
+    assert sorted(r.dst for r in url_filter.link_edges(shipped.createDataFrame(rows, SCHEMA)).collect()) == [
+        "http://x.net/2", "http://x.net/a/sub/2", "http://y.net/b/2"]
+
+
+def test_blocks_travel_along_relative_chains(shipped):
+    """A chain of pages, each naming the next by a relative link, with the blocked one at its end."""
+    rows = [page(i, f"http://x.net/c/{i}/", f"<link rel=canonical href='../{i + 1}/'>") for i in range(30)]
+    rows += [page(30, "http://x.net/c/30/", "<meta http-equiv=refresh content='0;url=http://a.com/de/1'>"),
+             page(31, "http://x.net/d/1", "<link rel=canonical href='2'>"), page(32, "http://x.net/d/2")]
+    found = {k: v[3] for k, v in verdicts(shipped, rows).items()}
+    assert found == {i: "block" if i < 31 else "allow" for i in range(33)}
+
+
 # Sharding
 
 

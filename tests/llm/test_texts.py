@@ -168,12 +168,54 @@ def test_language_rejects_what_it_never_saw(shipped):
 def test_language_scores_whole_text(documents):
     model = language_id.fit_language_model(documents)
     texts = [r.text for r in documents.limit(6).collect()]
-    together = language_id._scores(texts, model)
+    together, _ = language_id._scores(texts, model)
     for t, row in zip(texts, together):
         want = language_id.subwords(t) @ model.table + model.bias
         assert np.allclose(row, want, atol=1e-3)
 
 
+def test_predictions_against_their_definition(documents):
+    """Every document judged n-gram by n-gram, from the fitted model alone."""
+    model = language_id.fit_language_model(documents)
+    found = {r.doc_id: r for r in language_id.identify_language(documents, model).collect()}
+    for r in documents.filter("length(text) < 3000").collect():
+        data = language_id.letters(r.text).encode()
+        total, seen = np.zeros((2, len(model.labels))), 0
+        for n in language_id.GRAMS:
+            for i in range(len(data) - n + 1):
+                b = int(language_id.hashed(np.frombuffer(data[i:i + n], np.uint8), n)[0])
+                total += model.table[b], model.usual[b]
+                seen += 1
+        logits = (total[0] / max(seen, 1) + model.bias) / model.temperature
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        n = len(language_id.GRAMS) * len(data)
+        strange = (total[1] / max(seen, 1)).max() * np.sqrt(n / (n + language_id.SHORT)) < model.familiar_from
+        got = found[r.doc_id]
+        if not any(map(str.isalpha, r.text)):
+            assert (got.lang_pred, got.score, got.rejected) == ("und", 0.0, True)
+            continue
+        assert got.lang_pred == model.labels[int(p.argmax())] and abs(got.score - p.max()) < 1e-3
+        assert got.rejected == (strange or p.max() < model.reject_below)
+        assert got.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_three_hundred_labels(shipped):
+    """No label is left out, and the rare ones get their rows beside one that holds most of the table."""
+    rows = [(i, f"{'qwzx'[i % 4]}{chr(97 + i // 26)}{chr(97 + i % 26)} " * 9, f"l{i % 300:03}") for i in range(300)] * 12
+    rows = [(n, t, lang) for n, (_, t, lang) in enumerate(rows)] + [(n, "a hot label", "hot") for n in range(5000, 9000)]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels, x, y, _ = language_id.labelled_sample(docs, "doc_id", "text", "lang", 600)
+    assert len(labels) == 301 and len(x) <= 301 * language_id.LEAST_PER_LABEL
+    assert max(np.bincount(y)) <= language_id.LEAST_PER_LABEL and min(np.bincount(y)) >= 1
+
+
+def test_repeated_rows_are_one_hash(shipped):
+    docs = shipped.createDataFrame([(1, "the same text", "en")] * 500 + [(2, "der andere", "de")] * 3, "doc_id long, text string, lang string")
+    labels, x, y, _ = language_id.labelled_sample(docs, "doc_id", "text", "lang", 8)
+    assert labels == ["de", "en"] and np.bincount(y).tolist() == [3, 4]
+
+
 def test_language_messy(messy, empty):
     model = language_id.fit_language_model(messy)
     out = language_id.identify_language(messy, model).collect()
