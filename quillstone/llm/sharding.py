@@ -9,7 +9,7 @@ out by a higher-order aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty, utf8
@@ -29,10 +29,31 @@ def record_bytes(text: str) -> Column:
     return (F.octet_length(text_or_empty(text)) + 1).cast("long")
 
 
+def slotted_records(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """``_id, size, text_crc32, vslot``: a row per record without its text.
+
+    A record hashes by its key. Records that share a key, NULL ones too, hash by
+    the key and a stored number of their own, so that a key with a third of all
+    rows fills all slots alike.
+    """
+    records = stored(docs.select(
+        F.col(key).alias("_id"), record_bytes(text).alias("size"),
+        F.crc32(utf8(text_or_empty(text))).alias("text_crc32"), F.monotonically_increasing_id().alias("_number")), "records")
+    shared = stored(records.groupBy(F.col("_id").alias("_key")).agg(F.count("*").alias("_times")).filter(
+        "_times > 1").select("_key", F.lit(True).alias("_shared")), "shared-keys")
+    own = F.concat_ws("#", F.col("_id").cast("string"), F.col("_number").cast("string"))
+    hashed = F.when(F.col("_shared"), own).otherwise(F.col("_id").cast("string"))
+    return records.join(shared, F.col("_id").eqNullSafe(F.col("_key")), "left").select(
+        "_id", "size", "text_crc32", virtual_slot(hashed, slots).alias("vslot"))
+
+
 def slot_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """``vslot, bytes, n``, summed in the tasks before the shuffle."""
-    return docs.groupBy(virtual_slot(F.col(key), slots).alias("vslot")).agg(
-        F.sum(record_bytes(text)).alias("bytes"), F.count("*").alias("n"))
+    return _per_slot(slotted_records(docs, key, text, slots))
+
+
+def _per_slot(records: DataFrame) -> DataFrame:
+    return records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
 
 
 def slot_map(sized: DataFrame, shards: int) -> DataFrame:
@@ -63,6 +84,8 @@ def rebalance(mapped: DataFrame, shards: int) -> DataFrame:
 
     Every old shard gives up slots, lightest first, while what it gives stays
     within what it holds above the new even share; new shards take them in turn.
+    Slots of equal bytes go by number; no more shards than before, or an empty
+    map, moves nothing.
     """
     old = mapped.groupBy("shard").agg(F.sum("bytes").alias("load"))
     share = mapped.agg((F.sum("bytes") / shards).alias("share"), (F.max("shard") + 1).alias("old_shards"))
@@ -80,26 +103,42 @@ def rebalance(mapped: DataFrame, shards: int) -> DataFrame:
         .otherwise(F.col("shard")).alias("shard"))
 
 
-def place_records(
-    docs: DataFrame, mapped: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS,
-) -> DataFrame:
+def save_map(mapped: DataFrame, path: str) -> int:
+    """Publish a map below ``path`` as its version, and return that.
+
+    A map is one small file, visible at once when its write commits. A version
+    is never overwritten: one that is there already is an error. So is an empty
+    map, which has no version.
+    """
+    first = mapped.select("version").first()
+    if first is None:
+        raise ValueError("an empty slot map has no version")
+    mapped.drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={first.version}")
+    return first.version
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The map published as ``version`` below ``path``, the newest one by default; a version not there has no row."""
+    found = spark.read.parquet(path).withColumn("version", F.col("version").cast("int"))
+    if version is None:
+        version = found.agg(F.max("version")).first()[0]
+    return found.filter(F.col("version") == version).select("version", "vslot", "bytes", "n", "shard")
+
+
+def place_records(records: DataFrame, mapped: DataFrame, key: str = "doc_id") -> DataFrame:
     """``key, size, text_crc32, vslot, shard, slot``: a shard and a gapless place in it per record.
 
-    Records are numbered inside their slot, which hashing keeps even, and a
-    slot starts where the slots before it in its shard end; so no task holds a
-    shard. NULL texts count as one byte; NULL keys share a slot; equal rows get
-    places of their own; other columns are ignored.
+    ``records`` comes from :func:`slotted_records`. Records are numbered inside
+    their slot, which hashing keeps even, and a slot starts where the slots
+    before it in its shard end; so no task holds a shard. NULL texts count as
+    one byte; equal rows get places of their own.
     """
     inside = Window.partitionBy("vslot").orderBy("_id", "text_crc32", "size")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     starts = mapped.select(
         "vslot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     return (
-        docs.select(
-            F.col(key).alias("_id"), record_bytes(text).alias("size"),
-            F.crc32(utf8(text_or_empty(text))).alias("text_crc32"),
-            virtual_slot(F.col(key), slots).alias("vslot"))
-        .withColumn("_place", F.row_number().over(inside) - 1)
+        records.withColumn("_place", F.row_number().over(inside) - 1)
         .join(F.broadcast(starts), "vslot")  # one row per slot
         .select(F.col("_id").alias(key), "size", "text_crc32", "vslot", "shard",
                 (F.col("_start") + F.col("_place")).cast("long").alias("slot"))
@@ -109,9 +148,15 @@ def place_records(
 def shard_documents(
     docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", slots: int = SLOTS,
 ) -> DataFrame:
-    """Records placed by a fresh map under the law of near equal bytes."""
-    mapped = stored(slot_map(slot_bytes(docs, key, text, slots), shards), "slot-map")
-    placed = place_records(docs, mapped, key, text, slots)
+    """Records placed by a fresh map under the law of near equal bytes.
+
+    NULL and empty texts are one byte; keys, NULL ones too, may repeat, and
+    equal rows get places of their own; other columns are ignored; an empty
+    table gives an empty result.
+    """
+    records = slotted_records(docs, key, text, slots)
+    mapped = stored(slot_map(_per_slot(records), shards), "slot-map")
+    placed = place_records(records, mapped, key)
     return placed.select(
         key, "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "vslot")

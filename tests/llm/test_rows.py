@@ -1,7 +1,10 @@
+import hashlib
 import sys
 import zlib
+from collections import Counter
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillstone.llm import queries, sharding, url_filter
@@ -134,6 +137,60 @@ def test_rebalancing_moves_into_new_shards_only(documents):
     assert first.select("vslot", "shard").exceptAll(same.select("vslot", "shard")).count() == 0
 
 
+def test_shards_with_a_hot_key(shipped):
+    """A third of the rows under one key, another third without one, many of them alike in text: bytes stay even."""
+    rows = [(7, "same text " * 40) for _ in range(1500)] + [(None, f"no id {i} " * (1 + i % 50)) for i in range(1500)]
+    rows += [(100 + i, "x" * (i % 300)) for i in range(1500)]
+    out = sharding.shard_documents(shipped.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == Counter(
+        (i, len(t) + 1, zlib.crc32(t.encode())) for i, t in rows)
+    loads, slots = Counter(), Counter()
+    for r in out:
+        loads[r.shard] += r.size
+        slots[r.vslot] += 1
+    assert set(loads) == set(range(8)) and max(loads.values()) - min(loads.values()) <= max(r.size for r in out) * 3
+    assert max(slots.values()) < 15
+    for shard in loads:
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+
+
+def test_shards_equal_a_brute_force_placing(documents):
+    """Slots by the leading bits of MD5, then the heaviest slot to the lightest shard, places by slot and key."""
+    rows = [(r.doc_id, len((r.text or "").encode()) + 1) for r in documents.select("doc_id", "text").collect()]
+    slot = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % sharding.SLOTS for i, _ in rows}
+    weight = Counter()
+    for i, size in rows:
+        weight[slot[i]] += size
+    load, home = [0] * 8, {}
+    for s in sorted(weight, key=lambda s: (-weight[s], s)):
+        home[s] = load.index(min(load))
+        load[home[s]] += weight[s]
+    want, used = {}, Counter()
+    for i, size in sorted(rows, key=lambda r: (slot[r[0]], r[0])):
+        shard = home[slot[i]]
+        want[i] = (size, shard, used[shard])
+        used[shard] += 1
+    assert {r.doc_id: (r.size, r.shard, r.slot) for r in sharding.shard_documents(documents).collect()} == want
+
+
+def test_slot_maps_are_kept_by_version(documents, tmp_path):
+    path = str(tmp_path / "maps")
+    first = sharding.slot_map(sharding.slot_bytes(documents), 8)
+    assert sharding.save_map(first, path) == 1
+    grown = sharding.rebalance(sharding.load_map(documents.sparkSession, path), 9)
+    assert sharding.save_map(grown, path) == 2
+    again = sharding.load_map(documents.sparkSession, path)
+    assert again.columns == first.columns and sorted(again.collect()) == sorted(grown.collect())
+    assert sorted(sharding.load_map(documents.sparkSession, path, 1).collect()) == sorted(first.collect())
+    assert sharding.load_map(documents.sparkSession, path, 5).collect() == []
+    with pytest.raises(AnalysisException):
+        sharding.save_map(grown, path)
+    empty = sharding.slot_map(sharding.slot_bytes(documents.filter("false")), 8)
+    assert empty.collect() == [] and sharding.rebalance(empty, 9).collect() == []
+    with pytest.raises(ValueError):
+        sharding.save_map(empty, path)
+
+
 def test_sharding_is_native(documents, plan):
     text = plan(sharding.shard_documents(documents))
     assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
