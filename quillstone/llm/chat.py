@@ -88,8 +88,9 @@ def read_back(segments: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
     """What parsing the segments of each conversation in order gives.
 
     ``conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.
-    Rows with equal turn numbers go by their segments. Conversations are
-    streamed in sorted order through running digests, so memory does not grow
+    Rows with equal turn numbers go by their segments. A segment that does not
+    fit the grammar, NULL too, is no turn: only its characters count, in
+    ``formatted_chars``. Conversations are streamed in sorted order through running digests, so memory does not grow
     with a conversation; NULL is a conversation id like any other.
     """
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +109,16 @@ def read_back(segments: DataFrame, conv: str = "conv_id", turn: str = "turn") ->
                     if state is not None:
                         out.append(row())
                     current, state = cid, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = parse_turn(segment)
+                state[4] += len(segment or "")
+                turn = parse_turn(segment or "")
+                if turn is None:
+                    continue
+                role, text = turn
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 if role == LOSS_ROLE:
                     state[2] += len(text)
                     state[3].update(text.encode("utf-8", "surrogatepass"))
-                state[4] += len(segment)
             yield from out
             out = []
         if state is not None:

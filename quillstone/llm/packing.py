@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import stored, text_or_empty, utf8
 
 WINDOW = 2048
 END_ID = 1
@@ -61,7 +61,7 @@ def _crcs(ids: np.ndarray, window: int) -> list[int]:
 
 
 def token_counts(docs: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
-    """``_id, n, crcs``: tokens of each whole text with its end id, and the CRC of each window of them."""
+    """``_id, n, crcs, sha``: tokens of each whole text with its end id, the CRC of each window of them, the text's digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, crcs = [], []
@@ -70,11 +70,16 @@ def token_counts(docs: DataFrame, key: str, text: str, window: int = WINDOW) ->
                 n.append(len(ids))
                 crcs.append(_crcs(ids, window))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["_id", "n", "crcs"])
+                [b.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), b.column(2)],
+                ["_id", "n", "crcs", "sha"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(
-        run, f"_id {kind}, n long, crcs array<long>")
+    return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), _digest(text)).mapInArrow(
+        run, f"_id {kind}, n long, crcs array<long>, sha string")
+
+
+def _digest(text: str) -> Column:
+    return F.sha2(utf8(text_or_empty(text)), 256)
 
 
 def fillings(lengths: np.ndarray, counts: np.ndarray, window: int, partners: int = PARTNERS) -> np.ndarray:
@@ -166,9 +171,10 @@ def _running(df: DataFrame, value: Column, group: list[str], out: str, salts: in
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per piece: ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    NULL and empty texts are their end id alone. Equal rows are packed apart;
-    other columns are ignored; an empty table gives no piece. Only documents
-    cut by a window of the greedy part are tokenized a second time.
+    NULL and empty texts are their end id alone. Equal rows are packed apart,
+    and keys, NULL ones too, may repeat; other columns are ignored; an empty
+    table gives no piece. Only documents cut by a window of the greedy part are
+    tokenized a second time.
     """
     spark = docs.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -237,7 +243,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
         *piece(F.col("from"), F.col("len"), last_crc, seq + stream_first, off))
 
     cut = stored(
-        parts.filter(F.size("bounds") > 2).groupBy("_row", "_id", "n", "crcs").agg(
+        parts.filter(F.size("bounds") > 2).groupBy("_row", "_id", "n", "crcs", "sha").agg(
             F.collect_list(F.struct(
                 F.col("from").alias("start"), F.col("len").alias("length"),
                 (seq + stream_first).cast("long").alias("seq"), off.cast("long").alias("off"))).alias("pieces")), "cut")
@@ -248,7 +254,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
             for r in b.to_pylist():
                 ids = token_ids(r["_text"])
                 if len(ids) != r["n"] or _crcs(ids, window) != r["crcs"]:
-                    continue  # another text under the same key
+                    raise ValueError("a text has changed while it was packed")
                 for q in r["pieces"]:
                     crc = zlib.crc32(ids[q["start"]:q["start"] + q["length"]].tobytes())
                     out.append(r | q | {"crc": crc})
@@ -257,10 +263,14 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
                 ("length", pa.int64()), ("crc", pa.int64()), ("seq", pa.int64()), ("off", pa.int64())]))
 
     kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(F.col(key).alias("_k"), text_or_empty(text).alias("_text"))
+    # one row per cut text, looked up by key and digest, so rows that share a key do not meet each other
+    wanted = cut.groupBy(F.col("sha").alias("_sha")).agg(F.min("_id").alias("_first"))
+    texts = (
+        docs.select(F.col(key).alias("_k"), text_or_empty(text).alias("_text"), _digest(text).alias("sha"))
+        .join(wanted.hint("merge"), F.col("_k").eqNullSafe(F.col("_first")) & (F.col("sha") == F.col("_sha")), "left_semi")
+        .select("sha", "_text").dropDuplicates(["sha"]))
     again = (
-        texts.join(cut.hint("merge"), F.col("_k").eqNullSafe(F.col("_id"))).drop("_k").mapInArrow(
+        cut.join(texts.hint("merge"), "sha").mapInArrow(
             recount, f"_row long, _id {kind}, n long, start long, length long, crc long, seq long, off long")
-        .dropDuplicates(["_row", "start"])
         .select(*piece(F.col("start"), F.col("length"), F.col("crc"), F.col("seq"), F.col("off"))))
     return whole.unionByName(fitted).unionByName(uncut).unionByName(again)

@@ -89,6 +89,14 @@ def test_packing_messy(messy, empty):
     assert packing.pack(empty).collect() == []
 
 
+def test_packing_hot_ids(shipped):
+    """A third of the rows without an id, a third under one id, copies among both."""
+    rows = [(None, f"row {i % 7} " * (3 + i % 11)) for i in range(120)] + [(5, "one text of some words") for _ in range(120)]
+    rows += [(10 + i, "z " * (i % 40)) for i in range(120)]
+    df = shipped.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check_packing(rows, packing.pack(df, window=16), window=16)
+
+
 def test_packing_small_window(shipped):
     rows = list(enumerate(["a b c d e f g h"] * 40 + ODD + ["one two three"] * 31))
     df = shipped.createDataFrame(rows, "doc_id long, text string")
@@ -313,3 +321,22 @@ def test_chat_messy(shipped):
     assert out[1].loss_chars == len("</s>[INST] ok [/INST]tie")
     none = shipped.createDataFrame([], schema)
     assert chat.read_back(chat.format_turns(none)).collect() == []
+
+
+def test_segments_outside_the_grammar_are_no_turns(shipped):
+    good = chat.render_turn("assistant", "fine")
+    rows = [(1, 0, "no turn at all"), (1, 1, good), (1, 2, None), (1, 3, good[:-1]), (2, 0, "<s>[ROLE]user</s>"), (None, 0, good)]
+    out = {r.conv_id: r for r in chat.read_back(shipped.createDataFrame(rows, "conv_id long, turn long, segment string")).collect()}
+    said = hashlib.sha256(b"assistant\nfine\n").hexdigest()
+    assert (out[1].n_turns, out[1].turns_sha256, out[1].loss_chars) == (1, said, 4)
+    assert out[1].formatted_chars == len("no turn at all") + 2 * len(good) - 1
+    assert (out[2].n_turns, out[2].loss_chars, out[2].formatted_chars) == (0, 0, 17)
+    assert out[None].n_turns == 1
+
+
+def test_a_joined_conversation_reads_back(shipped):
+    """Segments put together hold no other turn ends than their own, so the whole splits into the same turns."""
+    said = [("user", "</s>[INST] ok [/INST]"), ("assistant", "<s>[ROLE]x[/ROLE]y</s>"), ("a</s>b", "<\\\\/s>"), ("", "")]
+    whole = "".join(chat.render_turn(*t) for t in said)
+    turns = [chat.parse_turn(s + chat.CLOSE) for s in whole.split(chat.CLOSE)[:-1]]
+    assert turns == said
