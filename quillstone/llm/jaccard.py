@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import numbered, stored, text_or_empty
 from .components import components
@@ -247,8 +248,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     texts and texts without words have no shingle and link with nothing; fewer
     than four words are one shingle. Equal texts link. Rows that repeat a key
     are one node of the link graph; rows without a key join no other set than
-    their own. Other columns are ignored; an empty table gives an empty result.
+    their own. Keys that are not whole numbers are numbered in their order
+    first. Other columns are ignored; an empty table gives an empty result.
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        return _by_numbered_keys(docs, key, text)
     levels = rarity(count_sketch(docs, text))
     rows = stored(token_prefixes(docs, key, text, levels), "prefixes")
     classes = stored(rows.filter("n > 0 and _id is not null").groupBy("sig").agg(F.min("_id").alias("cls")), "classes")
@@ -295,15 +299,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         .filter(F.col("k") >= fewest_in_common(F.col("n"))).join(spans, "g")
         .filter((F.col("c0") != F.col("c1")) | (F.col("c0") != F.col("comp")))
         .filter((100 * F.col("n") >= PERCENT * F.col("least")) & (100 * F.col("most") >= PERCENT * F.col("n")))
-        .select("g", "cls", F.lit(-1).alias("own"), "subs"))
+        .select("g", "cls", "n", F.lit(-1).alias("own"), "subs"))
     leaders = homes.select(F.col("cls").alias("_lead"), F.col("comp").alias("lead_comp"))
     apart = homes.filter("subs > 1").join(leaders, F.col("g") == F.col("_lead"), "left").filter(
         F.col("lead_comp").isNull() | (F.col("comp") != F.col("lead_comp"))).select(
-        "g", "cls", F.col("sub").alias("own"), "subs")
+        "g", "cls", "n", F.col("sub").alias("own"), "subs")
     calls = visits.unionByName(apart).select(
-        "g", "cls", "own", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")).filter("sub != own")
-    calls = stored(calls.select("g", "sub", "cls").distinct(), "calls")
-    parts = calls.groupBy("g", "sub").agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("parts"))
+        "g", "cls", "n", "own", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub")).filter("sub != own")
+    calls = stored(calls.select("g", "sub", "cls", "n").distinct(), "calls")
+    parts = calls.groupBy("g", "sub").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     callers = calls.join(parts, ["g", "sub"]).select(
         "g", "sub", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"),
         F.lit(True).alias("visitor"), "cls")
@@ -319,6 +324,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("comp", "_id").alias("component_id"))
 
 
+def _by_numbered_keys(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The same for keys of any ordered type, by numbers that ascend with them."""
+    keys = stored(docs.select(F.col(key).alias("_key")).filter("_key is not null").distinct().orderBy("_key").select(
+        "_key", F.monotonically_increasing_id().alias("_number")), "keys")
+    rows = stored(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(keys, "_key", "left").select(
+        "_number", "_text"), "keyed-rows", "zstd")
+    found = jaccard_components(rows, "_number", "_text").join(keys, "_number", "left")
+    least = keys.select(F.col("_number").alias("component_id"), F.col("_key").alias("_least"))
+    return found.join(least, "component_id", "left").select(
+        F.col("_key").alias(key), "n_shingles", F.col("_least").alias("component_id"))
+
+
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, the one with the least key, with its own columns.
 

@@ -140,6 +140,25 @@ def test_jaccard_messy(messy, empty):
     assert jaccard.jaccard_components(empty).collect() == []
 
 
+def test_jaccard_keys_of_other_types(shipped, documents):
+    """Keys that are texts give the components of the numbers they stand for, named by the least text."""
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    named = shipped.createDataFrame([(f"k{i:09d}", t) for i, t in rows] + [(None, "one two"), (None, None)],
+                                    "doc_id string, text string")
+    want = [(f"k{i:09d}", n, f"k{c:09d}") for i, n, c in by_row(
+        jaccard.jaccard_components(documents), "doc_id", "n_shingles", "component_id")]
+    got = by_row(jaccard.jaccard_components(named), "doc_id", "n_shingles", "component_id")
+    assert got == sorted([*want, (None, 0, None), (None, 1, None)], key=lambda t: [(v is not None, v) for v in t])
+
+
+def test_jaccard_visitors_in_several_parts(shipped, documents, monkeypatch):
+    """Blocks of few shingles, so that homes and visitors are split, give the same components."""
+    columns = ("doc_id", "n_shingles", "component_id")
+    want = by_row(jaccard.jaccard_components(documents), *columns)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 200)
+    assert by_row(jaccard.jaccard_components(documents), *columns) == want
+
+
 def test_shingle_windows(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(4000)) + " " + "y" * 3000 + " a b c d"
     whole = jaccard.shingles(text)
