@@ -14,6 +14,7 @@ dealt out in blocks as well, so a task holds two blocks of sources at most.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ SHARES = 1_000_000_000
 TOP = 10
 TERM_BLOCK = 4096
 SOURCE_BLOCK = 64
+FOLDERS = 512
 _EVERYWHERE = b"-"  # no term; keeps a language without kept terms from failing
 
 
@@ -40,17 +42,30 @@ _BYTES = bytes(32 if b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b
 
 
 def term_lines(docs: DataFrame) -> DataFrame:
-    """``lang, source, terms``: the terms of each ``text``, a space between, behind a mark that is no term.
+    """``lang, source, terms, again``: the terms of each ``text``, a space between.
 
-    Terms are runs of letters and non-ASCII characters with A to Z in lower case.
+    ``terms`` has each term once, behind a mark that is no term; ``again`` has a
+    space and the term for every further occurrence, so both together are all of
+    them. Terms are runs of letters and non-ASCII characters with A to Z in lower case.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = [b" ".join([_EVERYWHERE, *t.as_py().translate(_BYTES).split()]) for t in b.column(2)]
+            once, again = [], []
+            for t in b.column(2):
+                found = Counter(t.as_py().translate(_BYTES).split())
+                once.append(b" ".join([_EVERYWHERE, *found]))
+                again.append(b"".join([(b" " + term) * (n - 1) for term, n in found.items() if n > 1]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(lines, pa.string())], ["lang", "source", "terms"])
+                [b.column(0), b.column(1), pa.array(once, pa.string()), pa.array(again, pa.string())],
+                ["lang", "source", "terms", "again"])
 
-    return docs.select("lang", "source", utf8(F.col("text"))).mapInArrow(run, "lang string, source string, terms string")
+    return docs.select("lang", "source", utf8(F.col("text"))).mapInArrow(
+        run, "lang string, source string, terms string, again string")
+
+
+def _folder(lang: Column) -> Column:
+    """Which folder of the stored terms a language is in; their number is bounded, whatever the languages."""
+    return F.pmod(F.xxhash64(lang), F.lit(FOLDERS)).cast("int")
 
 
 def _share(count: Column, n: Column, v: Column) -> Column:
@@ -76,19 +91,25 @@ def term_counts(
     plain = docs.select(
         text_or_empty(lang).alias("lang"), text_or_empty(source).alias("source"), text_or_empty(text).alias("text"))
     groups = stored(plain.groupBy("lang", "source").agg(F.count("*").alias("n_docs")), "divergence-groups")
-    # in order of language within each file, so that a model's scan skips the pages of the others
-    rows = stored(term_lines(plain).sortWithinPartitions("lang", "source"), "divergence-terms", "zstd")
+    # by folders of languages, so that a model's scan leaves out the others
+    lines = work_dir(spark, "divergence-terms")
+    with written_lean(spark):
+        term_lines(plain).withColumn("folder", _folder(F.col("lang"))).sortWithinPartitions(
+            "folder", "lang", "source").write.partitionBy("folder").option("compression", "zstd").parquet(lines)
+    rows = spark.read.schema("lang string, source string, terms string, again string, folder int").parquet(lines)
     path = work_dir(spark, "divergence-counts")
     counts = "lang string, source string, index int, term string, count long"
     spark.createDataFrame([], counts).write.parquet(path)
     sizes = groups.groupBy("lang").agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    for row in sizes.orderBy("lang").select("lang").collect():
-        part = rows.filter(F.col("lang") == row.lang).select("source", F.split("terms", " ").alias("terms"))
+    for row in sizes.orderBy("lang").select("lang", _folder(F.col("lang")).alias("folder")).collect():
+        part = rows.filter((F.col("folder") == row.folder) & (F.col("lang") == row.lang))
         model = CountVectorizer(
-            inputCol="terms", outputCol="_vector", minDF=float(min_docs), vocabSize=MAX_VOCABULARY).fit(part)
+            inputCol="terms", outputCol="_vector", minDF=float(min_docs), vocabSize=MAX_VOCABULARY,
+        ).fit(part.select(F.split("terms", " ").alias("terms")))  # which terms are kept depends on documents alone
         names = pa.table({"index": pa.array(range(len(model.vocabulary)), pa.int32()), "term": model.vocabulary})
         vector = F.unwrap_udt("_vector")
-        entries = model.transform(part).select("source", F.explode(
+        whole = part.select("source", F.split(F.concat("terms", "again"), " ").alias("terms"))
+        entries = model.transform(whole).select("source", F.explode(
             F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("value"))).alias("e"))
         summed = entries.groupBy("source", F.col("e.index").alias("index")).agg(
             F.sum(F.col("e.value").cast("long")).alias("count"))
