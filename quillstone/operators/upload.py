@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import effective_text
+from ..session import work_dir
 from .classification import classify
 from .extraction import extract_key_info
 from .intake import intake_route
@@ -63,14 +64,17 @@ def process_uploads(files: DataFrame, pages: DataFrame, first_only: bool = False
     Pages of rejected files are dropped before their texts move. Pages are
     repaired, rolled up to documents, and the chosen text is classified and
     searched. ``first_only`` is the form for identity documents: first page
-    only. A file without pages is an error.
+    only. A file without pages is an error. The pages that count are stored
+    once with their repaired texts, since every roll-up reads them.
     """
     routed = intake_route(files)
     accepted = routed.filter("accepted").select("doc_id")
-    read = pages.join(accepted, "doc_id", "left_semi")
+    read = pages.select("doc_id", "page", "raw_text", "confidence", "detected_language").join(accepted, "doc_id", "left_semi")
     if first_only:
         read = first_page(read)
-    merged = multi_page_document(correct_text(read, "raw_text"))
+    repaired, path = correct_text(read, "raw_text"), work_dir(pages.sparkSession, "upload-pages")
+    repaired.write.option("compression", "zstd").parquet(path)
+    merged = multi_page_document(pages.sparkSession.read.schema(repaired.schema).parquet(path))
     chosen = merged.withColumn("_text", effective_text(F.col("corrected_text"), F.col("raw_text")))
     analysed = extract_key_info(classify(chosen, "_text"), "_text").drop("_text", "error")
     joined = routed.join(analysed.withColumn("_pages", F.lit(True)), "doc_id", "left")

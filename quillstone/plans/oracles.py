@@ -448,8 +448,6 @@ FROM {files} u LEFT JOIN e ON e.doc_id = u.doc_id AND {refused} IS NULL"""
  n_chars * CASE WHEN doc_id % 7 = 0 THEN 10000 ELSE 1 END AS length FROM documents)""", f"""WITH repaired AS (
 SELECT doc_id, text AS raw_text, {repaired} AS text, CASE WHEN doc_id % 3 <> 0 THEN lang ELSE 'unknown' END AS language,
  CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 101)::DOUBLE ELSE 0.0 END AS score FROM documents)""", refused)
-    sql["stream_store"] = f"""SELECT count(*) OVER () AS all_ids, count(*) OVER () AS last_id, count(*) OVER () AS dated,
- filename, user_id, raw_md5, corrected_md5, language, score FROM ({sql['enrich_uploads']}) WHERE reject_reason IS NULL"""
     paged = """(SELECT *, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'scan.' || doc_id || '.pdf' END AS filename, abs(doc_id) % 50 AS user_id,
  abs(doc_id) * 7919 % 12000000 AS length FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations UNION ALL SELECT -1 - n_nationkey FROM nation))"""
     for name, kept in (("process_uploads", "true"), ("process_id_uploads", "page = first")):
@@ -459,6 +457,9 @@ repaired AS (SELECT doc_id, {_strip("string_agg(text, chr(10) || chr(10) ORDER B
  {_strip(f"string_agg({fixed.format(_repair('text'))}, chr(10) || chr(10) ORDER BY page)")} AS text,
  any_value(language) AS language, {mean} AS score FROM doc_pages JOIN doc_lang USING (doc_id) GROUP BY doc_id)""",
             f"coalesce({refused}, CASE WHEN e.doc_id IS NULL THEN 'PDF contains no pages' END)")
+    for name, processed in (("stream_store", "enrich_uploads"), ("store_uploads", "process_uploads")):
+        sql[name] = f"""SELECT count(*) OVER () AS all_ids, count(*) OVER () AS last_id, count(*) OVER () AS dated,
+ filename, user_id, raw_md5, corrected_md5, language, score FROM ({sql[processed]}) WHERE reject_reason IS NULL"""
     sql["camera_results"] = f"""WITH b AS ({sql['best_candidate']}), s AS ({sql['snapshot_confidence']})
 SELECT b.doc_id, {fixed.format(_repair('b.text'))} AS text, b.text AS raw_text, coalesce(s.confidence, 0.0) AS confidence
 FROM b LEFT JOIN s ON s.doc_id = b.doc_id AND s.page = b.pref"""

@@ -477,6 +477,15 @@ def _upload_rows(rows: DataFrame) -> DataFrame:
         "classification.type", "classification.confidence", *lists, "key_info.form_fill.*")
 
 
+def _stored_rows(stored: DataFrame) -> DataFrame:
+    ids = stored.agg(F.count_distinct("id").alias("all_ids"), F.max("id").alias("last_id"),
+                     F.count("created_at").alias("dated")).first()
+    return stored.select(
+        *[F.lit(ids[c]).alias(c) for c in ("all_ids", "last_id", "dated")], "filename", "user_id",
+        F.md5("raw_text").alias("raw_md5"), F.md5("corrected_text").alias("corrected_md5"), "language",
+        F.col("confidence").alias("score"))
+
+
 @query
 def stream_enrich(spark, sf_dir):
     out, checkpoint = work_dir(spark, "stream-out"), work_dir(spark, "stream-checkpoint")
@@ -493,13 +502,7 @@ def stream_store(spark, sf_dir):
         arriving = spread(streaming.read_stream(spark, sf_dir, readers.TEXT_DOCUMENT, "documents.parquet"), "doc_id")
         streaming.stream_store(
             v.text_uploads(arriving), path, work_dir(spark, "stream-checkpoint")).awaitTermination()
-    stored = readers.stored_documents(spark, path)
-    ids = stored.agg(F.count_distinct("id").alias("all_ids"), F.max("id").alias("last_id"),
-                     F.count("created_at").alias("dated")).first()
-    return stored.select(
-        *[F.lit(ids[c]).alias(c) for c in ("all_ids", "last_id", "dated")], "filename", "user_id",
-        F.md5("raw_text").alias("raw_md5"), F.md5("corrected_text").alias("corrected_md5"), "language",
-        F.col("confidence").alias("score"))
+    return _stored_rows(readers.stored_documents(spark, path))
 
 
 @query
@@ -522,3 +525,13 @@ def process_uploads(spark, sf_dir):
 def process_id_uploads(spark, sf_dir):
     pages = v.doc_pages(spark, sf_dir).withColumnRenamed("text", "raw_text")
     return _upload_rows(upload.process_uploads(v.paged_files(spark, sf_dir), pages, first_only=True))
+
+
+@query
+def store_uploads(spark, sf_dir):
+    """The same batch of uploads sent twice: its accepted rows are stored once."""
+    path = work_dir(spark, "uploads-stored")
+    pages = v.doc_pages(spark, sf_dir).withColumnRenamed("text", "raw_text")
+    for _ in range(2):
+        sinks.store_uploads(v.paged_files(spark, sf_dir), pages, path, "batch")
+    return _stored_rows(readers.stored_documents(spark, path))

@@ -35,7 +35,12 @@ TEXT_DOCUMENT = T.StructType([
 
 
 def documents(spark: SparkSession, path: str, schema: T.StructType = TEXT_DOCUMENT) -> DataFrame:
-    """A documents table with a declared schema; selected columns prune the scan."""
+    """A documents table with a declared schema; selected columns prune the scan.
+
+    With the schema of stored documents, all batches of that table.
+    """
+    if schema == STORED_DOCUMENT:
+        return stored_documents(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 

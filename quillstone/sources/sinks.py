@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import effective_text, export_base_name
 from ..operators.lookup import find_documents
+from ..operators.upload import process_uploads
 from ..session import with_ids
 from .publish import is_published, publish
 from .readers import stored_documents
@@ -122,6 +123,21 @@ def append_documents(df: DataFrame, path: str, batch: str | None = None) -> bool
     return publish(_clustered(rows), path, batch)
 
 
+def store_uploads(
+    files: DataFrame, pages: DataFrame, path: str, batch: str | None = None, first_only: bool = False,
+) -> bool:
+    """Process uploads as :func:`process_uploads` does and append those accepted to the stored table.
+
+    Ids, times and the order of rows are those of :func:`append_documents`; a
+    batch whose key the table has already is not processed again, and False.
+    Rejected uploads and files without pages leave no row.
+    """
+    if batch is not None and is_published(files.sparkSession, path, batch):
+        return False
+    processed = process_uploads(files, pages, first_only)
+    return append_documents(processed.filter("reject_reason is null"), path, batch)
+
+
 def _clustered(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("user_id", "id").sortWithinPartitions("user_id", "id")
 

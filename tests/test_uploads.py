@@ -73,7 +73,7 @@ def test_registration_is_stored(spark, tmp_path):
     verdict = {(r.username, r.seq): r.status for r in lookup.insert_users(batch, path).collect()}
     assert verdict == {("bob", 1): 400, ("cid", 2): 200, ("cid", 3): 400, ("dee", 4): 200}
     assert {r.status for r in lookup.insert_users(batch, path).collect()} == {400}
-    users = spark.read.parquet(path).collect()
+    users = lookup.stored_users(spark, path).collect()
     assert {r.username for r in users} == {"ann", "bob", "cid", "dee"}
     assert {r.id for r in users if r.username in ("cid", "dee")} == {10, 11}
 
@@ -109,6 +109,37 @@ def test_translation_parts_cover_the_text(spark):
     assert {r.doc_id for r in parts} == {1, 4} and max(len(r.chunk) for r in parts) == 4500
 
 
+def test_uploads_are_stored_once(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    files = spark.createDataFrame(
+        [(1, 7, "a.pdf", 10), (2, 7, "", 10), (3, 7, "c.pdf", 10), (4, None, "d.pdf", 10)],
+        "doc_id long, user_id long, filename string, length long")
+    pages = spark.createDataFrame(
+        [(1, 1, "second\n", 80.0, "en"), (1, 0, "Principat", 60.0, "en"), (2, 0, "never", 1.0, "en"),
+         (4, 3, None, None, None)], "doc_id long, page long, raw_text string, confidence double, detected_language string")
+    assert sinks.store_uploads(files, pages, path, "monday")
+    assert not sinks.store_uploads(files, pages, path, "monday")
+    rows = {r.filename: r for r in readers.stored_documents(spark, path).collect()}
+    assert set(rows) == {"a.pdf", "d.pdf"} and {r.id for r in rows.values()} == {1, 2}
+    assert rows["a.pdf"].raw_text == "Principat\n\nsecond" and rows["a.pdf"].corrected_text == "Principal\n\nsecond"
+    assert (rows["a.pdf"].confidence, rows["a.pdf"].language, rows["a.pdf"].user_id) == (70.0, "en", 7)
+    assert (rows["d.pdf"].raw_text, rows["d.pdf"].confidence, rows["d.pdf"].language) == ("", 0.0, "unknown")
+    assert sinks.store_uploads(files, pages, path, "tuesday", first_only=True)
+    texts = sorted(r.raw_text for r in readers.stored_documents(spark, path).collect())
+    assert texts == ["", "", "Principat", "Principat\n\nsecond"]
+    assert sinks.store_uploads(files.filter("false"), pages, path, "none")
+    assert readers.stored_documents(spark, path).count() == 4
+
+
+def test_uploaded_pages_are_read_once(spark, plan):
+    """Every roll-up reads the pages as they were stored; intake and repair do not run again."""
+    files = spark.range(40).selectExpr("id as doc_id", "id % 3 as user_id", "'a.pdf' as filename", "10L as length")
+    pages = spark.range(120).selectExpr(
+        "id % 40 as doc_id", "id as page", "'text' as raw_text", "1.0D as confidence", "'en' as detected_language")
+    text = plan(upload.process_uploads(files, pages))
+    assert "Range (0, 120" not in text and "upload-pages" in text
+
+
 def test_uploads(spark):
     files = spark.createDataFrame(
         [(1, 7, "a.pdf", 10), (2, 7, "", 10), (3, 7, "c.pdf", 20_000_000), (4, 7, "d.pdf", 10)],
