@@ -146,17 +146,10 @@ _RULES = ", ".join(
 
 _VALUES = ", ".join(
     f"('{m.name}', {m.scale} * {m.top} // greatest({m.per}, 1))" for m in quality.MEASURES)
-_FENCES = ", ".join(
-    f"('{m.name}', {m.spread}, {'true' if m.both_sides else 'false'})" for m in quality.MEASURES)
-
-
-def _quartiles(name: str, *group: str) -> str:
-    """SQL of a table of quartiles per group and measure, from the sketch ``s``."""
-    by = ", ".join([*group, "measure"])
-    return f"""{name} AS (SELECT {by}, max(total) AS total,
-  min(CASE WHEN 4 * upto >= total THEN b END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN b END) AS q3
-  FROM (SELECT {by}, b, sum(n) OVER (PARTITION BY {by} ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
-    FROM (SELECT {by}, b, sum(n) AS n FROM s GROUP BY {by}, b)) GROUP BY {by})"""
+_CHANCES = ", ".join(
+    f"('{m.name}', {m.chance}, {m.per}, {'true' if m.both_sides else 'false'})" for m in quality.MEASURES)
+_SHARES = ", ".join(
+    f"min(CASE WHEN {of} * upto >= {share} * total THEN b END) AS {q}" for q, (share, of) in quality.QUANTILES.items())
 
 
 ORACLES: dict[str, str] = {
@@ -166,8 +159,8 @@ WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t,
 l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
-f AS (SELECT doc_id, i FROM g JOIN (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
-r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM f) GROUP BY doc_id),
+y AS (SELECT doc_id, i FROM g JOIN (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM y) GROUP BY doc_id),
 c AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words,
   coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
@@ -179,17 +172,27 @@ v AS (SELECT d.*, m.measure, m.v, (m.v >> greatest(length(bin(m.v)) - {quality.B
   << greatest(length(bin(m.v)) - {quality.BUCKET_BITS}, 0)::INT AS b
   FROM d, LATERAL (VALUES {_VALUES}) m(measure, v)),
 s AS (SELECT lang, source, measure, b, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
-{_quartiles("fine", "lang", "source")}, {_quartiles("wide", "lang")}, {_quartiles("every")},
-q AS (SELECT f.lang, f.source, f.measure, CASE WHEN f.total >= {quality.MIN_GROUP} THEN [f.q1, f.q3]
-  WHEN x.total >= {quality.MIN_GROUP} THEN [x.q1, x.q3] ELSE [e.q1, e.q3] END AS q
-  FROM fine f JOIN wide x ON f.lang IS NOT DISTINCT FROM x.lang AND f.measure = x.measure JOIN every e ON f.measure = e.measure),
-lim AS (SELECT lang, source, measure,
-  CASE WHEN both_sides THEN q[1] - {quality.FENCE} * greatest(q[2] - q[1], spread) ELSE 0 END AS low,
-  q[2] + {quality.FENCE} * greatest(q[2] - q[1], spread) AS high
-  FROM q JOIN (VALUES {_FENCES}) k(measure, spread, both_sides) USING (measure)),
-k AS (SELECT doc_id, bool_and(v BETWEEN low AND high) AS fits FROM v JOIN lim
-  ON v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source AND v.measure = lim.measure
-  GROUP BY doc_id)
+e AS (SELECT measure, b, n, sum(n) OVER (PARTITION BY measure) AS total
+  FROM (SELECT measure, b, sum(n) AS n FROM s GROUP BY ALL)),
+u AS (SELECT lang, measure, b, n, sum(n) OVER (PARTITION BY lang, measure) AS total
+  FROM (SELECT lang, measure, b, sum(n) AS n FROM s GROUP BY ALL)),
+f AS (SELECT DISTINCT lang, source, measure FROM s),
+z AS (SELECT lang, source, measure, b, {quality.PART} * n AS n FROM s
+  UNION ALL SELECT f.lang, source, f.measure, b, {quality.PRIOR * quality.PART} * n // (total + {quality.PRIOR})
+  FROM f JOIN u ON f.lang IS NOT DISTINCT FROM u.lang AND f.measure = u.measure
+  UNION ALL SELECT f.lang, source, f.measure, e.b, {quality.PRIOR ** 2 * quality.PART} * e.n // e.total // (x.total + {quality.PRIOR})
+  FROM f JOIN e USING (measure) JOIN (SELECT DISTINCT lang, measure, total FROM u) x
+    ON f.lang IS NOT DISTINCT FROM x.lang AND f.measure = x.measure),
+q AS (SELECT lang, source, measure, {_SHARES} FROM (SELECT lang, source, measure, b,
+  sum(n) OVER (PARTITION BY lang, source, measure ORDER BY b) AS upto,
+  sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM z) GROUP BY ALL),
+h AS (SELECT doc_id, v, q1, q3, both_sides, greatest({quality.FENCE} * (q3 - q1), {quality.FENCE} * (q7 - q3),
+  floor({quality.FENCE} * chance / sqrt(least(greatest(per, 1), {quality.ALIKE})::DOUBLE))::BIGINT) AS reach
+  FROM (SELECT v.*, q1, q3, q7 FROM v JOIN q
+    ON v.lang IS NOT DISTINCT FROM q.lang AND v.source IS NOT DISTINCT FROM q.source AND v.measure = q.measure) x,
+  LATERAL (VALUES {_CHANCES}) k(name, chance, per, both_sides) WHERE name = measure),
+k AS (SELECT doc_id, bool_and(v BETWEEN CASE WHEN both_sides THEN q1 - reach ELSE 0 END AND q3 + reach) AS fits
+  FROM h GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(fits, false) AS kept, n_lines FROM d LEFT JOIN k USING (doc_id)""",
     # The supplied pages hold no redirect or canonical link, so equal addresses are the only aliases.

@@ -281,15 +281,92 @@ def test_adaptive_limits(shipped):
 
 
 def test_sketches_merge(shipped):
-    """Quartiles of merged group sketches are those of the whole."""
-    rows = [(i, " ".join(["w" * (1 + i % 9)] * 0 + [f"{'x' * (i % 7)}{j}" for j in range(60)]), "en", f"s{i % 3}")
-            for i in range(200)]
+    """Group sketches merged are those of the whole."""
+    rows = [(i, " ".join(f"{'x' * (i % 7)}{j}" for j in range(60)), "en", f"s{i % 3}") for i in range(200)]
     counts = quality.measured(shipped.createDataFrame(rows, "doc_id long, text string, lang string, source string"),
                               "doc_id", "text", "lang", "source")
-    fine = quality.sketches(counts)
-    coarse = quality.sketches(counts.withColumn("_source", F.lit("all")))
-    key = ("measure", "total", "q1", "q3")
-    assert by_row(quality._quartiles(fine), *key) == by_row(quality._quartiles(coarse), *key)
+    fine = quality._merged(quality.sketches(counts)).collect()
+    coarse = quality._merged(quality.sketches(counts.withColumn("_source", F.lit("all")))).collect()
+    assert {(r.measure, r.total, frozenset(r.sketch)) for r in fine} == {
+        (r.measure, r.total, frozenset(r.sketch)) for r in coarse}
+
+
+def brute_bucket(v):
+    drop = max(v.bit_length() - quality.BUCKET_BITS, 0)
+    return v >> drop << drop
+
+
+def brute_kept(rows, fence=quality.FENCE, prior=quality.PRIOR):
+    """``doc_id -> kept``, with the limits recounted from all rows for each group."""
+    docs = []
+    for i, text, lang, source in rows:
+        m = dict(zip(quality._COUNTS, brute_measures(text)))
+        failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
+        docs.append((i, lang, source, failed, m, {
+            k.name: k.scale * m[k.top] // max(m[k.per], 1) for k in quality.MEASURES}))
+    shaping = [d for d in docs if not d[3]]
+
+    def limits(lang, source, name):
+        parts = Counter()
+
+        def counted(level):
+            return Counter(brute_bucket(d[5][name]) for d in shaping if level(d))
+
+        of_lang, of_all = counted(lambda d: d[1] == lang), counted(lambda d: True)
+        for b, c in counted(lambda d: d[1:3] == (lang, source)).items():
+            parts[b] += 1000 * c
+        for b, c in of_lang.items():
+            parts[b] += prior * 1000 * c // (of_lang.total() + prior)
+        for b, c in of_all.items():
+            parts[b] += prior * prior * 1000 * c // (of_all.total() * (of_lang.total() + prior))
+        out = []
+        for share, of in ((1, 4), (3, 4), (7, 8)):
+            upto = 0
+            for b in sorted(parts):
+                upto += parts[b]
+                if of * upto >= share * parts.total():
+                    out.append(b)
+                    break
+        return out
+
+    kept = {}
+    for i, lang, source, failed, m, values in docs:
+        fits = not failed
+        for k in quality.MEASURES:
+            if fits:
+                q1, q3, q7 = limits(lang, source, k.name)
+                chance = int(fence * k.chance / min(max(m[k.per], 1), quality.ALIKE) ** 0.5)
+                reach = max(fence * (q3 - q1), fence * (q7 - q3), chance)
+                fits &= (q1 - reach if k.both_sides else 0) <= values[k.name] <= q3 + reach
+        kept[i] = fits
+    return kept
+
+
+def test_quality_equals_brute_force(shipped):
+    rng, rows = random.Random(5), []
+    for i in range(240):
+        source, words = rng.choice(["news", "news", "tiny", "social", None]), []
+        for _ in range(rng.randrange(40, 160)):
+            w = "".join(rng.choices("abcdefg", k=rng.randrange(2, 9)))
+            words.append(w + rng.choice(["#", "", ""]) if source == "social" or i % 17 == 0 else w)
+        lines = [" ".join(words[j:j + 9]) for j in range(0, len(words), 9)]
+        rows.append((i, "\n".join(lines + lines[:i % 4]), rng.choice(["en", "fr"]) if source != "tiny" else None, source))
+    out = {r.doc_id: r.kept for r in quality.judge_quality(
+        shipped.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert out == brute_kept(rows) and len(set(out.values())) == 2
+
+
+def test_limits_move_with_the_group_without_a_step(shipped):
+    """Limits differ between sources, and one document more moves a small group's limits little."""
+    def found(n):
+        rows = [(i, " ".join(f"word{j}" for j in range(60 + i)), "en", "news") for i in range(60)]
+        rows += [(100 + i, " ".join(f"longerword{j}" for j in range(60 + i)), "en", "new") for i in range(n)]
+        counts = quality.measured(shipped.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+        return {r._source: r.word_length_q3 for r in quality.limits(quality.sketches(counts)).collect()}
+    few, many = found(4), found(120)
+    assert many["news"] < many["new"]
+    steps = [found(n)["new"] for n in (98, 99, 100, 101)]
+    assert max(steps) - min(steps) <= 32 and few["new"] <= steps[0]
 
 
 # Chat
