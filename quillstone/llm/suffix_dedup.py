@@ -19,6 +19,8 @@ neighbours in sorted order:
 4. A loser tree merges the runs of a range. It keeps with every string the prefix
    it shares with the last winner, compares those lengths first, and reads bytes
    only beyond them. Two neighbours that share 200 bytes or more are repeats.
+5. Positions do not travel through the merge. It names the entries of a run that
+   repeat, and these are joined back to the run's positions.
 
 Hashes only say what is worth sorting; the bytes decide.
 """
@@ -326,16 +328,18 @@ def merge_runs(runs: list[Run]) -> Iterator[tuple[int, bytes, object]]:
             node //= 2
 
 
-def repeats(merged: Iterator[tuple[int, bytes, np.ndarray]], window: int) -> Iterator[tuple[np.ndarray, int]]:
-    """Positions and the length they share with another suffix, where that is a window or more."""
+def repeats(merged: Iterator[tuple[int, bytes, tuple]], window: int) -> Iterator[tuple[tuple, int]]:
+    """Entries and the length they share with another suffix, where that is a window or more.
+
+    An entry ends in the number of its positions: they repeat each other.
+    """
     last = None
-    for shared, text, where in merged:
+    for shared, text, entry in merged:
         if last is not None:
             reach = max(last[0], shared)
             if reach >= window:
                 yield last[1], reach
-        # positions of one run that hold the same string repeat each other
-        last = max(shared, len(text) if len(where) > 1 else 0), where
+        last = max(shared, len(text) if entry[-1] > 1 else 0), entry
     if last is not None and last[0] >= window:
         yield last[1], last[0]
 
@@ -343,6 +347,8 @@ def repeats(merged: Iterator[tuple[int, bytes, np.ndarray]], window: int) -> Ite
 _RUN_SCHEMA = pa.schema([
     ("range", pa.int32()), ("run", pa.string()), ("seq", pa.int32()), ("shared", pa.binary()),
     ("rest_len", pa.binary()), ("rest", pa.binary()), ("times", pa.binary()), ("where", pa.binary())])
+_MERGED_SCHEMA = pa.schema([
+    ("range", pa.int32()), ("run", pa.string()), ("seq", pa.int32()), ("repeated", pa.binary())])
 
 
 def _coded_rows(table: dict[bytes, list[tuple[int, int]]], splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -370,37 +376,36 @@ def _coded_rows(table: dict[bytes, list[tuple[int, int]]], splitters: list[bytes
     yield pa.RecordBatch.from_pylist(rows, _RUN_SCHEMA)
 
 
-def _read_run(rows: list[dict]) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """The entries of a run from its rows; each row begins a new front coding, so is joined to the last."""
+def _read_run(rows: list[dict]) -> Iterator[tuple[int, bytes, tuple]]:
+    """Front-coded entries ``((run, seq), index, times)``; each row begins a new coding, so is joined to the last."""
     last = b""
     for row in rows:
         shared = np.frombuffer(row["shared"], "<u4").tolist()
         lengths = np.frombuffer(row["rest_len"], "<u4").tolist()
         times = np.frombuffer(row["times"], "<u4").tolist()
-        where = np.frombuffer(row["where"], "<i8").reshape(-1, 2)
-        rest, at, w = row["rest"], 0, 0
+        rest, at, place = row["rest"], 0, (row["run"], row["seq"])
         for i, (n, length, t) in enumerate(zip(shared, lengths, times)):
             tail = rest[at:at + length]
             if i == 0:
                 n = shared_prefix(last, tail)
                 tail = tail[n:]
             last = last[:n] + tail
-            yield n, tail, where[w:w + t]
+            yield n, tail, (place, i, t)
             at += length
-            w += t
 
 
 def _merge_ranges(window: int):
+    """Of each run's rows, the entries that repeat, by index, and how far; their positions stay behind."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rows = None, {}
 
         def merged():
-            found = list(repeats(merge_runs([Run(_read_run(r)) for r in rows.values()]), window))
-            where = np.concatenate([w for w, _ in found]) if found else np.zeros((0, 2), np.int64)
-            reach = np.repeat([n for _, n in found], [len(w) for w, _ in found]) if found else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(reach.astype(np.int64))],
-                ["_key", "begin", "reach"])
+            found: dict[tuple, list[tuple[int, int]]] = {}
+            for (place, i, _), reach in repeats(merge_runs([Run(_read_run(r)) for r in rows.values()]), window):
+                found.setdefault(place, []).append((i, reach))
+            return pa.RecordBatch.from_pylist(
+                [{"range": current, "run": r, "seq": seq, "repeated": np.array(e, "<i8").tobytes()}
+                 for (r, seq), e in found.items()], _MERGED_SCHEMA)
 
         for b in batches:
             for row in b.to_pylist():
@@ -414,6 +419,21 @@ def _merge_ranges(window: int):
     return run
 
 
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``times, where, repeated`` of a row of a run: the positions of its entries that repeat."""
+    for b in batches:
+        for times, where, repeated in zip(*map(_values, b.columns)):
+            times = np.frombuffer(times, "<u4").astype(np.int64)
+            where = np.frombuffer(where, "<i8").reshape(-1, 2)
+            index, reach = np.frombuffer(repeated, "<i8").reshape(-1, 2).T
+            reaches = np.zeros(len(times), np.int64)
+            reaches[index] = reach
+            reaches = np.repeat(reaches, times)
+            at = reaches > 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(where[at, 0]), pa.array(where[at, 1]), pa.array(reaches[at])], ["_key", "begin", "reach"])
+
+
 # The operator
 
 
@@ -525,13 +545,16 @@ def repeated_spans(docs: DataFrame, text: str, window: int) -> tuple[DataFrame,
                     table, size = {}, 0
         yield from _coded_rows(table, splitters)
 
-    runs = with_units(units).mapInArrow(
+    # stored, since both readers must see the same runs; the merge leaves the positions out, so that a passage of very
+    # many copies comes to its range once from each run
+    runs = stored(with_units(units).mapInArrow(
         sort_runs, "range int, run string, seq int, shared binary, rest_len binary, rest binary, "
-        "times binary, where binary")
-    spans = runs.repartition("range").sortWithinPartitions("range", "run", "seq").mapInArrow(
-        _merge_ranges(window), "_key long, begin long, reach long")
-    spans = stored(spans, "repeats")
-    discard(spark, units)
+        "times binary, where binary"), "runs", "zstd")
+    merged = stored(runs.drop("where").repartition("range").sortWithinPartitions("range", "run", "seq").mapInArrow(
+        _merge_ranges(window), "range int, run string, seq int, repeated binary"), "merged")
+    spans = stored(runs.join(merged, ["range", "run", "seq"]).select("times", "where", "repeated").mapInArrow(
+        _positions, "_key long, begin long, reach long"), "repeats")
+    discard(spark, units, runs, merged)
     return rows, spans
 
 

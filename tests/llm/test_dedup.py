@@ -259,6 +259,30 @@ def test_equal_ids_and_texts_are_rows_of_their_own(shipped):
     assert by_row(suffix_dedup.remove_repeats(df), *REPEATS) == brute_repeats(rows, 200)
 
 
+def test_a_passage_of_very_many_copies(shipped):
+    """It comes to the merge once from each run, and all its positions are cut."""
+    passage = " ".join(f"every{i}" for i in range(40))
+    rows = [(i, f"{passage} own{i}x{i * i}", "en", "src0", 0) for i in range(20_000)]
+    rows += [(20_000 + i, f"{i * 7919} alone {i}", "en", "src0", 0) for i in range(100)]
+    df = shipped.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    out = {r.row.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()}
+    shared = len(passage) + len(" own")
+    for i, text, *_ in rows:
+        n, spans = out[i]
+        # beyond the passage, texts may share the first digits of their own words
+        assert (shared <= n <= len(text) - 1 and spans == 1) if i < 20_000 else (n, spans) == (0, 0)
+
+
+def test_positions_of_repeated_entries():
+    import pyarrow as pa
+    times, where = np.array([1, 3, 2], "<u4"), np.array([[i, 10 * i] for i in range(6)], "<i8")
+    batch = pa.RecordBatch.from_pydict({
+        "times": [times.tobytes()], "where": [where.tobytes()],
+        "repeated": [np.array([[2, 250], [1, 200]], "<i8").tobytes()]})
+    (made,) = suffix_dedup._positions(iter([batch]))
+    assert made.to_pydict() == {"_key": [1, 2, 3, 4, 5], "begin": [10, 20, 30, 40, 50], "reach": [200] * 3 + [250] * 2}
+
+
 def test_nothing_but_what_the_result_reads_is_left_behind(shipped, documents):
     tables = len(shipped.catalog.listTables())
     with recorded() as places:
