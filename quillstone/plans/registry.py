@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..operators import (
     classification, extraction, history, intake, language, lookup, repair, rollup, translation, upload,
 )
-from ..session import spread, work_dir
+from ..session import work_dir
 from ..sources import readers, sinks
 from ..streaming import enrich as streaming
 from . import views as v
@@ -489,9 +489,9 @@ def _stored_rows(stored: DataFrame) -> DataFrame:
 @query
 def stream_enrich(spark, sf_dir):
     out, checkpoint = work_dir(spark, "stream-out"), work_dir(spark, "stream-checkpoint")
-    arriving = spread(streaming.read_stream(spark, sf_dir, readers.TEXT_DOCUMENT, "documents.parquet"), "doc_id")
-    streaming.stream_enrich(v.text_uploads(arriving), out, checkpoint).awaitTermination()
-    return _upload_rows(spark.read.parquet(out))
+    uploads = v.text_uploads(v.arriving_documents(spark, sf_dir))
+    streaming.stream_enrich(uploads, out, checkpoint).awaitTermination()
+    return _upload_rows(spark.read.schema(upload.enrich_uploads(uploads).schema).parquet(out))
 
 
 @query
@@ -499,9 +499,8 @@ def stream_store(spark, sf_dir):
     """The stream twice over the same uploads, the second time as after a lost checkpoint: each row is stored once."""
     path = work_dir(spark, "stream-stored")
     for _ in range(2):
-        arriving = spread(streaming.read_stream(spark, sf_dir, readers.TEXT_DOCUMENT, "documents.parquet"), "doc_id")
-        streaming.stream_store(
-            v.text_uploads(arriving), path, work_dir(spark, "stream-checkpoint")).awaitTermination()
+        uploads = v.text_uploads(v.arriving_documents(spark, sf_dir))
+        streaming.stream_store(uploads, path, work_dir(spark, "stream-checkpoint")).awaitTermination()
     return _stored_rows(readers.stored_documents(spark, path))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
+from ..sources.readers import TEXT_DOCUMENT
+from ..streaming.enrich import read_stream
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def arriving_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as a stream, whether the table is a file or a folder of files."""
+    return spread(read_stream(spark, f"{sf_dir}/documents.parquet", TEXT_DOCUMENT), "doc_id")
+
+
 def _key(c: str) -> Column:
     return F.col(c).cast("string")
 

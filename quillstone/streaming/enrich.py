@@ -15,7 +15,15 @@ def read_stream(
     spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
-    """A Parquet folder as a stream of arriving files."""
+    """A Parquet folder as a stream of arriving files, or a single file as a stream of that one.
+
+    The stream reads what lies in the folder itself, or in its partitions; a
+    file is taken from its folder by its name, since a stream has no other way.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(place) and files.getFileStatus(place).isFile():
+        path, glob = place.getParent().toString(), place.getName()
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)

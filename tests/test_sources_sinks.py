@@ -1,14 +1,16 @@
 import base64
 import json
+import os
 import struct
 import zlib
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import intake
 from quillstone.operators.upload import enrich_uploads
-from quillstone.plans import views
+from quillstone.plans import registry, views
 from quillstone.session import spread, work_dir
 from quillstone.sources import readers, sinks
 from quillstone.streaming import enrich as streaming
@@ -148,6 +150,25 @@ def test_stream_equals_batch_across_restarts(spark, sf_dir):
     assert got.exceptAll(want).isEmpty()
 
 
+@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("n", [0, 40])
+def test_streams_read_a_table_of_one_file_or_a_folder_of_files(spark, tmp_path, files, n):
+    docs = spark.range(n).selectExpr(
+        "id AS doc_id", "concat('INVOICE NO ', id) AS text", "'en' AS lang", "'web' AS source", "12L AS n_chars")
+    table = str(tmp_path / "documents.parquet")
+    if files == 1:
+        pq.write_table(docs.toArrow(), table)
+    else:
+        docs.repartition(files).write.parquet(table)
+        os.mkdir(tmp_path / "old")  # a table of that name elsewhere is another table
+        docs.write.parquet(str(tmp_path / "old" / "documents.parquet"))
+    got = registry.QUERIES["stream_enrich"](spark, str(tmp_path))
+    want = registry.QUERIES["enrich_uploads"](spark, str(tmp_path))
+    assert got.columns == want.columns
+    assert got.count() == want.count() == n and got.exceptAll(want).isEmpty()
+    assert registry.QUERIES["stream_store"](spark, str(tmp_path)).count() == want.filter("reject_reason is null").count()
+
+
 def test_spread_is_the_callers_choice(spark, plan):
     table = spark.range(10)
     assert "Exchange" not in plan(spread(table, "id"))
