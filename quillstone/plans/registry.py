@@ -106,21 +106,37 @@ def export_latin1_text(spark, sf_dir):
     return docs.select("doc_id", tx.latin1_safe(marked).alias("safe_text"))
 
 
+def _copies(stored: DataFrame, ids, **columns: Column) -> DataFrame:
+    """Stored rows by file name, with more columns of each name's rows."""
+    return stored.groupBy("filename").agg(
+        F.lit(ids["all_ids"]).alias("all_ids"), F.lit(ids["last_id"]).alias("last_id"),
+        F.count("*").alias("copies"), F.count_distinct("id").alias("ids"),
+        F.count("created_at").alias("dated"), *[value.alias(c) for c, value in columns.items()],
+        F.min("language").alias("language"), F.min("confidence").alias("confidence"),
+        F.min("user_id").alias("user_id"))
+
+
 @query
 def append_documents(spark, sf_dir):
+    """Digests stand for the texts of a file name; where its rows have unlike texts, the least is found among the texts."""
     path = work_dir(spark, "stored")
     rows = v.damaged_documents(spark, sf_dir)
     for batch in ("first", "second", "first"):  # the last changes nothing
         sinks.append_documents(rows, path, batch)
     stored = readers.stored_documents(spark, path)
     ids = stored.agg(F.count_distinct("id").alias("all_ids"), F.max("id").alias("last_id")).first()
-    return stored.groupBy("filename").agg(
-        F.lit(ids["all_ids"]).alias("all_ids"), F.lit(ids["last_id"]).alias("last_id"),
-        F.count("*").alias("copies"), F.count_distinct("id").alias("ids"),
-        F.count("created_at").alias("dated"), F.md5(F.min("raw_text")).alias("raw_md5"),
-        F.md5(F.min("corrected_text")).alias("corrected_md5"),
-        F.min("language").alias("language"), F.min("confidence").alias("confidence"),
-        F.min("user_id").alias("user_id"))
+    raw, corrected = "raw_text", "corrected_text"
+    digests = stored.withColumns({c: F.md5(c) for c in (raw, corrected)})
+    unlike = (F.min(raw) != F.max(raw)) | (F.min(corrected) != F.max(corrected))
+    files = _copies(digests, ids, raw_md5=F.min(raw), corrected_md5=F.min(corrected), unlike=unlike)
+    # names of unlike texts lie in a folder of their own, so that the planner knows how few they are
+    by_name = work_dir(spark, "stored-files")
+    files.write.partitionBy("unlike").parquet(by_name)
+    files = spark.read.schema(files.schema).parquet(by_name)
+    named = files.filter("unlike").select(F.col("filename").alias("_name"))
+    texts = stored.join(named, F.col("filename").eqNullSafe(F.col("_name")), "left_semi")
+    exact = _copies(texts, ids, raw_md5=F.md5(F.min(raw)), corrected_md5=F.md5(F.min(corrected)))
+    return files.filter("NOT unlike").select(exact.columns).union(exact)
 
 
 @query

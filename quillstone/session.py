@@ -57,7 +57,8 @@ def with_ids(df: DataFrame, base: int, out: str = "id") -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, "numbered")
     place = F.monotonically_increasing_id()
-    df.withColumns({"_task": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    df.withColumns({"_task": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}).write.option(
+        "compression", "zstd").parquet(path)
     rows = spark.read.parquet(path)
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("_task").agg(F.count("*").alias("_n")).select(

@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import json
 import os
 import struct
@@ -150,6 +151,40 @@ def test_stream_equals_batch_across_restarts(spark, sf_dir):
     assert got.exceptAll(want).isEmpty()
 
 
+def appended(spark, folder, docs):
+    """``append_documents`` over documents of ``doc_id, text``."""
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr(
+        "*", "'en' AS lang", "'web' AS source", "12L AS n_chars")
+    table.repartition(3).write.parquet(str(folder / "documents.parquet"))
+    return registry.QUERIES["append_documents"](spark, str(folder))
+
+
+def test_equal_texts_of_a_file_name_do_not_move(spark, tmp_path, plan):
+    df = appended(spark, tmp_path, [(i, f"text {i} ée") for i in range(30)] + [(3, "text 3 ée")])
+    assert {r.filename: r.copies for r in df.collect()} == {f"doc.{i}.png": 4 if i == 3 else 2 for i in range(30)}
+    ran = plan(df).split("== Initial Plan ==")[0]
+    assert "raw_md5" in ran and "raw_text" not in ran and "corrected_text" not in ran
+
+
+def test_unlike_texts_of_a_file_name_give_the_least(spark, tmp_path):
+    long = "x" * 5000
+    docs = [(2, "b"), (2, "é"), (2, "a"), (3, long + "2"), (3, long + "1"), (7, "q"), (7, "e"), (10, None), (10, "z"),
+            (11, "one"), (None, "k"), (None, "j"), (12, None), (13, "e"), (13, "E")]
+    got = {r.filename: r for r in appended(spark, tmp_path, docs).collect()}
+    want = {}
+    for key, text in docs:
+        raw = text if key is not None and key % 7 else None  # a missing id is in no class and has no texts
+        corrected = text if key is not None and key % 4 > 1 else None
+        texts = (raw or "").encode(), (corrected or "").replace("e", "E").encode()
+        want.setdefault(None if key is None else f"doc.{key}.png", []).append(texts)
+    assert set(got) == set(want)
+    for name, texts in want.items():
+        row, (raw, corrected) = got[name], (min(column) for column in zip(*texts, strict=True))
+        assert (row.raw_md5, row.corrected_md5) == (hashlib.md5(raw).hexdigest(), hashlib.md5(corrected).hexdigest()), name
+        assert row.copies == row.ids == row.dated == 2 * len(texts)
+        assert row.all_ids == row.last_id == 2 * len(docs)
+
+
 @pytest.mark.parametrize("files", [1, 3])
 @pytest.mark.parametrize("n", [0, 40])
 def test_streams_read_a_table_of_one_file_or_a_folder_of_files(spark, tmp_path, files, n):
