@@ -129,11 +129,12 @@ def append_documents(spark, sf_dir):
     digests = stored.withColumns({c: F.md5(c) for c in (raw, corrected)})
     unlike = (F.min(raw) != F.max(raw)) | (F.min(corrected) != F.max(corrected))
     files = _copies(digests, ids, raw_md5=F.min(raw), corrected_md5=F.min(corrected), unlike=unlike)
-    # names of unlike texts lie in a folder of their own, so that the planner knows how few they are
-    by_name = work_dir(spark, "stored-files")
-    files.write.partitionBy("unlike").parquet(by_name)
+    # written, so that the planner knows how few names have unlike texts
+    by_name, names = work_dir(spark, "stored-files"), work_dir(spark, "stored-names")
+    files.write.parquet(by_name)
     files = spark.read.schema(files.schema).parquet(by_name)
-    named = files.filter("unlike").select(F.col("filename").alias("_name"))
+    files.filter("unlike").select(F.col("filename").alias("_name")).write.parquet(names)
+    named = spark.read.schema("_name string").parquet(names)
     texts = stored.join(named, F.col("filename").eqNullSafe(F.col("_name")), "left_semi")
     exact = _copies(texts, ids, raw_md5=F.md5(F.min(raw)), corrected_md5=F.md5(F.min(corrected)))
     return files.filter("NOT unlike").select(exact.columns).union(exact)
